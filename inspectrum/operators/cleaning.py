@@ -41,6 +41,7 @@ REPAIRED_COLUMNS = [
 BATCH_CRITICAL = ["SOIDUK_ID", "MARK", "ESMANE_REG_AASTA"]
 MODEL_CRITICAL = [*BATCH_CRITICAL, "VANUS"]
 
+
 def is_regular() -> Column:
     return F.col("YLEVAATUSLIIK") == "KORRALINE"
 
@@ -57,8 +58,6 @@ def is_decided() -> Column:
     return F.col("YLEVAATUSOTSUS").isin("KORRAS", "KORDUVALE")
 
 
-
-
 def _on_present(df: DataFrame, columns: list[str], fn) -> DataFrame:
     return df.withColumns({c: fn(F.col(c)) for c in columns if c in df.columns})
 

@@ -55,7 +55,7 @@ def inspector_strictness(df: DataFrame, min_rows: int = 50) -> DataFrame:
     return _strictness(df, keys, "TOOTAJA", min_rows)
 
 
-def _with_reg_year(df: DataFrame) -> DataFrame:
+def with_registration_year(df: DataFrame) -> DataFrame:
     """Registration year as a number above 1900, and the unbounded age."""
     typed = df.withColumn("reg_aasta", to_int(F.col("ESMANE_REG_AASTA"))).filter(F.col("reg_aasta") > 1900)
     return typed.withColumn("vanus", year_of(F.col("YV_KUUPAEV")) - F.col("reg_aasta"))
@@ -66,7 +66,7 @@ def oldest_per_month(df: DataFrame, by_year: bool = False, passed: bool = True)
 
     An ordered minimum per group: each task keeps one candidate per month.
     """
-    rows = _with_reg_year(df.filter(is_regular() & (is_pass() if passed else is_fail())))
+    rows = with_registration_year(df.filter(is_regular() & (is_pass() if passed else is_fail())))
     rows = rows.withColumns({"kuu": month_of(F.col("YV_KUUPAEV")), "aasta": year_of(F.col("YV_KUUPAEV"))})
     keys = ["aasta", "kuu"] if by_year else ["kuu"]
     fields = ["MARK", "MUDEL", "KERETYYP", "reg_aasta", "vanus"]
@@ -83,7 +83,7 @@ def age_effect(df: DataFrame, mark: str | None = None) -> DataFrame:
     if mark is not None:
         wanted = wanted & same_name(F.col("MARK"), mark)
     age = F.col("vanus")
-    rows = _with_reg_year(df.filter(wanted)).filter(age.between(0, 100))
+    rows = with_registration_year(df.filter(wanted)).filter(age.between(0, 100))
     return (
         rows.groupBy(age_band(age).alias("vanusegrupp"), age_band_rank(age).alias("sorteering"))
         .agg(F.count("*").alias("kokku"), F.count_if(is_pass()).alias("labis_arv"))

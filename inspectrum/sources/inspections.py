@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectrum.sources.schema import RAW_COLUMNS, RAW_SCHEMA, ROW_NO, YEAR
+from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
 
 # File name forms of a yearly source, the cached form first.
 CACHED_NAME = "yv_{year}.csv"
@@ -27,7 +27,6 @@ CSV_OPTIONS = {
     # Quoted defect lists may hold line breaks. A year may also be a folder of part
     # files, which is how a year too large for one task is delivered.
     "multiLine": True,
-    "enforceSchema": False,
 }
 
 
@@ -59,41 +58,51 @@ def available_years(sources: dict[int, str]) -> list[int]:
     return sorted(sources)
 
 
-def scan_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All-string scan of one or many files; columns are matched by the header."""
-    return spark.read.schema(RAW_SCHEMA).options(**CSV_OPTIONS).csv(paths)
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All-string scan of one year; columns are taken by the names in the header, in any order."""
+    return spark.read.options(**CSV_OPTIONS).csv(path)
 
 
 def load_year(
-    spark: SparkSession, path: str, year: int, columns: list[str] | None = None, max_rows: int | None = None
+    spark: SparkSession, path: str, year: int, columns: list[str] = RAW_COLUMNS, max_rows: int | None = None
 ) -> DataFrame:
-    """Projected scan of one year with its source tag; the cap keeps the first rows of the file."""
+    """The wanted columns that the file has, with a row number in file order and the source tag.
+
+    The cap keeps the first rows of the file.
+    """
     rows = scan_csv(spark, path).withColumn(ROW_NO, F.monotonically_increasing_id())
     if max_rows is not None:
         rows = rows.orderBy(ROW_NO).limit(int(max_rows))
-    return rows.select(*(columns or RAW_COLUMNS), ROW_NO).withColumn(YEAR, F.lit(int(year)))
+    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO).withColumn(YEAR, F.lit(int(year)))
 
 
 def load_years(
     spark: SparkSession,
     paths: dict[int, str],
-    columns: list[str] | None = None,
+    columns: list[str] = RAW_COLUMNS,
     max_rows_per_year: int | None = None,
 ) -> DataFrame:
     """Union of the yearly scans in year order; row numbers stay unique across years."""
     parts = [load_year(spark, paths[y], y, columns, max_rows_per_year) for y in sorted(paths)]
-    union = reduce(DataFrame.unionByName, parts)
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     offset = F.shiftleft((F.col(YEAR) - min(paths)).cast("bigint"), BATCH_SHIFT)
     return union.withColumn(ROW_NO, offset + F.col(ROW_NO))
 
 
+def yearly_paths(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Year → path of every `YYYY.csv` in a folder of any Hadoop file system."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{RAW_GLOB}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return {int(f.getPath().getName()[:4]): f.getPath().toString() for f in found}
+
+
 def load_folder(spark: SparkSession, folder: str, regular_only: bool = True) -> DataFrame:
-    """Every `YYYY.csv` of a folder; the filter is applied at the scan."""
-    rows = scan_csv(spark, f"{folder.rstrip('/')}/{RAW_GLOB}")
-    tagged = rows.withColumn(
-        YEAR, F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]{4})\.csv", 1).cast("int")
-    ).withColumn(ROW_NO, F.monotonically_increasing_id())
-    return tagged.filter(F.col("YLEVAATUSLIIK") == "KORRALINE") if regular_only else tagged
+    """Every `YYYY.csv` of a folder; other inspection types are dropped at the scan."""
+    paths = yearly_paths(spark, folder)
+    if not paths:
+        raise FileNotFoundError(f"no yearly CSV files in {folder}")
+    rows = load_years(spark, paths)
+    return rows.filter(F.col("YLEVAATUSLIIK") == "KORRALINE") if regular_only else rows
 
 
 def land(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -15,9 +15,9 @@ def land_new_files(spark: SparkSession, folder: str, path: str, checkpoint: str)
     The file log under `checkpoint` makes a repeated run a no-op. Each run writes its own
     folder and overwrites it when it is repeated, so an interrupted run leaves no copies.
     """
-    arriving = (
-        spark.readStream.schema(RAW_SCHEMA).options(**CSV_OPTIONS, pathGlobFilter="*[0-9][0-9][0-9][0-9].csv").csv(folder)
-    )
+    # A stream needs its schema up front: a header in another order is an error here.
+    options = {**CSV_OPTIONS, "enforceSchema": False, "pathGlobFilter": "*[0-9][0-9][0-9][0-9].csv"}
+    arriving = spark.readStream.schema(RAW_SCHEMA).options(**options).csv(folder)
     tagged = arriving.withColumn(
         YEAR, F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]{4})\.csv$", 1).cast("int")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["reports", "rows"]
+MODULES = ["reports", "rows", "learning"]
 
 
 def load() -> None:

@@ -361,7 +361,7 @@ def a12_meta(spark, sf):
     path = work_path(spark, "metadata")
     record = R.model_metadata(model(spark, sf), split(spark, sf).info, spark)
     sinks.write_json(record, path)
-    return spark.read.schema(record.schema).json(path)
+    return flat(spark.read.schema(record.schema).json(path))
 
 
 # --- evaluation of a fixed score
@@ -379,6 +379,12 @@ def scores(spark, sf) -> E.ScoreTable:
     return E.ScoreTable.build(labelled(spark, sf))
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON text."""
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct")]
+    return df.withColumns({c: F.to_json(c) for c in nested})
+
+
 def rounded(df: DataFrame, digits: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double" and f.name not in keep]
     return df.withColumns({c: F.round(c, digits) for c in doubles})
@@ -500,12 +506,12 @@ def p10(spark, sf):
 
 @check("p11_temporal_calibration")
 def p11(spark, sf):
-    return once(spark, sf, "calibration", lambda: R.temporal_calibration(frame(spark, sf)))
+    return flat(once(spark, sf, "calibration", lambda: R.temporal_calibration(frame(spark, sf))))
 
 
 @check("p12_evaluation_record")
 def p12(spark, sf):
-    return evaluated(spark, sf)[0]
+    return flat(evaluated(spark, sf)[0])
 
 
 # --- clusters
@@ -581,4 +587,4 @@ def k6(spark, sf):
     path = work_path(spark, "cluster-record")
     record = clustering(spark, sf).record
     sinks.write_json(record, path)
-    return spark.read.schema(record.schema).json(path)
+    return flat(spark.read.schema(record.schema).json(path))

@@ -89,11 +89,17 @@ def load_years(
     return union.withColumn(ROW_NO, offset + F.col(ROW_NO))
 
 
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob on any Hadoop file system."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return [f.getPath().toString() for f in found]
+
+
 def yearly_paths(spark: SparkSession, folder: str) -> dict[int, str]:
-    """Year → path of every `YYYY.csv` in a folder of any Hadoop file system."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{RAW_GLOB}")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return {int(f.getPath().getName()[:4]): f.getPath().toString() for f in found}
+    """Year → path of every `YYYY.csv` in a folder."""
+    paths = _matching(spark, f"{folder.rstrip('/')}/{RAW_GLOB}")
+    return {int(p.rsplit("/", 1)[1][:4]): p for p in paths}
 
 
 def load_folder(spark: SparkSession, folder: str, regular_only: bool = True) -> DataFrame:
@@ -113,9 +119,19 @@ def land(df: DataFrame, path: str, mode: str = "error") -> None:
     df.hint("rebalance", YEAR).write.mode(mode).partitionBy(YEAR).parquet(path)
 
 
+def landed_years(spark: SparkSession, path: str) -> list[int]:
+    """Years that have been landed, from the partition folders."""
+    found = _matching(spark, f"{path.rstrip('/')}/{YEAR}=[0-9]*")
+    return sorted(int(p.rsplit("=", 1)[1]) for p in found)
+
+
 def read_landed(spark: SparkSession, path: str, years: Iterable[int] | None = None) -> DataFrame:
-    """Landed inspections; `years` becomes a partition filter and must be available."""
+    """Landed inspections; `years` becomes a partition filter and every one must exist."""
     df = spark.read.parquet(path)
     if years is None:
         return df
-    return df.filter(F.col(YEAR).isin(sorted(int(y) for y in years)))
+    wanted = sorted({int(y) for y in years})
+    unknown = sorted(set(wanted) - set(landed_years(spark, path)))
+    if unknown:
+        raise ValueError(f"no source for years {unknown}")
+    return df.filter(F.col(YEAR).isin(wanted))

@@ -17,8 +17,6 @@ from inspectrum.functions.text import INT_PATTERN, has_text, strip, to_int
 # Minor, significant, dangerous.
 SEVERITIES = ["VO", "OV", "EOV"]
 
-PARSED_TYPE = "array<struct<severity:string,defect_id:bigint>>"
-
 
 def strict_entries(c: Column) -> Column:
     """Non-empty stripped entries; an empty array for NULL."""
@@ -46,12 +44,12 @@ def strict_class(entry: Column) -> Column:
 
 
 def parse_strict(c: Column) -> Column:
-    """Array of (severity, defect_id) in text order."""
-    valid = F.filter(strict_entries(c), lambda e: strict_class(e) == "parsed")
+    """Array of (severity, defect_id) in text order; each entry is read once."""
     pairs = F.transform(
-        valid, lambda e: F.struct(strict_severity(e).alias("severity"), strict_id(e).alias("defect_id"))
+        F.filter(strict_entries(c), lambda e: F.contains(e, F.lit(":"))),
+        lambda e: F.struct(strict_severity(e).alias("severity"), strict_id(e).alias("defect_id")),
     )
-    return pairs.cast(PARSED_TYPE)
+    return F.filter(pairs, lambda d: d["severity"].isin(SEVERITIES) & d["defect_id"].isNotNull())
 
 
 def count_severity(parsed: Column, severity: str) -> Column:

@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-# Unicode white space plus the four information separators.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as white space.
+ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WHITE_SPACE = ASCII_SPACE + (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def is_ascii(c: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(c) == F.length(c)
 
 
 def strip(c: Column) -> Column:
-    """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Drop leading and trailing white space of any kind; ASCII text takes the short list."""
+    return F.when(is_ascii(c), F.btrim(c, F.lit(ASCII_SPACE))).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def repair_mojibake(c: Column) -> Column:
     """Undo UTF-8 text that was read as Latin-1; keep text that does not decode."""
     latin = c.rlike(r"^[\x{0}-\x{FF}]*$")
     decoded = F.encode(c, "ISO-8859-1").cast("string")
-    return F.when(latin & F.is_valid_utf8(decoded), decoded).otherwise(c)
+    return F.when(~is_ascii(c) & latin & F.is_valid_utf8(decoded), decoded).otherwise(c)
 
 
 def to_int(c: Column, kind: str = "int") -> Column:

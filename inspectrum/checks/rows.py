@@ -422,8 +422,8 @@ def c7(spark, sf):
     ).replace("AS entry FROM ylev)", "AS entry FROM (SELECT *, row_number() OVER () AS rid FROM ylev))"),
 )
 def c8(spark, sf):
-    flags = {s: D.has_severity(F.col("RIKKED"), s).alias(s.lower()) for s in D.SEVERITIES}
-    return counted(inspections(spark, sf), *flags.values())
+    entries = inspections(spark, sf).select(D.loose_entries(F.col("RIKKED")).alias("e"))
+    return counted(entries, *[D.has_severity(F.col("e"), s).alias(s.lower()) for s in D.SEVERITIES])
 
 
 @check("c9_entry_classes", S.with_(S.YLEV, ENTRIES) + "SELECT year, kind, count(*) AS n FROM entries GROUP BY 1, 2")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inspectrum.functions.text import INT_PATTERN, has_text, strip, to_int
+from inspectrum.functions.text import INT_PATTERN, strip, to_int
 
 # Minor, significant, dangerous.
 SEVERITIES = ["VO", "OV", "EOV"]
@@ -33,20 +33,24 @@ def strict_id(entry: Column) -> Column:
     return to_int(strip(F.substr(entry, F.instr(entry, ":") + F.lit(1))), "bigint")
 
 
-def strict_class(entry: Column) -> Column:
+def entry_class(has_colon: Column, severity: Column, defect_id: Column) -> Column:
     """`parsed`, `unknown` (severity) or `malformed`, tested in the documented order."""
     return (
-        F.when(~F.contains(entry, F.lit(":")), "malformed")
-        .when(~strict_severity(entry).isin(SEVERITIES), "unknown")
-        .when(strict_id(entry).isNull(), "malformed")
+        F.when(~has_colon, "malformed")
+        .when(~severity.isin(SEVERITIES), "unknown")
+        .when(defect_id.isNull(), "malformed")
         .otherwise("parsed")
     )
 
 
+def has_colon(entry: Column) -> Column:
+    return F.contains(entry, F.lit(":"))
+
+
 def parse_strict(c: Column) -> Column:
     """Array of (severity, defect_id) in text order; each entry is read once."""
     pairs = F.transform(
-        F.filter(strict_entries(c), lambda e: F.contains(e, F.lit(":"))),
+        F.filter(strict_entries(c), has_colon),
         lambda e: F.struct(strict_severity(e).alias("severity"), strict_id(e).alias("defect_id")),
     )
     return F.filter(pairs, lambda d: d["severity"].isin(SEVERITIES) & d["defect_id"].isNotNull())
@@ -95,7 +99,6 @@ def loose_defects(c: Column) -> Column:
     return F.filter(loose_entries(c), is_loose_defect)
 
 
-def has_severity(c: Column, severity: str) -> Column:
-    """1 when any entry has the severity; ids are not looked at."""
-    found = F.exists(loose_entries(c), lambda e: e["severity"] == severity)
-    return F.when(has_text(c) & found, 1).otherwise(0)
+def has_severity(entries: Column, severity: str) -> Column:
+    """1 when any loose entry has the severity; ids are not looked at."""
+    return F.when(F.exists(entries, lambda e: e["severity"] == severity), 1).otherwise(0)

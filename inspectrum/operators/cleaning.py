@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inspectrum.functions import defects as D
 from inspectrum.functions.bands import half_even
 from inspectrum.functions.text import month_of, repair_mojibake, strip, to_whole_number, year_of
+from inspectrum.sources.workspace import materialize
 
 TARGET = "LABIS_ESIMESEL"
 
@@ -122,8 +123,13 @@ def station_strictness(df: DataFrame, min_rows: int = 50) -> DataFrame:
 
 
 def add_station_strictness(df: DataFrame, min_rows: int = 50) -> DataFrame:
+    """PUNKTI_RANGUS joined back by station code.
+
+    The statistics are written first: their size is then known and the rows are not
+    shuffled by station.
+    """
     stats = station_strictness(df, min_rows).select("PUNKTI_KOOD", "PUNKTI_RANGUS")
-    return df.join(stats, "PUNKTI_KOOD", "left")
+    return df.join(materialize(stats, "station-strictness"), "PUNKTI_KOOD", "left")
 
 
 def clean_for_model(df: DataFrame) -> DataFrame:

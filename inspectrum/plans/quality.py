@@ -41,9 +41,13 @@ def entry_counts(df: DataFrame, year: str = YEAR) -> DataFrame:
 
     Ids are kept for parsed entries only, so the result has one row per distinct id.
     """
+    e = F.col("e")
     entries = df.select(F.col(year).alias("year"), F.explode(D.strict_entries(F.col("RIKKED"))).alias("e"))
-    kind = D.strict_class(F.col("e"))
-    classified = entries.select("year", kind.alias("class"), D.strict_id(F.col("e")).alias("id"))
+    fields = entries.select(
+        "year", D.has_colon(e).alias("colon"), D.strict_severity(e).alias("severity"), D.strict_id(e).alias("id")
+    )
+    kind = D.entry_class(F.col("colon"), F.col("severity"), F.col("id"))
+    classified = fields.select("year", kind.alias("class"), "id")
     defect_id = F.when(F.col("class") == "parsed", F.col("id"))
     return classified.groupBy("year", "class", defect_id.alias("defect_id")).agg(F.count("*").alias("n"))
 

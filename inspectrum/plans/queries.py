@@ -103,12 +103,12 @@ def available_marks(df: DataFrame) -> DataFrame:
 
 def defect_overview(df: DataFrame) -> DataFrame:
     """Regular inspections per year and how many had each severity; a flag per row, no regrouping."""
-    rows = df.filter(is_regular())
-    flags = [
-        F.sum(D.has_severity(F.col("RIKKED"), s)).alias(f"{s.lower()}_arv") for s in D.SEVERITIES
-    ]
+    rows = df.filter(is_regular()).select(
+        year_of(F.col("YV_KUUPAEV")).alias("aasta"), "RIKKED", D.loose_entries(F.col("RIKKED")).alias("entries")
+    )
+    flags = [F.sum(D.has_severity(F.col("entries"), s)).alias(f"{s.lower()}_arv") for s in D.SEVERITIES]
     return (
-        rows.groupBy(year_of(F.col("YV_KUUPAEV")).alias("aasta"))
+        rows.groupBy("aasta")
         .agg(
             F.count("*").alias("kokku_ylevaatusi"),
             F.count_if(has_text(F.col("RIKKED"))).alias("riketega_ylevaatusi"),

@@ -1,5 +1,8 @@
 """Defect strings in both dialects."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +31,29 @@ def test_strict_parse(spark, text, expected):
     assert [(x["severity"], x["defect_id"]) for x in got] == expected
 
 
+def python_parse(text):
+    """The dialect in plain Python, as the yardstick for random strings."""
+    out = []
+    for part in re.split(r"[;,\r\n]+", text):
+        severity, colon, rest = part.partition(":")
+        rest = rest.strip()
+        if colon and severity.strip().upper() in D.SEVERITIES and re.fullmatch(r"[+-]?[0-9]+", rest):
+            out.append((severity.strip().upper(), int(rest)))
+    return out
+
+
+def test_strict_parse_of_random_strings(spark):
+    rng = random.Random(11)
+    pieces = ["VO", "ov", "EOV", "BAD", ":", ":", ";", ",", "\n", "\r", " ", "\t", "\xa0", "\u2003", "\x1c", "1", "42", "+7", "-", "x"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, r string")
+    rows = df.select("i", D.parse_strict(F.col("r")).alias("d"), D.strict_entries(F.col("r")).alias("e")).collect()
+    for r in rows:
+        text = texts[r["i"]]
+        assert [(x["severity"], x["defect_id"]) for x in r["d"]] == python_parse(text), repr(text)
+        assert r["e"] == [p.strip() for p in re.split(r"[;,\r\n]+", text) if p.strip()], repr(text)
+
+
 def test_raw_entries(spark):
     df = spark.createDataFrame([(" VO:1 ;\nOV:2,,EOV:3 ",)], "r string")
     assert df.select(D.strict_entries(F.col("r"))).first()[0] == ["VO:1", "OV:2", "EOV:3"]

@@ -155,7 +155,7 @@ def defects_by_mark_model_year(
 ) -> DataFrame:
     """How often the given defects (default: the top `n`) occur per make, model and registration year.
 
-    `ids` is a short list of at most a few dozen ids with column `rike_id`.
+    `ids` has the column `rike_id`.
     """
     wanted = is_present(F.col("MARK"))
     if mark:
@@ -165,11 +165,14 @@ def defects_by_mark_model_year(
     reg = to_int(F.col("ESMANE_REG_AASTA"))
     if reg_year:
         wanted = wanted & (reg == int(reg_year))
-    ids = _top_defect_counts(df, n).select("rike_id").distinct() if ids is None else ids.select("rike_id").distinct()
+    if ids is None:
+        # At most n rows.
+        ids = F.broadcast(_top_defect_counts(df, n).select("rike_id").distinct())
+    else:
+        ids = ids.select("rike_id").distinct()
     rows = regular_defects(df.filter(wanted), F.col("MARK"), F.col("MUDEL"), reg.alias("reg_aasta"))
     keys = ["MARK", "MUDEL", "reg_aasta", "rike_id", "raskusaste"]
-    # `ids` has at most n rows.
-    counts = rows.join(F.broadcast(ids), "rike_id", "left_semi").groupBy(*keys).agg(F.count("*").alias("esinemisi"))
+    counts = rows.join(ids, "rike_id", "left_semi").groupBy(*keys).agg(F.count("*").alias("esinemisi"))
     named = with_names(counts, names)
     return named.select(*keys, "esinemisi", "nimetus").orderBy(F.desc("esinemisi"), *keys)
 

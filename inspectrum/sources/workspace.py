@@ -2,16 +2,20 @@
 
 Lineage is cut by writing Parquet under `spark.checkpoint.dir`, the folder every
 executor can reach. A written table also has a known size, so the planner's own
-broadcast threshold decides between a broadcast and a shuffle join.
+broadcast threshold decides between a broadcast and a shuffle join. A table is
+deleted by `discard` when its consumer is done, and what is left by `close`.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_closing: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a temporary one in local mode only."""
@@ -22,21 +26,54 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="inspectrum-"))
     return context.getCheckpointDir()
 
 
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/inspectrum/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for one written table of this application."""
-    root = shared_folder(spark).rstrip("/")
-    return f"{root}/inspectrum/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _closing:
+        _closing.add(app)
+        atexit.register(_close_quietly, spark, app)
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` once and return a scan of the written table."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote; nothing may read them afterwards."""
+    for table in tables:
+        path = getattr(table, "_work_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete every table that this application wrote; call it when the results are consumed."""
+    _delete(spark, application_folder(spark))
+
+
+def _close_quietly(spark: SparkSession, app: str) -> None:
+    """At the end of the process: nothing to do when the session is gone already."""
+    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        close(spark)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import packing, tokens
+from inspectrum.llm import near, packing, quality, tokens
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op3_minhash_forest")
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
+@query("op8_weak_rules", quality.oracle())
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(documents(spark, sf_dir))

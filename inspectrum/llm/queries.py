@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import near, packing, quality, tokens
+from inspectrum.llm import near, packing, parsing, quality, tokens
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_weak_rules", quality.oracle())
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
+
+
+@query("op9_consistent_parsing")
+def op9_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compared_with_edits(documents(spark, sf_dir))

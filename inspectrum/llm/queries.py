@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import near, packing, parsing, quality, tokens
+from inspectrum.llm import language, near, packing, parsing, quality, tokens
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_consistent_parsing")
 def op9_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compared_with_edits(documents(spark, sf_dir))
+
+
+@query("op4_kneser_ney")
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_scores(documents(spark, sf_dir))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import language, near, packing, parsing, quality, tokens
+from inspectrum.llm import language, near, packing, parsing, private, quality, tokens
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op9_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_kneser_ney")
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_scores(documents(spark, sf_dir))
+
+
+@query("op6_skip_chain_field")
+def op6_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digests(private.find_private(documents(spark, sf_dir)))

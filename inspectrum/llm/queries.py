@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import language, near, packing, parsing, private, quality, tokens
+from inspectrum.llm import language, lines, near, packing, parsing, private, quality, tokens
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_skip_chain_field")
 def op6_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digests(private.find_private(documents(spark, sf_dir)))
+
+
+@query("op10_fuzzy_lines")
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.similar_lines(documents(spark, sf_dir))

@@ -11,6 +11,7 @@ packed each on its own. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from inspectrum.llm.text import binary_column, texts_of
-from inspectrum.llm.tokens import _Memory
+from inspectrum.llm.tokens import REMEMBERED_CHARS, _Memory
 from inspectrum.sources.workspace import discard, materialize
 
 LENGTH, OPEN, MERGE = 2048, 256, 8
@@ -28,55 +29,95 @@ END_ID = 1
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space; each distinct word meets it once per task."""
+    """Ids of texts by a tokenizer that drops white space and encodes runs of a pattern apart.
 
-    #: A character that is encoded as one id of its own between words that are encoded together.
-    _MARK = "\x00"
+    Every distinct word is split into such runs once per task, and every distinct run is encoded
+    once. Many new runs are encoded together: the last id of each is one that ends a word.
+    """
+
+    #: Words of characters below this one have one form and lower case character by character; others are encoded whole.
+    _PLAIN = "\u0250"
+    _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    _KEPT = 400_000
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        mark = self._raw(self._MARK)
-        self._mark = mark[0] if len(mark) == 1 else None
-        self._known = _Memory(lambda w: np.array(self._raw(w), "<i4").tobytes())
-        self._known[""] = b""
-
-    def _raw(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._split = regex.compile(self._RUNS).findall
+        self._runs: dict[str, bytes] = {}
+        self._known = _Memory(self._raw)
+        self._before: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 5000):
+            some = runs[at : at + 5000]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
+            cuts = (np.flatnonzero(self._ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self._runs.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self._runs.update((r, self._raw(r)) for r in some)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new short words together, with marks between them."""
-        words = [w for w in words if len(w) <= 48 and self._MARK not in w]
-        if self._mark is None or not words:
-            return
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(self._raw(f" {self._MARK} ".join(some)), "<i4")
-            cuts = np.flatnonzero(ids == self._mark)
-            if len(cuts) != len(some) - 1:
+        runs, known = self._runs, self._known
+        alone: dict[str, str] = {}
+        marked: dict[str, tuple[str, str]] = {}
+        split: dict[str, list[str]] = {}
+        for w in words:
+            if not w.isascii() and max(w) >= self._PLAIN or len(w) > REMEMBERED_CHARS:
                 continue
-            for w, a, b in zip(some, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self._known[w] = ids[a:b].tobytes()
+            low = w.lower()
+            if low.isalpha():
+                alone[w] = low
+            elif low[:-1].isalpha() and low[-1] in ".,":
+                marked[w] = (low[:-1], low[-1])
+            else:
+                split[w] = self._split(low)
+        asked = {*alone.values(), ".", ",", *(a for a, _ in marked.values()), *(r for found in split.values() for r in found)}
+        self._learn_runs(list(asked.difference(runs)))
+        known.update(zip(alone, map(runs.__getitem__, alone.values()), strict=True))
+        known.update((w, runs[a] + runs[b]) for w, (a, b) in marked.items())
+        known.update((w, b"".join([runs[r] for r in found])) for w, found in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self._known) > 1_000_000:
-            self._known.clear()
-            self._known[""] = b""
-        known = self._known
+        if len(self._known) > self._KEPT:
+            # Words that are asked for again move over from the older half.
+            self._before, self._known = dict(self._known), _Memory(self._raw)
+        if len(self._runs) > self._KEPT:
+            self._runs.clear()
+        known, before = self._known, self._before
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
-        self._learn([w for w in new if w not in known])
+        new.difference_update(known)
+        known[""] = b""
+        again = new.intersection(before) if before else new.intersection(())
+        known.update((w, before[w]) for w in again)
+        self._learn(list(new - again - {""}))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@functools.cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker process, which runs them one after the other."""
+    return WordTokenizer(path)
+
+
 def pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens): each document's ids, and the end id, cut at multiples of `length`.
 
@@ -86,7 +127,7 @@ def pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

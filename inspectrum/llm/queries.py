@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import language, lines, near, packing, parsing, private, quality, tokens
+from inspectrum.llm import language, lines, near, packing, parsing, private, quality, tokens, toxicity
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file, installed on every machine."""
     import public_tokenizers
@@ -71,3 +75,9 @@ def op6_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fuzzy_lines")
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.similar_lines(documents(spark, sf_dir))
+
+
+@query("op5_ordinal_severity")
+def op5_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.severities(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))

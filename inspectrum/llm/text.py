@@ -96,12 +96,9 @@ class WordHasher:
             inverse = np.uint64(pow(int(self._BASE), -1, 1 << 64))
             self._inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, inverse))])
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and how many each text has."""
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and how many words each text has; `hashes` then names parts of this text."""
         n = len(data)
-        texts = len(offsets) - 1
-        if n == 0:
-            return np.zeros(0, np.uint64), np.zeros(texts, np.int64)
         if n >= len(self._power):
             self._grow(2 * n)
         inside = self._inside[data]
@@ -109,10 +106,20 @@ class WordHasher:
         edge[offsets] = True
         starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
         ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._byte[data] * self._power[:n], out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
-        return hashes, np.diff(np.searchsorted(starts, offsets))
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self._byte[data] * self._power[:n], out=self._total[1:])
+        return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = self._total
+        return mixed((total[ends] - total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and how many each text has."""
+        if not len(data):
+            return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        starts, ends, counts = self.words(data, offsets)
+        return self.hashes(starts, ends), counts
 
 
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

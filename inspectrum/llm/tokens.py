@@ -28,7 +28,7 @@ from inspectrum.llm.text import binary_column, list_column, texts_of
 REMEMBERED, REMEMBERED_CHARS = 500_000, 48
 
 #: Unicode's White_Space, the class that `\s` stands for in the pattern of pre-tokens.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -143,7 +143,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def regions(nodes: DataFrame, limit: int = REGION) -> DataFrame:
-    """(region, node) of all trees: prefixes just deep enough to hold at most `limit` nodes.
+    """(region, node, tree, depth) of all trees: prefixes just deep enough to hold at most `limit` nodes.
 
     Nodes whose whole signatures agree cannot be told apart by depth. They are dealt into
     blocks of about `limit`, and every block also holds the region's smallest node.
@@ -152,7 +152,7 @@ def regions(nodes: DataFrame, limit: int = REGION) -> DataFrame:
     found = _counted(nodes.select("node", "signature").mapInArrow(_prefixes(DEPTH, range(TREES)), form))
     level, depth, out = materialize(found, "regions"), DEPTH, None
     while True:
-        small = level.filter(F.col("n") <= limit).select("region", "node")
+        small = level.filter(F.col("n") <= limit).select("region", "node", "tree", F.lit(depth).alias("depth"))
         out = small if out is None else out.unionByName(small)
         large = level.filter(F.col("n") > limit)
         if large.isEmpty():
@@ -160,20 +160,41 @@ def regions(nodes: DataFrame, limit: int = REGION) -> DataFrame:
         if depth == VALUES:
             least = large.groupBy("region").agg(F.min("node").alias("least"))
             blocks = large.join(least, "region").withColumn("block", F.expr(f"pmod(xxhash64(node), (n + {limit} - 1) div {limit})"))
-            named = F.xxhash64("region", "block").alias("region")
-            return out.unionByName(blocks.select(named, "node").unionByName(blocks.select(named, F.col("least").alias("node"))).distinct())
+            form = [F.xxhash64("region", "block").alias("region"), "tree", F.lit(0).alias("depth")]
+            return out.unionByName(blocks.select(*form, "node").unionByName(blocks.select(*form, F.col("least").alias("node"))).distinct())
         depth = min(VALUES, depth + max(1, depth // 3))
         deeper = large.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
         level = materialize(_counted(deeper.mapInArrow(_prefixes(depth, None), form)), "regions")
 
 
+def _met_before(sig: np.ndarray, depths: np.ndarray, tree: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the nodes of each pair also share a region of an earlier tree; depth 0 counts as no region."""
+    out = np.zeros(len(x), bool)
+    for t in range(tree):
+        order = (t * (VALUES // TREES) + np.arange(VALUES)) % VALUES
+        todo = np.flatnonzero(~out & (depths[x, t] > 0))
+        for a in range(0, len(todo), 20_000):
+            part = todo[a : a + 20_000]
+            differ = sig[x[part]][:, order] != sig[y[part]][:, order]
+            shared = np.where(differ.any(1), differ.argmax(1), VALUES)
+            out[part] = shared >= depths[x[part], t]
+    return out
+
+
 def _candidates(least_equal: int, nearest: int | None):
     """Pairs inside each region; rows come sorted by region.
 
-    With `nearest`: each node with those it agrees with most. Without: all pairs whose components differ.
+    With `nearest`: each node with those it agrees with most. Without: all pairs whose components differ,
+    in the first tree in which they meet.
     """
 
-    def of_region(node: np.ndarray, sig: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of_region(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        sig = _matrix(table["signature"])
+        if nearest is None:
+            if (component == component[0]).all():
+                return node[:0], node[:0]
+            tree, depths = table["tree"][0].as_py(), table["depths"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
         a, b = [], []
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
@@ -184,6 +205,9 @@ def _candidates(least_equal: int, nearest: int | None):
             if nearest is None:
                 equal[component[own][:, None] == component[None, :]] = -1
                 x, y = np.nonzero(equal >= least_equal)
+                if table["depth"][0].as_py():
+                    new = ~_met_before(sig, depths, tree, x + at, y)
+                    x, y = x[new], y[new]
             else:
                 best = np.argsort(-equal, axis=1, kind="stable")[:, :nearest]
                 x = np.repeat(np.arange(len(equal)), best.shape[1])
@@ -202,10 +226,8 @@ def _candidates(least_equal: int, nearest: int | None):
             region = table["region"].to_numpy()
             if not len(region):
                 return None
-            node, component = table["node"].to_numpy(), table["component"].to_numpy()
-            sig = _matrix(table["signature"])
-            cuts = [0, *(np.flatnonzero(np.diff(region)) + 1), len(region)]
-            found = [of_region(node[x:y], sig[x:y], component[x:y]) for x, y in pairwise(cuts) if y - x > 1]
+            cuts = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
+            found = [of_region(table.slice(x, y - x)) for x, y in pairwise(cuts) if y - x > 1]
             if not found:
                 return None
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -227,12 +249,17 @@ def _candidates(least_equal: int, nearest: int | None):
 
 
 def _pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame | None, least_equal: int) -> DataFrame:
+    columns = ["region", "node", "component", "signature"]
     rows = places.join(nodes.select("node", "signature"), "node")
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
-        rows = rows.join(labels, "node")
-    dealt = rows.select("region", "node", "component", "signature").repartition("region").sortWithinPartitions("region")
+        # How deep the region of each node is in every tree.
+        own = places.join(labels, "node").groupBy("node", "component")
+        depths = own.agg(F.array(*[F.max(F.when(F.col("tree") == t, F.col("depth")).otherwise(0)) for t in range(TREES)]).alias("depths"))
+        rows = rows.join(depths, "node")
+        columns += ["tree", "depth", "depths"]
+    dealt = rows.select(*columns).repartition("region").sortWithinPartitions("region")
     return dealt.mapInArrow(_candidates(least_equal, NEAREST if labels is None else None), "a long, b long").distinct()
 
 

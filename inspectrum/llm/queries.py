@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inspectrum.llm import language, lines, near, packing, parsing, private, quality, tokens, toxicity
+from inspectrum.llm import language, lines, near, packing, parsing, private, quality, quotes, tokens, toxicity
 from inspectrum.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.severities(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_quotation_links", quotes.ORACLE)
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))

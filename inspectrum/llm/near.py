@@ -300,3 +300,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     out = materialize(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
     discard(base, nodes, places, first, ends, sets, links, labelled, more)
     return out
+
+
+def without_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df` with one document of each group of near duplicates, the one of the smallest id; of rows that repeat it, one.
+
+    Rows without an id stay.
+    """
+    judged = near_duplicates(df, width, percent, id_col, text_col).filter("doc_id is not null")
+    flags = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__rows"))
+    joined = df.join(flags.filter("__kept"), F.col(id_col).cast("long") == F.col("__id"))
+    # Rows of one id differ only if their texts do.
+    again = F.when(F.col("__rows") > 1, F.xxhash64(text_col)).otherwise(0)
+    alone = joined.withColumn("__again", again).dropDuplicates(["__id", "__again"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    return alone.unionByName(df.filter(F.col(id_col).isNull()))

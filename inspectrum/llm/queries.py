@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from inspectrum.llm import language, lines, near, packing, parsing, private, quality, quotes, tokens, toxicity
 from inspectrum.llm.text import documents
+from inspectrum.llm.tokens import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,13 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_file(name: str) -> str:
-    """Place of a public tokenizer's file, installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -86,3 +81,6 @@ def op5_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quotation_links", quotes.ORACLE)
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -124,8 +124,14 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 def learn_words(texts: DataFrame, folder: str) -> Words:
     """Count every token of `text` and write the sorted hashes and counts."""
-    spark = texts.sparkSession
     counts = materialize(texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = write_words(counts, folder)
+    discard(counts)
+    return words
+
+
+def write_words(counts: DataFrame, folder: str) -> Words:
+    """Files of the hashes of a written table (word, n) in order, with their counts."""
     distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
     if distinct >= 2**32 - 2:
         raise ValueError("word numbers are 32-bit")
@@ -145,7 +151,6 @@ def learn_words(texts: DataFrame, folder: str) -> Words:
 
     dealt = counts.mapInArrow(place, "file int, word long, n long").repartition(files, "file").sortWithinPartitions("file")
     sizes = dict(dealt.mapInArrow(write, "file int, n long").collect())
-    discard(counts)
     return Words(folder, [sizes.get(i, 0) for i in range(files)], total or 0)
 
 

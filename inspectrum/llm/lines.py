@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inspectrum.llm.graph import components
-from inspectrum.llm.text import SPACES, chained, chunks, list_column, mixed, string_buffers, texts_of
-from inspectrum.sources.workspace import discard, materialize
+from inspectrum.llm.language import Words, write_words
+from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
+from inspectrum.sources.workspace import discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 40, 0.8
 BINS, BANDS, ROWS = 64, 12, 3
@@ -64,15 +65,75 @@ def signatures(texts: list[str]) -> np.ndarray:
         out = np.where(empty & (lent != _EMPTY), lent + np.uint64(1 << 40), out)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, node) of every band of (node, text)."""
     for batch in batches:
-        _, offsets = string_buffers(batch.column(3))
+        _, offsets = string_buffers(batch.column(1))
+        nodes = batch.column(0).to_numpy()
         for a, b in chunks(offsets, 1_000_000):
-            sig = signatures(batch.column(3).slice(a, b - a).to_pylist())
+            sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
             bands = np.stack([chained(*(sig[:, k * ROWS + r] for r in range(ROWS))) + np.uint64(k) for k in range(BANDS)], 1)
-            short = (mixed(sig) & np.uint64(255)).astype(np.uint8)
-            columns = [list_column(bands.ravel().view(np.int64), np.full(b - a, BANDS), pa.int64()), pa.array([r.tobytes() for r in short], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *columns], ["doc_id", "line", "node", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(nodes[a:b], BANDS))], ["band", "node"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, node) of bands with two lines or more, from rows sorted by (band, node); equal rows count once.
+
+    A band of more than `BLOCK` lines is cut into blocks as it streams by; each also holds the band's least node.
+    """
+    held = np.zeros((0, 2), np.int64)
+    since = least = 0  # blocks of the held band that are out, and its least node
+
+    def out(rows: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        names = chained(rows[:, 0].view(np.uint64), number.astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 1].copy())], ["block", "node"])
+
+    def cut(rows: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
+        """Blocks of one band; what may grow yet stays held."""
+        nonlocal held, since, least
+        while len(rows) >= (2 if end else 2 * BLOCK):
+            now, rows = rows[:BLOCK], rows[BLOCK:]
+            if since:
+                now = np.concatenate([[[now[0, 0], least]], now])
+            else:
+                least = now[0, 1]
+            yield out(now, np.full(len(now), since))
+            since += 1
+        if end and len(rows) and since:
+            yield out(np.concatenate([[[rows[0, 0], least]], rows]), np.full(len(rows) + 1, since))
+        held = rows
+
+    for batch in batches:
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+        rows = np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+        rows = rows[new]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        if since and len(starts) > 1:
+            yield from cut(rows[: starts[1]], True)
+            rows, starts, since = rows[starts[1] :], starts[1:] - starts[1], 0
+        if len(starts) > 1:
+            sizes = np.diff(starts)
+            for i in np.flatnonzero(sizes > BLOCK).tolist():
+                since = 0
+                yield from cut(rows[starts[i] : starts[i + 1]], True)
+            since = 0
+            small = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
+            if small.any():
+                yield out(rows[: len(small)][small], np.zeros(small.sum()))
+        yield from cut(rows[starts[-1] :], False)
+    yield from cut(held, True)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a signature of one byte a bin to (node, text)."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(1))
+        for a, b in chunks(offsets, 1_000_000):
+            short = (mixed(signatures(batch.column(1).slice(a, b - a).to_pylist())) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in short], pa.binary())], ["node", "text", "signature"])
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,6 +143,16 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("doc_id", "line", text.alias("text")).filter(F.length("text") >= LEAST_CHARS).select("doc_id", "line", F.xxhash64("text").alias("node"), "text")
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places each row of `a` agrees with each row of `b`."""
+    if len(a) * len(b) <= 20_000:
+        return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
+    equal = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        equal += a[:, k][:, None] == b[:, k][None, :]
+    return equal
+
+
 def _candidates(cut: int, across: bool):
     """Pairs of similar signatures inside each block; rows come sorted by block."""
 
@@ -89,9 +160,7 @@ def _candidates(cut: int, across: bool):
         found = []
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
-            equal = np.zeros((own.stop - at, len(node)), np.int16)
-            for k in range(BINS):
-                equal += sig[own, k][:, None] == sig[:, k][None, :]
+            equal = agreement(sig[own], sig)
             equal[node[own][:, None] == node[None, :]] = -1
             if across:
                 equal[component[own][:, None] == component[None, :]] = -1
@@ -111,7 +180,15 @@ def _candidates(cut: int, across: bool):
             block, node, component = (table[c].to_numpy() for c in ("block", "node", "component"))
             sig = string_buffers(table["signature"])[0].reshape(-1, BINS)
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            both = [of_block(node[x:y], sig[x:y], component[x:y]) for x, y in pairwise(cuts) if y - x > 1]
+            sizes = np.diff(cuts)
+            both = [of_block(node[x:y], sig[x:y], component[x:y]) for x, y in pairwise(cuts) if y - x > 4]
+            # Pairs of all small blocks at once.
+            left = np.repeat(sizes <= 4, sizes)
+            for step in (1, 2, 3):
+                x = np.flatnonzero(left[:-step] & (block[step:] == block[:-step])) if len(block) > step else np.zeros(0, np.int64)
+                x = x[(component[x] != component[x + step]) & (node[x] != node[x + step])]
+                x = x[(sig[x] == sig[x + step]).sum(1) >= cut]
+                both.append(np.sort(np.stack([node[x], node[x + step]], 1), axis=1))
             all_pairs = np.unique(np.concatenate([*both, np.zeros((0, 2), np.int64)]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(all_pairs[:, i].copy()) for i in (0, 1)], ["a", "b"])
 
@@ -131,6 +208,17 @@ def _candidates(cut: int, across: bool):
     return run
 
 
+def _only(wanted: Words):
+    """Rows (node, text) of wanted nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted.open()
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.find(batch.column(0).to_numpy().view(np.uint64))[1] > 0))
+
+    return run
+
+
 def _pairs(places: DataFrame, cut: int, labels: DataFrame | None = None) -> DataFrame:
     rows = places.withColumn("component", F.col("node")) if labels is None else places.join(labels, "node")
     dealt = rows.select("block", "node", "component", "signature").repartition("block").sortWithinPartitions("block")
@@ -168,27 +256,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, kept) of every line that is long enough; lines count from 0."""
     lines = lines_of(df, id_col, text_col)
-    form = "doc_id long, line int, node long, bands array<long>, signature binary"
-    table = materialize(lines.mapInArrow(_sketch, form), "lines")
+    spark = df.sparkSession
     cut = int(BINS * similar - 4 * np.sqrt(BINS * similar * (1 - similar)))
-    shared = table.select("node", F.explode("bands").alias("band")).distinct()
-    sizes = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    met = shared.join(sizes, "band")
-    part = F.when(F.col("n") <= BLOCK, 0).otherwise(F.expr(f"pmod(xxhash64(node), (n + {BLOCK} - 1) div {BLOCK})"))
-    # Every block of a larger band also holds the band's least line.
-    met = met.select(F.xxhash64("band", part).alias("block"), F.explode(F.array_distinct(F.array("node", F.when(F.col("n") <= BLOCK, F.col("node")).otherwise(F.col("least"))))).alias("node"))
-    nodes = table.groupBy("node").agg(F.first("signature").alias("signature"))
-    places = materialize(met.distinct().join(nodes, "node"), "places")
+    bands = lines.select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
+    met = materialize(bands.mapInArrow(_blocks, "block long, node long"), "blocks")
+    # Lines that met another, as a sorted array in files, so that their texts are found without dealing out all lines.
+    asked = materialize(met.groupBy(F.col("node").alias("word")).agg(F.count("*").alias("n")), "asked")
+    folder = work_path(spark, "asked-lines")
+    wanted = write_words(asked, folder)
+    texts = lines.select("node", "text").mapInArrow(_only(wanted), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    texts = materialize(texts.mapInArrow(_signed, "node long, text string, signature binary"), "texts")
+    places = materialize(met.join(texts.select("node", "signature"), "node"), "places")
     first = materialize(_pairs(places, cut), "pairs")
-    ends = materialize(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "ends")
-    texts = materialize(lines.select("node", "text").join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     links = materialize(_confirmed(first, texts, similar), "links")
     labels = ends.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = materialize(labels, "labels")
     across = _pairs(places, cut, labelled).join(first, ["a", "b"], "left_anti")
     more = materialize(_confirmed(across, texts, similar), "links")
     found = materialize(components(links.unionByName(more)), "components")
-    named = table.select("doc_id", "line", "node").join(found, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))
+    named = lines.select("doc_id", "line", "node").join(found, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     firsts = named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     result = named.join(firsts, "component").select(
@@ -196,7 +283,9 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     )
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line") == F.col("first_line"))
     out = materialize(result.withColumn("kept", kept), "similar-lines")
-    discard(table, places, first, ends, texts, links, labelled, more, found, named)
+    files = spark.range(0)
+    files._work_path = folder
+    discard(met, asked, files, places, first, texts, links, labelled, more, found, named)
     return out
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inspectrum.llm.graph import components
+from inspectrum.llm.lines import agreement
 from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
 from inspectrum.sources.workspace import discard, materialize
 
@@ -198,9 +199,7 @@ def _candidates(least_equal: int, nearest: int | None):
         a, b = [], []
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
-            equal = np.zeros((own.stop - at, len(node)), np.int16)
-            for k in range(VALUES):
-                equal += sig[own, k][:, None] == sig[:, k][None, :]
+            equal = agreement(sig[own], sig)
             equal[node[own][:, None] == node[None, :]] = -1
             if nearest is None:
                 equal[component[own][:, None] == component[None, :]] = -1

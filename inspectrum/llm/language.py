@@ -29,8 +29,8 @@ from inspectrum.sources.workspace import discard, materialize, work_path
 
 #: Every text ends with this token. Ids are 32-bit numbers.
 END = np.uint64(0x9D39247E33776D41)
-#: Words in a file of words, pairs in a shard (before merging), pairs that a task holds before it sends them.
-WORDS_A_FILE, PAIRS_A_SHARD, PAIRS_HELD = 4_000_000, 4_000_000, 4_000_000
+#: Words in a file, pairs in a shard before they are merged, pairs that a task holds before it sends them.
+WORDS_A_FILE, PAIRS_A_SHARD, PAIRS_HELD = 1_000_000, 4_000_000, 2_000_000
 _BLOCK = 22  # pairs of one first word are split by the second word's number, in blocks of 2 ** 22
 ADDED = 0.1
 
@@ -46,6 +46,7 @@ class Words:
     folder: str
     sizes: list[int]
     total: int
+    per_file: int
 
     @property
     def distinct(self) -> int:
@@ -107,35 +108,35 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Groups of rows that come sorted by `key`."""
-    rest = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        values = table[key].to_numpy()
-        if not len(values):
+        if not batch.num_rows:
             continue
-        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist()]
+        values = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield int(values[a]), table.slice(a, b - a)
-        rest = table.slice(cuts[-1])
-    if rest is not None:
-        yield int(rest[key][0].as_py()), rest
+            if held and held[-1][key][0].as_py() != values[a]:
+                yield held[-1][key][0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[-1][key][0].as_py(), pa.Table.from_batches(held)
 
 
-def learn_words(texts: DataFrame, folder: str) -> Words:
+def learn_words(texts: DataFrame, folder: str, per_file: int) -> Words:
     """Count every token of `text` and write the sorted hashes and counts."""
     counts = materialize(texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    words = write_words(counts, folder)
+    words = write_words(counts, folder, per_file)
     discard(counts)
     return words
 
 
-def write_words(counts: DataFrame, folder: str) -> Words:
+def write_words(counts: DataFrame, folder: str, per_file: int = WORDS_A_FILE) -> Words:
     """Files of the hashes of a written table (word, n) in order, with their counts."""
     distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
     if distinct >= 2**32 - 2:
         raise ValueError("word numbers are 32-bit")
-    files = max(1, -(-distinct // WORDS_A_FILE))
+    files = max(1, -(-distinct // per_file))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,7 +152,7 @@ def write_words(counts: DataFrame, folder: str) -> Words:
 
     dealt = counts.mapInArrow(place, "file int, word long, n long").repartition(files, "file").sortWithinPartitions("file")
     sizes = dict(dealt.mapInArrow(write, "file int, n long").collect())
-    return Words(folder, [sizes.get(i, 0) for i in range(files)], total or 0)
+    return Words(folder, [sizes.get(i, 0) for i in range(files)], total or 0, per_file)
 
 
 def _shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
@@ -200,15 +201,15 @@ class Model:
         self.words.open()
         self._pairs = [map_arrays(f"{self.folder}/pairs-{i}", [("<u8", n), ("<u4", n)]) for i, n in enumerate(self.shards)]
         size = self.words.distinct + 2
-        parts = [map_arrays(f"{self.folder}/dense-{i}", [("<f8", n), ("<f8", n), ("<f8", n)]) for i, n in enumerate(_dense_sizes(size))]
+        parts = [map_arrays(f"{self.folder}/dense-{i}", [("<f8", n), ("<f8", n), ("<f8", n)]) for i, n in enumerate(_dense_sizes(size, self.words.per_file))]
         self._dense = parts
 
     def _of_word(self, which: int, numbers: np.ndarray) -> np.ndarray:
         out = np.empty(len(numbers))
-        file = numbers // WORDS_A_FILE
+        file = numbers // self.words.per_file
         for i in np.unique(file).tolist():
             own = file == i
-            out[own] = self._dense[i][which][numbers[own] - i * WORDS_A_FILE]
+            out[own] = self._dense[i][which][numbers[own] - i * self.words.per_file]
         return out
 
     def _counts(self, pairs: np.ndarray) -> np.ndarray:
@@ -236,16 +237,16 @@ class Model:
         return np.log10(seen + np.where(total > 0, kept, 1.0) * lower)[back]
 
 
-def _dense_sizes(size: int) -> list[int]:
-    return [min(WORDS_A_FILE, size - a) for a in range(0, size, WORDS_A_FILE)]
+def _dense_sizes(size: int, per_file: int) -> list[int]:
+    return [min(per_file, size - a) for a in range(0, size, per_file)]
 
 
-def learn(texts: DataFrame) -> Model:
+def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int = PAIRS_A_SHARD) -> Model:
     """A model of the column `text`. All files are under one new folder of the shared folder."""
     spark = texts.sparkSession
     folder = work_path(spark, "language-model")
-    words = learn_words(texts, folder)
-    v, shards = words.distinct, max(1, -(-words.total // PAIRS_A_SHARD))
+    words = learn_words(texts, folder, words_a_file)
+    v, shards = words.distinct, max(1, -(-words.total // pairs_a_shard))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = WordHasher(), [], 0
@@ -305,7 +306,7 @@ def learn(texts: DataFrame) -> Model:
         """By word number: its probability after any word, and as a first word the share that it leaves to that, and its total."""
         words.open()
         for file, table in _grouped(batches, "file"):
-            size, first = _dense_sizes(v + 2)[file], file * WORDS_A_FILE
+            size, first = _dense_sizes(v + 2, words_a_file)[file], file * words_a_file
             kind, number = table["kind"].to_numpy(), table["id"].to_numpy() - first
             a, b, c = (table[x].to_numpy() for x in "abc")
             lower, share, total = np.full(size, spread / (v + 1)), np.ones(size), np.zeros(size)
@@ -331,11 +332,12 @@ def learn(texts: DataFrame) -> Model:
                 own = (file == i) & (number < v)
                 total[own] = counts[i][number[own] - firsts[i]]
             total[number == v + 1] = ends
-            yield pa.RecordBatch.from_arrays([pa.array((number // WORDS_A_FILE).astype(np.int32)), *batch.columns, pa.array(np.where(kind == 0, total, 0))], ["file", "kind", "id", "a", "b", "c", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array((number // words_a_file).astype(np.int32)), *batch.columns, pa.array(np.where(kind == 0, total, 0))], ["file", "kind", "id", "a", "b", "c", "total"])
 
     ends = texts.count()
-    files = len(_dense_sizes(v + 2))
-    every = spark.range(files).select(F.lit(1).alias("kind"), (F.col("id") * WORDS_A_FILE).alias("id"), *[F.lit(0).cast("long").alias(c) for c in "abc"])
+    files = len(_dense_sizes(v + 2, words_a_file))
+    # A row of no kind for each file, so that every file is written.
+    every = spark.range(files).select(F.lit(-1).alias("kind"), (F.col("id") * words_a_file).alias("id"), *[F.lit(0).cast("long").alias(c) for c in "abc"])
     rows = sums.filter("kind < 2").unionByName(every)
     numbered = rows.mapInArrow(totals, f"file int, {form}, total long").repartition(files, "file").sortWithinPartitions("file")
     numbered.mapInArrow(dense, "file int").write.format("noop").mode("overwrite").save()
@@ -369,10 +371,10 @@ def scored(texts: DataFrame, model: Model) -> DataFrame:
     return texts.select("doc_id", "held_out", "text").mapInArrow(run, form)
 
 
-def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """Score every row by a model of the rows that are not held out."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
-    model = learn(texts.filter("doc_id is not null and not held_out"))
+    model = learn(texts.filter("doc_id is not null and not held_out"), **sizes)
     out = materialize(scored(texts, model), "scores")
     files = out.sparkSession.range(0)
     files._work_path = model.folder

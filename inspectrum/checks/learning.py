@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -517,7 +518,7 @@ def p12(spark, sf):
 # --- clusters
 
 
-@check("k1_cluster_sample", S.with_(S.MODEL_FRAME) + "SELECT least(count(*), 100000) AS ridu, least(count(DISTINCT RIDA_NR), 100000) AS erinevaid FROM frame WHERE KATEGOORIA IS NOT NULL AND KERETYYP IS NOT NULL AND PUNKTI_KOOD IS NOT NULL")
+@check("k1_cluster_sample", S.with_(S.MODEL_FRAME) + "SELECT count(*) AS ridu, count(DISTINCT RIDA_NR) AS erinevaid FROM frame WHERE KATEGOORIA IS NOT NULL AND KERETYYP IS NOT NULL AND PUNKTI_KOOD IS NOT NULL")
 def k1(spark, sf):
     sample = K.make_cluster_frame(model_rows(spark, sf))
     return sample.agg(F.count("*").alias("ridu"), F.countDistinct(ROW_NO).alias("erinevaid"))
@@ -555,9 +556,32 @@ def k3(spark, sf):
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-@check("k4_assigned_clusters")
+KEYED = "KATEGOORIA IS NOT NULL AND KERETYYP IS NOT NULL AND PUNKTI_KOOD IS NOT NULL"
+
+
+@check("k4_assigned_clusters", S.with_(S.MODEL_FRAME) + f"SELECT count(*) AS ridu, count(DISTINCT RIDA_NR) AS erinevaid, 2 AS klastreid, true AS koik FROM frame WHERE {KEYED}")
 def k4(spark, sf):
-    return clustering(spark, sf).labelled
+    """Every row is in one of the two clusters."""
+    rows = clustering(spark, sf).labelled
+    inside = F.coalesce(F.bool_and(F.col(K.CLUSTER).isin(0, 1)), F.lit(True))
+    return rows.agg(F.count("*").alias("ridu"), F.count_distinct(ROW_NO).alias("erinevaid"), F.count_distinct(K.CLUSTER).cast("int").alias("klastreid"), inside.alias("koik"))
+
+
+# Mean squared distance of a row to a cluster, from the cluster's sums; to its own cluster without itself.
+SILHOUETTE = """
+, l AS (SELECT RIDA_NR, VANUS::DOUBLE AS x, YV_KUU::DOUBLE AS y, (SOIDUK_ID % 3)::INTEGER AS c FROM frame),
+ s AS (SELECT c, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM l GROUP BY c),
+ d AS (SELECT RIDA_NR, l.c, s.c AS other, s.n, x * x + y * y + s.q / s.n - 2 * (x * sx + y * sy) / s.n AS mean FROM l CROSS JOIN s),
+ p AS (SELECT RIDA_NR, max(mean * n / greatest(n - 1, 1)) FILTER (other = c) AS a, min(mean) FILTER (other <> c) AS b, max(n) FILTER (other = c) AS n FROM d GROUP BY RIDA_NR)
+ SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS siluett FROM p"""
+
+
+@check("k3_silhouette", S.with_(S.MODEL_FRAME) + SILHOUETTE)
+def k3_silhouette(spark, sf):
+    """Silhouette of a fixed assignment."""
+    rows = frame(spark, sf).withColumn(K.CLUSTER, (F.col("SOIDUK_ID") % 3).cast("int"))
+    vectors = VectorAssembler(inputCols=["VANUS", "YV_KUU"], outputCol="features").transform(rows)
+    return spark.createDataFrame([(round(K.silhouette(vectors), 6),)], "siluett double")
 
 
 @check(

@@ -39,8 +39,7 @@ def yearly_csv(spark, sf) -> str:
     def write():
         folder = work_path(spark, "yearly-csv")
         rows = inspections(spark, sf)
-        years = [r[0] for r in rows.select(YEAR).distinct().collect()]
-        sinks.write_yearly_csv(rows.drop(ROW_NO), folder, YEAR, years)
+        sinks.write_yearly_csv(rows.drop(ROW_NO), folder, YEAR)
         return folder
 
     return once(spark, sf, "yearly-csv", write)
@@ -362,7 +361,7 @@ def b22(spark, sf):
 # --- defect column
 
 
-@check("c1_normalized_delimiters", S.with_(S.YLEV) + "SELECT replace(replace(replace(RIKKED, ';', ','), chr(10), ','), chr(13), ',') AS r, count(*) AS n FROM ylev GROUP BY 1")
+@check("c1_normalized_delimiters", S.with_(S.YLEV) + r"SELECT regexp_replace(RIKKED, '[;\n\r]', ',', 'g') AS r, count(*) AS n FROM ylev GROUP BY 1")
 def c1(spark, sf):
     return counted(inspections(spark, sf), D.normalize_delimiters(F.col("RIKKED")).alias("r"))
 
@@ -415,11 +414,9 @@ def c7(spark, sf):
 @check(
     "c8_severity_flags",
     S.with_(S.YLEV)
-    + """SELECT vo, ov, eov, count(*) AS n FROM (SELECT rid, max((sev = 'VO')::INTEGER) AS vo, max((sev = 'OV')::INTEGER) AS ov, max((sev = 'EOV')::INTEGER) AS eov FROM (
- SELECT rid, trim(split_part(trim(entry), ':', 1)) AS sev FROM (SELECT row_number() OVER () AS rid,
- unnest(string_split(replace(COALESCE(RIKKED, ''), ';', ','), ',')) AS entry FROM ylev)) GROUP BY rid) GROUP BY 1, 2, 3""".replace(
-        "SELECT row_number() OVER () AS rid,\n unnest", "SELECT rid, unnest"
-    ).replace("AS entry FROM ylev)", "AS entry FROM (SELECT *, row_number() OVER () AS rid FROM ylev))"),
+    + f"""SELECT (coalesce(list_contains(k, 'VO'), false))::INTEGER AS vo, (coalesce(list_contains(k, 'OV'), false))::INTEGER AS ov,
+ (coalesce(list_contains(k, 'EOV'), false))::INTEGER AS eov, count(*) AS n
+ FROM (SELECT list_transform({S.ENTRY_LIST}, lambda entry: trim(string_split(entry, ':')[1])) AS k FROM ylev) GROUP BY ALL""",
 )
 def c8(spark, sf):
     entries = inspections(spark, sf).select(D.loose_entries(F.col("RIKKED")).alias("e"))
@@ -673,15 +670,46 @@ def h1(spark, sf):
     return counted(inspections(spark, sf), "SOIDUK_ID").orderBy(F.desc("n"), "SOIDUK_ID").limit(10)
 
 
+def year_in_parts(spark, sf) -> str:
+    """1998 as a folder of two parts: few rows first, other column order, quoted line breaks."""
+
+    def write():
+        rows = inspections(spark, sf).filter(F.col(YEAR) == 1998).select(*RAW_COLUMNS)
+        rows = rows.withColumn("RIKKED", F.translate("RIKKED", ";", "\n"))
+        first = F.col("SOIDUK_ID").cast("bigint") % 10 == 0
+        folder = work_path(spark, "year-in-parts")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path(f"{folder}/1998.csv"))
+        for name, part in (("a", rows.filter(first).select(*reversed(RAW_COLUMNS))), ("b", rows.filter(~first))):
+            sinks.write_csv(part.coalesce(1), f"{folder}/{name}")
+            for file in fs.globStatus(path(f"{folder}/{name}/part-*")):
+                fs.rename(file.getPath(), path(f"{folder}/1998.csv/{name}.csv"))
+        return f"{folder}/1998.csv"
+
+    return once(spark, sf, "year-in-parts", write)
+
+
+@check(
+    "a5_year_folder_of_parts",
+    S.with_(S.YLEV)
+    + """SELECT esimene, n, CASE WHEN esimene THEN 0 ELSE koik - n END AS algus, CASE WHEN esimene THEN n ELSE koik END - 1 AS lopp, murtud, marke
+ FROM (SELECT esimene, count(*) AS n, (SELECT count(*) FROM ylev WHERE ALLIKA_AASTA = 1998) AS koik, count(*) FILTER (contains(RIKKED, ';')) AS murtud,
+  count(DISTINCT MARK) AS marke FROM (SELECT *, SOIDUK_ID::BIGINT % 10 = 0 AS esimene FROM ylev WHERE ALLIKA_AASTA = 1998) GROUP BY esimene)""",
+)
+def a5_parts(spark, sf):
+    """Columns by each part's header and numbers in file order."""
+    rows = src.load_year(spark, year_in_parts(spark, sf), 1998)
+    return rows.groupBy((F.col("SOIDUK_ID").cast("bigint") % 10 == 0).alias("esimene")).agg(
+        F.count("*").alias("n"), F.min(ROW_NO).alias("algus"), F.max(ROW_NO).alias("lopp"),
+        F.count_if(F.col("RIKKED").contains("\n")).alias("murtud"), F.count_distinct("MARK").alias("marke"),
+    )
+
+
 @check("i1_union_all", S.with_(S.YLEV) + "SELECT ALLIKA_AASTA, MARK, count(*) AS n FROM ylev GROUP BY 1, 2")
 def i1(spark, sf):
-    rows = inspections(spark, sf)
-    years = sorted(r[0] for r in rows.select(YEAR).distinct().collect())
-    parts = [rows.filter(F.col(YEAR) == y) for y in years]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return counted(union, YEAR, "MARK")
+    """The years' own files, read together."""
+    return counted(src.load_folder(spark, yearly_csv(spark, sf), regular_only=False), YEAR, "MARK")
 
 
 @check("i2_distinct", S.with_(S.YLEV) + "SELECT DISTINCT KATEGOORIA, KERETYYP FROM ylev")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from inspectrum.sources.schema import ROW_NO
 from inspectrum.sources.workspace import materialize
 
-# Row numbers of one scan partition share the bits above this one.
-_CHUNK_BITS = 33
+# Rows whose numbers agree above this bit are one chunk of the file: at most about a million rows.
+_CHUNK_BITS = 20
 
 
 def frequencies(df: DataFrame, mark: str = "MARK", model: str = "MUDEL") -> tuple[DataFrame, DataFrame]:

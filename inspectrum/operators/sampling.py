@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from inspectrum.sources.schema import ROW_NO
 
 _DIGIT_BITS = 12
-# A bucket of at most this many hashes is sorted instead of split again.
-_SMALL_BUCKET = 100_000
 
 
 def row_hash(row_no: str = ROW_NO, seed: int = 42) -> Column:
@@ -25,8 +23,8 @@ def row_hash(row_no: str = ROW_NO, seed: int = 42) -> Column:
 def hash_cutoff(df: DataFrame, n: int, row_no: str = ROW_NO, seed: int = 42) -> int | None:
     """Value v for which exactly `n` rows have hash <= v; None when every row is needed.
 
-    Counts the rows per leading bits and keeps the bucket that holds the n-th row, until
-    that bucket is small enough to sort. A step brings at most 4096 counts to the driver.
+    Counts the rows per leading bits and keeps the bucket that holds the n-th row, at most
+    until a bucket is one hash. A step brings at most 4096 counts to the driver.
     """
     hashes = df.select(row_hash(row_no, seed).alias("h"))
     wanted, shift = n, 64
@@ -43,8 +41,6 @@ def hash_cutoff(df: DataFrame, n: int, row_no: str = ROW_NO, seed: int = 42) ->
             # Every row of this bucket and of the buckets before it.
             return ((bucket + 1) << shift) - 1
         hashes = hashes.filter(F.shiftright("h", shift) == bucket)
-        if size <= _SMALL_BUCKET:
-            return hashes.orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
 
 
 def exact_sample(df: DataFrame, n: int, row_no: str = ROW_NO, seed: int = 42) -> DataFrame:

@@ -249,7 +249,7 @@ def similar_marks(df: DataFrame, wanted: str, n: int = 8) -> DataFrame:
 
 def defect_labels(report: DataFrame) -> DataFrame:
     """Add `SEV: name`, or `SEV:id` when no row of the report has a name. The report is a top-k list."""
-    any_name = report.agg(F.coalesce(F.max(F.col("nimetus") != ""), F.lit(False))).scalar()
+    any_name = F.coalesce(F.max(F.col("nimetus") != "").over(W.partitionBy()), F.lit(False))
     with_name = F.concat(F.col("raskusaste"), F.lit(": "), F.col("nimetus"))
     with_id = F.concat(F.col("raskusaste"), F.lit(":"), F.col("rike_id"))
     return report.withColumn("label", F.when(any_name, with_name).otherwise(with_id))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
@@ -15,17 +15,14 @@ CACHED_NAME = "yv_{year}.csv"
 RAW_NAME = "{year}.csv"
 RAW_GLOB = "[0-9][0-9][0-9][0-9].csv"
 
-# Row numbers hold the scan partition from bit 33 and the year or arrival from this bit.
-BATCH_SHIFT = 50
-
 CSV_OPTIONS = {
     "header": True,
     "sep": ",",
     "encoding": "UTF-8",
     "quote": '"',
     "escape": '"',
-    # Quoted defect lists may hold line breaks. A year may also be a folder of part
-    # files, which is how a year too large for one task is delivered.
+    # Quoted defect lists may hold line breaks, so a file is one split. A year too large for
+    # one task is delivered as a folder of part files.
     "multiLine": True,
 }
 
@@ -58,35 +55,72 @@ def available_years(sources: dict[int, str]) -> list[int]:
     return sorted(sources)
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-string scan of one year; columns are taken by the names in the header, in any order."""
-    return spark.read.options(**CSV_OPTIONS).csv(path)
+_FILE, _ID = "__file", "__id"
+
+
+def _part_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the files of a folder in order of their names; hidden ones do not count."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(hadoop_path) if f.isFile() and f.getLen() > 0]
+    return sorted(p.toString() for p in found if p.getName()[0] not in "._")
+
+
+def _header(spark: SparkSession, file: str) -> str:
+    """First line of a file, compressed or not."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+    reader = jvm.java.io.BufferedReader(text)
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
 
 
-def load_year(
-    spark: SparkSession, path: str, year: int, columns: list[str] = RAW_COLUMNS, max_rows: int | None = None
-) -> DataFrame:
-    """The wanted columns that the file has, with a row number in file order and the source tag.
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All-string scan of one year, with the file of each row in `__file`.
 
-    The cap keeps the first rows of the file.
+    Columns are taken by the names in each part's own header, in any order: parts with
+    equal headers are read together.
     """
-    rows = scan_csv(spark, path).withColumn(ROW_NO, F.monotonically_increasing_id())
-    if max_rows is not None:
-        rows = rows.orderBy(ROW_NO).limit(int(max_rows))
-    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO).withColumn(YEAR, F.lit(int(year)))
+    groups: dict[str, list[str]] = {}
+    for file in _part_files(spark, path):
+        groups.setdefault(_header(spark, file), []).append(file)
+    if not groups:
+        raise FileNotFoundError(f"no rows in {path}")
+    parts = [spark.read.options(**CSV_OPTIONS).csv(files) for files in groups.values()]
+    parts = [p.select("*", F.col("_metadata.file_path").alias(_FILE)) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def load_years(
-    spark: SparkSession,
-    paths: dict[int, str],
-    columns: list[str] = RAW_COLUMNS,
-    max_rows_per_year: int | None = None,
-) -> DataFrame:
-    """Union of the yearly scans in year order; row numbers stay unique across years."""
-    parts = [load_year(spark, paths[y], y, columns, max_rows_per_year) for y in sorted(paths)]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    offset = F.shiftleft((F.col(YEAR) - min(paths)).cast("bigint"), BATCH_SHIFT)
-    return union.withColumn(ROW_NO, offset + F.col(ROW_NO))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Row numbers without gaps in order of (year, file, position); there is one size for each file."""
+    placed = rows.withColumn(_ID, F.monotonically_increasing_id())
+    sizes = placed.groupBy(YEAR, _FILE).agg(F.count("*").alias("__n"), F.min(_ID).alias("__first"))
+    before = W.orderBy(YEAR, _FILE).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(YEAR, _FILE, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
+    return placed.join(starts, [YEAR, _FILE]).withColumn(ROW_NO, F.col("__start") + F.col(_ID)).drop(_FILE, _ID, "__start")
+
+
+def _tagged(spark: SparkSession, path: str, year: int, columns: list[str]) -> DataFrame:
+    rows = scan_csv(spark, path)
+    return rows.select(*[c for c in columns if c in rows.columns], _FILE).withColumn(YEAR, F.lit(int(year)))
+
+
+def load_year(spark: SparkSession, path: str, year: int, columns: list[str] = RAW_COLUMNS) -> DataFrame:
+    """The wanted columns that the year has, with a row number in file order and the source tag."""
+    rows = _numbered(_tagged(spark, path, year, columns))
+    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO, YEAR)
+
+
+def load_years(spark: SparkSession, paths: dict[int, str], columns: list[str] = RAW_COLUMNS) -> DataFrame:
+    """Union of the yearly scans; row numbers go by year, file and position."""
+    parts = [_tagged(spark, paths[y], y, columns) for y in sorted(paths)]
+    rows = _numbered(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO, YEAR)
 
 
 def _matching(spark: SparkSession, pattern: str) -> list[str]:

@@ -7,22 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select(
+        *[
+            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays are written as JSON text, surrounding spaces are kept."""
-    flat = [
-        F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    df.select(*flat).write.mode("overwrite").options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
-
-
-def write_yearly_csv(df: DataFrame, folder: str, year_column: str, years: list[int]) -> dict[int, str]:
-    """One CSV folder `YYYY.csv` per year, for readers of the yearly layout."""
-    paths = {int(y): f"{folder.rstrip('/')}/{int(y)}.csv" for y in years}
-    for year, path in paths.items():
-        write_csv(df.filter(F.col(year_column) == year).drop(year_column), path)
+    _flat(df).write.mode("overwrite").options(**CSV_WRITE).csv(path)
+
+
+def write_yearly_csv(df: DataFrame, folder: str, year_column: str) -> dict[int, str]:
+    """One CSV folder `YYYY.csv` per year, for readers of the yearly layout.
+
+    All years are written in one job, then their folders are renamed.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    _flat(df).write.mode("overwrite").partitionBy(year_column).options(**CSV_WRITE).csv(folder)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    paths: dict[int, str] = {}
+    for status in fs.globStatus(hadoop_path(f"{folder}/{year_column}=[0-9]*")) or []:
+        year = int(status.getPath().getName().rsplit("=", 1)[1])
+        paths[year] = f"{folder}/{year}.csv"
+        fs.rename(status.getPath(), hadoop_path(paths[year]))
     return paths
 
 

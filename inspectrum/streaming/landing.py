@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectrum.sources.inspections import BATCH_SHIFT, CSV_OPTIONS
+from inspectrum.sources.inspections import CSV_OPTIONS, _exists
 from inspectrum.sources.schema import RAW_SCHEMA, ROW_NO, YEAR
 
 
@@ -23,8 +23,11 @@ def land_new_files(spark: SparkSession, folder: str, path: str, checkpoint: str)
     )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        first = F.lit(batch_id << BATCH_SHIFT).cast("bigint")
-        numbered = batch.withColumn(ROW_NO, first + F.monotonically_increasing_id())
+        first = 0
+        if _exists(spark, path):
+            earlier = spark.read.parquet(path).filter(F.col("saabumine") < batch_id)
+            first = (earlier.agg(F.max(ROW_NO)).first()[0] or -1) + 1
+        numbered = batch.withColumn(ROW_NO, F.lit(first).cast("bigint") + F.monotonically_increasing_id())
         numbered.write.mode("overwrite").partitionBy(YEAR).parquet(f"{path}/saabumine={batch_id}")
 
     query = (

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from inspectrum.operators import features as M
@@ -218,32 +219,27 @@ def test_temporal_calibration(spark, learned):
 
 def test_clustering(spark, learned):
     frame, _, _ = learned
-    run = K.run_clustering(frame, sample_size=400, k_max=3, n_init=2)
-    assert run.labelled.count() == 400 and [s["k"] for s in run.scores] == [2, 3]
+    run = K.run_clustering(frame, k_max=3, n_init=2)
+    n = K.make_cluster_frame(frame).count()
+    assert run.labelled.count() == n and [s["k"] for s in run.scores] == [2, 3]
     assert run.scores[1]["inertia"] < run.scores[0]["inertia"]
-    assert run.profiles.agg(F.sum("size")).first()[0] == 400
-    assert run.record.first()["sample_size"] == 400
+    assert run.profiles.agg(F.sum("size")).first()[0] == n
+    assert run.record.first()["n_rows"] == n
     assert not set(K.EXCLUDED) & set(K.CLUSTER_NUMERIC + K.CLUSTER_CATEGORICAL)
 
 
-def test_silhouette_matches_one_hot_distances(spark):
+def test_silhouette_on_squared_distances(spark):
     rng = np.random.default_rng(4)
-    n = 120
-    numeric = rng.normal(size=(n, len(K.CLUSTER_NUMERIC)))
-    codes = rng.integers(0, 4, size=(n, len(K.CLUSTER_CATEGORICAL)))
-    labels = rng.integers(0, 3, size=n)
-    rows = [[*map(float, numeric[i]), *map(float, codes[i]), int(labels[i])] for i in range(n)]
-    names = [*[f"{c}_z double" for c in K.CLUSTER_NUMERIC], *[f"{c}_idx double" for c in K.CLUSTER_CATEGORICAL], "KLASTER int"]
-    one_hot = np.hstack([numeric, *[np.eye(4)[codes[:, j]] for j in range(codes.shape[1])]])
-    d = np.sqrt(((one_hot[:, None] - one_hot[None]) ** 2).sum(-1))
+    x, labels = rng.normal(size=(120, 4)), rng.integers(0, 3, size=120)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
     values = []
-    for i in range(n):
-        own = (labels == labels[i]) & (np.arange(n) != i)
-        a = d[i, own].mean()
+    for i in range(120):
+        a = d[i, (labels == labels[i]) & (np.arange(120) != i)].mean()
         b = min(d[i, labels == k].mean() for k in set(labels) - {labels[i]})
         values.append((b - a) / max(a, b))
-    got = K.silhouette(spark.createDataFrame(rows, ", ".join(names)))
-    assert got == pytest.approx(np.mean(values))
+    rows = [(Vectors.dense(v), int(k)) for v, k in zip(x, labels)]
+    assert K.silhouette(spark.createDataFrame(rows, ["features", "KLASTER"])) == pytest.approx(np.mean(values))
+    assert np.isnan(K.silhouette(spark.createDataFrame([(r[0], 0) for r in rows], ["features", "KLASTER"])))
 
 
 def test_standardized_columns(spark):

@@ -58,9 +58,23 @@ def test_missing_folder(spark, tmp_path):
         src.load_folder(spark, str(tmp_path))
 
 
-def test_cap_keeps_first_rows(spark, folder):
-    got = src.load_year(spark, str(folder / "2023.csv"), 2023, ["SOIDUK_ID", "NO_SUCH"], max_rows=2).orderBy(ROW_NO)
-    assert [r["SOIDUK_ID"] for r in got.collect()] == ["1", "2"] and "NO_SUCH" not in got.columns
+def test_missing_columns_are_left_out(spark, folder):
+    got = src.load_year(spark, str(folder / "2023.csv"), 2023, ["SOIDUK_ID", "NO_SUCH"]).orderBy(ROW_NO)
+    assert [r["SOIDUK_ID"] for r in got.collect()] == ["1", "2", "3"] and "NO_SUCH" not in got.columns
+
+
+def test_year_folder_goes_by_each_header_and_by_file_order(spark, tmp_path):
+    """Parts of different size, header order and columns; a larger later part does not come first."""
+    year = tmp_path / "2023.csv"
+    year.mkdir()
+    (year / "part-00000.csv").write_text('SOIDUK_ID,MARK,RIKKED\n1,BMW,"VO:1\nOV:2"\n2,AUDI,\n', encoding="utf-8")
+    (year / "part-00001.csv").write_text("MARK,SOIDUK_ID\n" + "".join(f"OPEL,{i}\n" for i in range(3, 303)), encoding="utf-8")
+    (year / "_SUCCESS").write_text("x")
+    for rows in (src.load_year(spark, str(year), 2023), src.load_years(spark, {2023: str(year)})):
+        got = rows.orderBy(ROW_NO).collect()
+        assert [int(r["SOIDUK_ID"]) for r in got] == list(range(1, 303))
+        assert [r[ROW_NO] for r in got] == list(range(302))
+        assert got[0]["MARK"] == "BMW" and got[0]["RIKKED"] == "VO:1\nOV:2" and got[2]["MARK"] == "OPEL" and got[2]["RIKKED"] is None
 
 
 def test_cached_source_is_preferred(spark, folder):

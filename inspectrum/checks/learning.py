@@ -335,6 +335,30 @@ def m9(spark, sf):
     return model(spark, sf).score(split(spark, sf).test).select("SOIDUK_ID", "YV_KUU", C.TARGET, "score", "prediction")
 
 
+LATEST = "FROM frame WHERE YV_AASTA = (SELECT max(YV_AASTA) FROM frame)"
+
+
+@check("m9_scored_rows", S.with_(S.MODEL_FRAME) + f"SELECT count(*) AS ridu, sum(LABIS_ESIMESEL)::BIGINT AS labis, true AS vahemikus, true AS vastab {LATEST}")
+def m9_rows(spark, sf):
+    """Every row of the test year has a score from 0 to 1, and its prediction follows from it."""
+    rows = model(spark, sf).score(split(spark, sf).test)
+    return rows.agg(
+        F.count("*").alias("ridu"), F.sum(C.TARGET).alias("labis"), F.bool_and(F.col("score").between(0, 1)).alias("vahemikus"),
+        F.bool_and((F.col("score") > 0.5) == (F.col("prediction") == 1)).alias("vastab"),
+    )
+
+
+@check("a12_saved_equals_loaded", S.with_(S.MODEL_FRAME) + f"SELECT count(*) AS ridu, 0::BIGINT AS erinevaid {LATEST}")
+def a12_equal(spark, sf):
+    """Rows whose score changes when the model is saved and loaded: none."""
+    path = work_path(spark, "model")
+    model(spark, sf).save(path)
+    test = split(spark, sf).test
+    first = model(spark, sf).score(test).select(ROW_NO, F.col("score").alias("a"))
+    again = R.RiskModel.load(spark, path).score(test).select(ROW_NO, F.col("score").alias("b"))
+    return first.join(again, ROW_NO).agg(F.count("*").alias("ridu"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-12).alias("erinevaid"))
+
+
 @check("m10_forest")
 def m10(spark, sf):
     """One row per fitted tree."""
@@ -345,7 +369,7 @@ def m10(spark, sf):
 
 @check("h5_feature_importance")
 def h5(spark, sf):
-    return model(spark, sf).feature_importance(spark).orderBy(F.desc("importance"), "feature").limit(50)
+    return model(spark, sf).feature_importance(spark).orderBy(F.desc("importance"), "feature")
 
 
 @check("a12_saved_model_scores")
@@ -496,12 +520,20 @@ def p9(spark, sf):
     return rounded(scores(spark, sf).probability_quality())
 
 
-@check("p10_isotonic_calibration")
+# The isotonic fit at i is the largest, over starts j up to i, of the least mean of j to k, over ends k from i on.
+ISOTONIC = """, pts AS (SELECT score, count(*) FILTER (label = 1) AS passes, count(*) FILTER (label = 0) AS fails FROM labelled GROUP BY score),
+ cum AS (SELECT *, row_number() OVER w AS i, sum(passes) OVER w AS p, sum(passes + fails) OVER w AS n FROM pts WINDOW w AS (ORDER BY score)),
+ seg AS (SELECT a.i AS j, b.i AS k, (b.p - a.p + a.passes)::DOUBLE / (b.n - a.n + a.passes + a.fails) AS mean FROM cum a JOIN cum b ON b.i >= a.i),
+ low AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM seg)
+ SELECT score, round(max(least), 6) AS calibrated, any_value(passes) AS passes, any_value(fails) AS fails FROM low JOIN cum USING (i) GROUP BY score"""
+
+
+@check("p10_isotonic_calibration", SCORED + ISOTONIC)
 def p10(spark, sf):
     table = scores(spark, sf)
     fitted = R.fit_isotonic(table)
     return fitted.transform(table.counts.withColumnRenamed("score", "features")).select(
-        F.col("features").alias("score"), F.col("prediction").alias("calibrated"), "passes", "fails"
+        F.col("features").alias("score"), F.round("prediction", 6).alias("calibrated"), "passes", "fails"
     )
 
 

@@ -58,13 +58,21 @@ def missing_ids(counts: DataFrame, known: DataFrame) -> DataFrame:
     return parsed.distinct().join(known, "defect_id", "left_anti")
 
 
+def _has_rows(known: DataFrame | None) -> bool:
+    return known is not None and not known.isEmpty()
+
+
 def defect_profile(df: DataFrame, known: DataFrame | None, year: str = YEAR) -> DataFrame:
     """Parsed, malformed and unknown entries, distinct ids and ids absent from the dimension.
 
     The last figure is NULL when there is no dimension or it is empty.
     """
+    return _defect_profile(df, known if _has_rows(known) else None, year)
+
+
+def _defect_profile(df: DataFrame, known: DataFrame | None, year: str) -> DataFrame:
     counts = entry_counts(df, year)
-    has_known = known is not None and not known.isEmpty()
+    has_known = known is not None
     if has_known:
         flagged = counts.join(known.select("defect_id", F.lit(1).alias("known")), "defect_id", "left")
     else:
@@ -86,11 +94,12 @@ def defect_profile(df: DataFrame, known: DataFrame | None, year: str = YEAR) ->
 
 def validation_report(df: DataFrame, known: DataFrame | None, year: str = YEAR) -> DataFrame:
     """Both profiles per year, in year order; a year without entries has zero counts."""
-    profile, found = scalar_profile(df, year), defect_profile(df, known, year)
+    known = known if _has_rows(known) else None
+    profile, found = scalar_profile(df, year), _defect_profile(df, known, year)
     joined = profile.join(found, profile["year"].eqNullSafe(found["year"]), "left").drop(found["year"])
     zero = [c for c in found.columns if c not in ("year", "defect_ids_missing_from_rike")]
     report = joined.fillna(0, subset=zero)
-    if known is not None and not known.isEmpty():
+    if known is not None:
         report = report.fillna(0, subset=["defect_ids_missing_from_rike"])
     return report.orderBy("year")
 

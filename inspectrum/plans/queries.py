@@ -9,6 +9,7 @@ from inspectrum.functions import defects as D
 from inspectrum.functions.bands import age_band, age_band_rank, percent
 from inspectrum.functions.text import has_text, is_present, month_of, same_name, to_int, year_of
 from inspectrum.operators.cleaning import is_decided, is_fail, is_pass, is_regular
+from inspectrum.sources.schema import YEAR
 
 
 def top_marks(df: DataFrame, k: int = 3) -> DataFrame:
@@ -187,10 +188,14 @@ def mark_defect_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def defects_summary_by_mark(df: DataFrame, n_years: int, top_n: int = 20, min_per_year: int = 100) -> DataFrame:
-    """Makes with the most defects per 100 inspections; makes without any defect are left out."""
+def defects_summary_by_mark(df: DataFrame, top_n: int = 20, min_per_year: int = 100, year: str = YEAR) -> DataFrame:
+    """Makes with the most defects per 100 inspections; makes without any defect are left out.
+
+    A make needs `min_per_year` inspections for each year that `df` holds.
+    """
+    n_years = df.agg(F.count_distinct(year)).scalar()
     totals = mark_defect_totals(df)
-    enough = totals.filter((F.col("kokku_ylevaatusi") >= min_per_year * n_years) & (F.col("rikeid_kokku") > 0))
+    enough = totals.filter((F.col("kokku_ylevaatusi") >= n_years * min_per_year) & (F.col("rikeid_kokku") > 0))
     rate = F.round(F.col("rikeid_kokku") * F.lit(100.0) / F.col("kokku_ylevaatusi"), 2)
     return (
         enough.withColumn("rikeid_protsent", rate)

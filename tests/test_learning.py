@@ -217,6 +217,12 @@ def test_temporal_calibration(spark, learned):
     assert R.temporal_calibration(frame.filter(F.col("YV_AASTA") > 2022)) is None
 
 
+def test_encoder_without_training_rows(spark):
+    rows = spark.createDataFrame([("A", "X", "M1", "SEDAAN", "P1", 1)], "MARK string, MUDEL string, KATEGOORIA string, KERETYYP string, PUNKTI_KOOD string, LABIS_ESIMESEL int")
+    got = HistoricalRateEncoder().fit(rows.limit(0)).transform(rows).first()
+    assert got["HIST_MARK_FAIL_RATE"] == 0.0 and got["HIST_PUNKT_KATEGOORIA_FAIL_RATE"] == 0.0
+
+
 def test_clustering(spark, learned):
     frame, _, _ = learned
     run = K.run_clustering(frame, k_max=3, n_init=2)

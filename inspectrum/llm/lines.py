@@ -31,8 +31,9 @@ from inspectrum.sources.workspace import discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 40, 0.8
 BINS, BANDS, ROWS = 64, 12, 3
-#: Lines of a band that are compared at once; larger bands are dealt into blocks.
-BLOCK, NEAREST = 512, 3
+#: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
+#: The second pass meets all that are left, so this sets the order of work and not the result.
+BLOCK, NEAREST = 512, 1
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -157,7 +158,9 @@ def _candidates(cut: int, across: bool):
     """Pairs of similar signatures inside each block; rows come sorted by block."""
 
     def of_block(node: np.ndarray, sig: np.ndarray, component: np.ndarray) -> np.ndarray:
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
+        if across and (component == component[0]).all():
+            return found[0]
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
             equal = agreement(sig[own], sig)

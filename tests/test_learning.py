@@ -214,6 +214,10 @@ def test_temporal_calibration(spark, learned):
     row = R.temporal_calibration(frame, trees=8, depth=5).first()
     assert row["train_years"] == [2021, 2022] and (row["calibration_year"], row["test_year"]) == (2023, 2024)
     assert row["brier_improvement"] == pytest.approx(row["raw_brier_score"] - row["calibrated_brier_score"])
+    for side in ("raw", "calibrated"):
+        bins = row[f"{side}_calibration_bins"]
+        assert sum(b["count"] for b in bins) == frame.filter(F.col("YV_AASTA") == 2024).count()
+        assert sum(b["count"] * b["absolute_error"] for b in bins) / sum(b["count"] for b in bins) == pytest.approx(row[f"{side}_expected_calibration_error"])
     assert R.temporal_calibration(frame.filter(F.col("YV_AASTA") > 2022)) is None
 
 

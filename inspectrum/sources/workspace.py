@@ -55,7 +55,8 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `work_path` named, with all in it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -65,12 +66,12 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_work_path", None)
         if path:
-            _delete(table.sparkSession, path)
+            delete_folder(table.sparkSession, path)
 
 
 def close(spark: SparkSession) -> None:
     """Delete every table that this application wrote; call it when the results are consumed."""
-    _delete(spark, application_folder(spark))
+    delete_folder(spark, application_folder(spark))
 
 
 def _close_quietly(spark: SparkSession, app: str) -> None:

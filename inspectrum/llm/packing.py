@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from inspectrum.llm.text import binary_column, texts_of
-from inspectrum.llm.tokens import REMEMBERED_CHARS, _Memory
+from inspectrum.llm.text import WordHasher, binary_column, chunks, string_buffers, texts_of
+from inspectrum.llm.tokens import REMEMBERED_CHARS
 from inspectrum.sources.workspace import discard, materialize
 
 LENGTH, OPEN, MERGE = 2048, 256, 8
@@ -31,14 +31,16 @@ END_ID = 1
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and encodes runs of a pattern apart.
 
-    Every distinct word is split into such runs once per task, and every distinct run is encoded
-    once. Many new runs are encoded together: the last id of each is one that ends a word.
+    Words are told by their 64-bit hashes, with A-Z as a-z, since the tokenizer lowers case. Every distinct word is
+    split into runs once per worker process, and every distinct run is encoded once; many new
+    runs are encoded together: the last id of each is one that ends a word. Known words
+    are a sorted array of hashes beside where their ids lie in one array.
     """
 
     #: Words of characters below this one have one form and lower case character by character; others are encoded whole.
     _PLAIN = "\u0250"
     _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    _KEPT = 400_000
+    _KEPT = 500_000
 
     def __init__(self, path: str) -> None:
         import os
@@ -53,9 +55,12 @@ class WordTokenizer:
         self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._split = regex.compile(self._RUNS).findall
+        self._hasher = WordHasher()
+        self._forget()
+
+    def _forget(self) -> None:
         self._runs: dict[str, bytes] = {}
-        self._known = _Memory(self._raw)
-        self._before: dict[str, bytes] = {}
+        self._hashes, self._starts, self._sizes, self._ids = (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int32))
 
     def _raw(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
@@ -71,45 +76,58 @@ class WordTokenizer:
             else:
                 self._runs.update((r, self._raw(r)) for r in some)
 
-    def _learn(self, words: list[str]) -> None:
-        runs, known = self._runs, self._known
-        alone: dict[str, str] = {}
-        marked: dict[str, tuple[str, str]] = {}
-        split: dict[str, list[str]] = {}
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; short plain words go by their runs."""
+        split: list[tuple[str, ...] | list[str] | None] = []
         for w in words:
             if not w.isascii() and max(w) >= self._PLAIN or len(w) > REMEMBERED_CHARS:
+                split.append(None)
                 continue
             low = w.lower()
             if low.isalpha():
-                alone[w] = low
+                split.append((low,))
             elif low[:-1].isalpha() and low[-1] in ".,":
-                marked[w] = (low[:-1], low[-1])
+                split.append((low[:-1], low[-1]))
             else:
-                split[w] = self._split(low)
-        asked = {*alone.values(), ".", ",", *(a for a, _ in marked.values()), *(r for found in split.values() for r in found)}
-        self._learn_runs(list(asked.difference(runs)))
-        known.update(zip(alone, map(runs.__getitem__, alone.values()), strict=True))
-        known.update((w, runs[a] + runs[b]) for w, (a, b) in marked.items())
-        known.update((w, b"".join([runs[r] for r in found])) for w, found in split.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self._known) > self._KEPT:
-            # Words that are asked for again move over from the older half.
-            self._before, self._known = dict(self._known), _Memory(self._raw)
-        if len(self._runs) > self._KEPT:
-            self._runs.clear()
-        known, before = self._known, self._before
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(known)
-        known[""] = b""
-        again = new.intersection(before) if before else new.intersection(())
-        known.update((w, before[w]) for w in again)
-        self._learn(list(new - again - {""}))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+                split.append(self._split(low))
+        self._learn_runs(list({r for found in split if found for r in found}.difference(self._runs)))
+        runs = self._runs
+        return [self._raw(w) if found is None else b"".join([runs[r] for r in found]) for w, found in zip(words, split, strict=True)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        raw = self._of_words(words)
+        sizes = np.array([len(r) // 4 for r in raw], np.int64)
+        at = np.searchsorted(self._hashes, hashes)
+        self._starts = np.insert(self._starts, at, len(self._ids) + np.cumsum(sizes) - sizes)
+        self._sizes = np.insert(self._sizes, at, sizes)
+        self._hashes = np.insert(self._hashes, at, hashes)
+        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(raw), "<i4")])
+
+    def encode(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ranges of texts, all their ids in order with the end id after each text, and ids per text."""
+        data, offsets = string_buffers(column)
+        for a, b in chunks(offsets):
+            part = data[offsets[a] : offsets[b]]
+            if len(self._hashes) > self._KEPT:
+                self._forget()
+            if not len(part):
+                yield a, b, np.full(b - a, end_id, np.int32), np.ones(b - a, np.int64)
+                continue
+            starts, ends, words = self._hasher.words(part, offsets[a : b + 1] - offsets[a])
+            distinct, first, back = np.unique(self._hasher.hashes(starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(self._hashes, distinct)
+            new = np.flatnonzero(self._hashes[np.minimum(at, len(self._hashes) - 1)] != distinct) if len(self._hashes) else np.arange(len(distinct))
+            if len(new):
+                raw = part.tobytes()
+                where = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+                self._learn(distinct[new], [raw[x:y].decode("utf-8", "surrogatepass") for x, y in where])
+                at = np.searchsorted(self._hashes, distinct)
+            at = at[back]
+            sizes = self._sizes[at]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self._ids[np.repeat(self._starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+            limits = upto[np.concatenate([[0], np.cumsum(words)])]
+            yield a, b, np.insert(ids, limits[1:], end_id), np.diff(limits) + 1
 
 
 @functools.cache
@@ -123,25 +141,19 @@ def pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
 
     `ids` are unsigned little-endian 32-bit numbers.
     """
-    end = np.array([end_id], "<i4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                raw = [x + end for x in tokenizer.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in raw], np.int64)
+            for a, b, ids, sizes in tokenizer.encode(batch.column(1), end_id):
                 n = (sizes + length - 1) // length
-                row = np.repeat(np.arange(len(raw)), n)
+                row = np.repeat(np.arange(b - a), n)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * length
                 size = np.minimum(length, sizes[row] - start)
                 offsets = np.concatenate([[0], np.cumsum(size * 4)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array(start), pa.array(size), binary_column(np.frombuffer(b"".join(raw), np.uint8), offsets), pa.array(sizes[row])],
-                    names,
-                )
+                raw = binary_column(ids.astype("<i4").view(np.uint8), offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(size), raw, pa.array(sizes[row])], names)
 
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 

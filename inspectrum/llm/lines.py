@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
 from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
-from inspectrum.sources.workspace import discard, materialize, work_path
+from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 40, 0.8
 BINS, BANDS, ROWS = 64, 12, 3
@@ -286,9 +286,8 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     )
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line") == F.col("first_line"))
     out = materialize(result.withColumn("kept", kept), "similar-lines")
-    files = spark.range(0)
-    files._work_path = folder
-    discard(met, asked, files, places, first, texts, links, labelled, more, found, named)
+    delete_folder(spark, folder)
+    discard(met, asked, places, first, texts, links, labelled, more, found, named)
     return out
 
 

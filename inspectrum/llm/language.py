@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from inspectrum.llm.arrays import map_arrays, write_arrays
 from inspectrum.llm.text import WordHasher, chunks, mixed, string_buffers, text_or_empty
-from inspectrum.sources.workspace import discard, materialize, work_path
+from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 #: Every text ends with this token. Ids are 32-bit numbers.
 END = np.uint64(0x9D39247E33776D41)
 #: Words in a file, pairs in a shard before they are merged, pairs that a task holds before it sends them.
-WORDS_A_FILE, PAIRS_A_SHARD, PAIRS_HELD = 1_000_000, 4_000_000, 2_000_000
+WORDS_A_FILE, PAIRS_A_SHARD, PAIRS_HELD = 1_000_000, 2_000_000, 2_000_000
 _BLOCK = 22  # pairs of one first word are split by the second word's number, in blocks of 2 ** 22
 ADDED = 0.1
 
@@ -278,16 +278,19 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
         for shard, table in _grouped(batches, "shard"):
             blocks = [_unpacked(b, n) for b, n in zip(table["block"].to_pylist(), table["n"].to_pylist(), strict=True)]
             keys, n = _summed(*(np.concatenate(c) for c in zip(*blocks, strict=True)))
-            write_arrays(f"{folder}/pairs-{shard}", [keys, n.astype("<u4")])
-            before = keys >> np.uint64(32)
+            del blocks, table
+            n = n.astype(np.uint32)
+            write_arrays(f"{folder}/pairs-{shard}", [keys, n])
+            zero = np.zeros(4, np.int64)
+            yield from _rows(2, np.array([1, 2, 3, 4]), np.array([(n == k).sum() for k in (1, 2, 3, 4)]), zero, zero)
+            yield from _rows(3, np.array([shard]), np.array([len(keys)]), zero[:1], zero[:1])
+            word, times = np.unique(keys.astype(np.uint32), return_counts=True)
+            yield from _rows(1, word, times, np.zeros(len(word), np.int8), np.zeros(len(word), np.int8))
+            del word, times
+            before = (keys >> np.uint64(32)).astype(np.uint32)
             start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-            tally = [np.add.reduceat((n == k).astype(np.int64), start) for k in (1, 2)] + [np.add.reduceat((n > 2).astype(np.int64), start)]
-            word, times = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-            zero, one = np.zeros(len(word), np.int64), np.ones(1, np.int64)
-            yield _rows(0, before[start].astype(np.int64), *tally)
-            yield _rows(1, word.astype(np.int64), times, zero, zero)
-            yield _rows(2, np.array([1, 2, 3, 4]), np.array([(n == k).sum() for k in (1, 2, 3, 4)]), np.zeros(4, np.int64), np.zeros(4, np.int64))
-            yield _rows(3, np.array([shard]), len(keys) * one, 0 * one, 0 * one)
+            tally = [np.add.reduceat(x.astype(np.int32), start) for x in (n == 1, n == 2, n > 2)]
+            yield from _rows(0, before[start], *tally)
 
     form = "kind int, id long, a long, b long, c long"
     sent = texts.select("text").mapInArrow(count_pairs, "shard int, n long, block binary").repartition(shards, "shard").sortWithinPartitions("shard")
@@ -345,8 +348,12 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
     return Model(words, sizes, d, folder)
 
 
-def _rows(kind: int, ids: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind), pa.int32()), *(pa.array(x.astype(np.int64)) for x in (ids, a, b, c))], ["kind", "id", "a", "b", "c"])
+def _rows(kind: int, ids: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    for at in range(0, len(ids), 50_000):
+        part = slice(at, at + 50_000)
+        columns = [pa.array(x[part].astype(np.int64)) for x in (ids, a, b, c)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *columns], ["kind", "id", "a", "b", "c"])
 
 
 def scored(texts: DataFrame, model: Model) -> DataFrame:
@@ -376,7 +383,5 @@ def language_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
     model = learn(texts.filter("doc_id is not null and not held_out"), **sizes)
     out = materialize(scored(texts, model), "scores")
-    files = out.sparkSession.range(0)
-    files._work_path = model.folder
-    discard(files)
+    delete_folder(out.sparkSession, model.folder)
     return out

@@ -5,7 +5,7 @@ shingles. One pass of hashes is dealt into bins, and the least hash of each bin
 signature; bands of it bring lines together. Within a band, lines whose signatures
 agree in enough places are compared exactly, by the Jaccard similarity of their full
 sets: first each with its most similar ones, then every such pair whose lines are
-still in different components. Components come from joins, and the first line of each, by
+still in different components; a large band is cut into blocks, and every two of them meet. Components come from joins, and the first line of each, by
 (doc_id, line number), is kept. Lines of fewer characters than `LEAST_CHARS` repeat by
 chance and are always kept.
 
@@ -16,6 +16,7 @@ told by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inspectrum.llm.blocks import agreement, dealt, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
 from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
@@ -32,7 +34,7 @@ from inspectrum.sources.workspace import delete_folder, discard, materialize, wo
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 40, 0.8
 BINS, BANDS, ROWS = 64, 12, 3
 #: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
-#: The second pass meets all that are left, so this sets the order of work and not the result.
+#: The second pass takes whole bands, by pairs of blocks if they are large, so this sets the order of work and not the result.
 BLOCK, NEAREST = 512, 1
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,31 +79,34 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(nodes[a:b], BANDS))], ["band", "node"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """(block, node) of bands with two lines or more, from rows sorted by (band, node); equal rows count once.
 
-    A band of more than `BLOCK` lines is cut into blocks as it streams by; each also holds the band's least node.
+    A band of more than `size` lines (`BLOCK` at first) is cut into blocks as it streams by; each also holds the band's least node.
+    With `named`, a third column has the band of rows that were cut, and nulls for others.
     """
+    size = size or BLOCK
     held = np.zeros((0, 2), np.int64)
     since = least = 0  # blocks of the held band that are out, and its least node
 
-    def out(rows: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    def out(rows: np.ndarray, number: np.ndarray, large: bool) -> pa.RecordBatch:
         names = chained(rows[:, 0].view(np.uint64), number.astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 1].copy())], ["block", "node"])
+        found = pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 1].copy())], ["block", "node"])
+        return found.append_column("band", pa.array(rows[:, 0].copy()) if large else pa.nulls(len(rows), pa.int64())) if named else found
 
     def cut(rows: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
         """Blocks of one band; what may grow yet stays held."""
         nonlocal held, since, least
-        while len(rows) >= (2 if end else 2 * BLOCK):
-            now, rows = rows[:BLOCK], rows[BLOCK:]
+        while len(rows) >= (2 if end else 2 * size):
+            now, rows = rows[:size], rows[size:]
             if since:
                 now = np.concatenate([[[now[0, 0], least]], now])
             else:
                 least = now[0, 1]
-            yield out(now, np.full(len(now), since))
+            yield out(now, np.full(len(now), since), bool(since or len(rows)))
             since += 1
         if end and len(rows) and since:
-            yield out(np.concatenate([[[rows[0, 0], least]], rows]), np.full(len(rows) + 1, since))
+            yield out(np.concatenate([[[rows[0, 0], least]], rows]), np.full(len(rows) + 1, since), True)
         held = rows
 
     for batch in batches:
@@ -117,13 +122,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, starts, since = rows[starts[1] :], starts[1:] - starts[1], 0
         if len(starts) > 1:
             sizes = np.diff(starts)
-            for i in np.flatnonzero(sizes > BLOCK).tolist():
+            for i in np.flatnonzero(sizes > size).tolist():
                 since = 0
                 yield from cut(rows[starts[i] : starts[i + 1]], True)
             since = 0
-            small = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
+            small = np.repeat((sizes > 1) & (sizes <= size), sizes)
             if small.any():
-                yield out(rows[: len(small)][small], np.zeros(small.sum()))
+                yield out(rows[: len(small)][small], np.zeros(small.sum()), False)
         yield from cut(rows[starts[-1] :], False)
     yield from cut(held, True)
 
@@ -144,14 +149,8 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("doc_id", "line", text.alias("text")).filter(F.length("text") >= LEAST_CHARS).select("doc_id", "line", F.xxhash64("text").alias("node"), "text")
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many places each row of `a` agrees with each row of `b`."""
-    if len(a) * len(b) <= 20_000:
-        return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
-    equal = np.zeros((len(a), len(b)), np.int16)
-    for k in range(a.shape[1]):
-        equal += a[:, k][:, None] == b[:, k][None, :]
-    return equal
+def _short_signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return string_buffers(column)[0].reshape(-1, BINS)
 
 
 def _candidates(cut: int, across: bool):
@@ -181,7 +180,7 @@ def _candidates(cut: int, across: bool):
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
             block, node, component = (table[c].to_numpy() for c in ("block", "node", "component"))
-            sig = string_buffers(table["signature"])[0].reshape(-1, BINS)
+            sig = _short_signatures(table["signature"])
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             sizes = np.diff(cuts)
             both = [of_block(node[x:y], sig[x:y], component[x:y]) for x, y in pairwise(cuts) if y - x > 4]
@@ -228,6 +227,14 @@ def _pairs(places: DataFrame, cut: int, labels: DataFrame | None = None) -> Data
     return dealt.mapInArrow(_candidates(cut, labels is not None), "a long, b long").distinct()
 
 
+def _pairs_of_large(places: DataFrame, cut: int, labels: DataFrame) -> DataFrame:
+    """Pairs across components of whole bands that were cut; a line that met no similar one in its blocks is in them too."""
+    whole = places.filter("band is not null").select(F.col("band").alias("group"), "node", "signature").distinct()
+    rows = whole.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    deals = dealt(rows, 4 * BLOCK).select("deal", "half", "node", "component", "signature").repartition("deal").sortWithinPartitions("deal")
+    return deals.mapInArrow(pairs_across(_short_signatures, cut), "a long, b long").distinct()
+
+
 def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
@@ -262,7 +269,7 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     spark = df.sparkSession
     cut = int(BINS * similar - 4 * np.sqrt(BINS * similar * (1 - similar)))
     bands = lines.select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
-    met = materialize(bands.mapInArrow(_blocks, "block long, node long"), "blocks")
+    met = materialize(bands.mapInArrow(functools.partial(_blocks, named=True, size=BLOCK), "block long, node long, band long"), "blocks")
     # Lines that met another, as a sorted array in files, so that their texts are found without dealing out all lines.
     asked = materialize(met.groupBy(F.col("node").alias("word")).agg(F.count("*").alias("n")), "asked")
     folder = work_path(spark, "asked-lines")
@@ -275,7 +282,8 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     links = materialize(_confirmed(first, texts, similar), "links")
     labels = ends.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = materialize(labels, "labels")
-    across = _pairs(places, cut, labelled).join(first, ["a", "b"], "left_anti")
+    across = _pairs(places.filter("band is null"), cut, labelled).unionByName(_pairs_of_large(places, cut, labelled)).distinct()
+    across = across.join(first, ["a", "b"], "left_anti")
     more = materialize(_confirmed(across, texts, similar), "links")
     found = materialize(components(links.unionByName(more)), "components")
     named = lines.select("doc_id", "line", "node").join(found, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from inspectrum.llm import graph, lines, near
+from inspectrum.llm import blocks, graph, lines, near
 
 from .cases import documents_of
 
@@ -180,3 +180,57 @@ def test_blocks_of_streamed_bands(monkeypatch):
             if len(nodes) > 1:
                 assert len({union.find(n) for n in nodes}) == 1
         assert len(set(n for ns in blocks.values() for n in ns)) == sum(len(s) for s in ({n for x, n in rows if x == b} for b in range(60)) if len(s) > 1)
+
+
+def _line_components(texts: list[str]) -> dict:
+    """The first line of each group of a text of distinct lines, from the counts of common shingles."""
+    sets = [lines.shingles(x) for x in texts]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    common, n = has @ has.T, has.sum(1)
+    union = _Union()
+    for i, j in zip(*np.nonzero(common >= lines.SIMILAR * (n[:, None] + n[None, :] - common) - 1e-3), strict=True):
+        union.join(int(i), int(j))
+    return {i: union.find(i) for i in range(len(texts))}
+
+
+def test_lines_of_a_large_band_all_meet(spark):
+    """More lines of one template than a block holds: pairs above the threshold, the others below it."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [rng.choice(letters) for _ in range(200)]
+
+    def edited(text: list, n: int) -> list:
+        out = list(text)
+        for k in rng.sample(range(10, 190), n):
+            out[k] = rng.choice("0123456789")
+        return out
+
+    texts = []
+    for _ in range(800):
+        own = edited(base, 3)
+        texts += ["".join(own), "".join(edited(own, 2))]
+    texts = list(dict.fromkeys(texts))
+    rng.shuffle(texts)
+    rows = lines.similar_lines(documents_of(spark, [(1, "\n".join(texts))])).collect()
+    want = _line_components(texts)
+    assert len(set(want.values())) > 100
+    assert {r.line: r.first_line for r in rows} == want
+
+
+def test_pairs_of_blocks(spark):
+    """Each pair across components meets under one key, whatever the sizes of blocks and components."""
+    rng = random.Random(6)
+    rows = [(g, g * 1000 + k, (g * 1000 + k) if rng.random() < share else g * 1000, b"") for g, (n, share) in enumerate([(40, 0.1), (60, 0.9), (30, 0), (5, 1), (1, 1)]) for k in range(n)]
+    got = blocks.dealt(spark.createDataFrame(rows, "group long, node long, component long, signature binary"), 7).collect()
+    met: dict = {}
+    for r in got:
+        met.setdefault(r.deal, []).append(r)
+    pairs = []
+    for deal in met.values():
+        assert len(deal) < 60 and len({r.group for r in deal}) == 1
+        pairs += [(min(a.node, b.node), max(a.node, b.node)) for a, b in combinations(deal, 2) if a.component != b.component and (a.half == 2 or a.half != b.half)]
+    want = [(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]]
+    assert sorted(pairs) == sorted(want)

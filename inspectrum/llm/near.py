@@ -3,14 +3,15 @@
 A document is the set of its distinct word shingles. Documents with equal sets are one
 node. Every node has one MinHash signature; each tree of the forest reads it in an
 order of its own and sorts nodes by it, so nodes that share a long prefix are
-neighbours. A tree is cut into regions of equal prefixes: all start at a small depth,
-and only regions with too many nodes are read deeper, so depth follows density. Inside
+neighbours. A tree is cut into regions of equal prefixes of a small depth. Inside
 a region, nodes whose signatures agree in enough places are candidates. Every link is
 confirmed on the full sets.
 
 Components need few of the links. First each node meets its most similar neighbours of
-each region; then every candidate pair whose ends are still in different components
-is confirmed too. No candidate that could join two components is left out.
+each region; for that, regions with too many nodes are read deeper, so depth follows
+density. Then every candidate pair whose ends are still in different components is
+confirmed too, in regions of the small depth whatever their size: large ones are cut
+into blocks, and every two blocks meet. No candidate that could join two components is left out.
 
 Null and wordless texts have empty sets and no links. Fewer words than a shingle has are
 one shingle. Rows are judged one by one: rows that repeat a doc_id get equal results if
@@ -28,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inspectrum.llm.blocks import agreement, dealt, pairs_across
 from inspectrum.llm.graph import components
-from inspectrum.llm.lines import agreement
 from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
 from inspectrum.sources.workspace import discard, materialize
 
 #: Values of a signature, trees of the forest, depth at which regions start, nodes of a region that is not read deeper.
-VALUES, TREES, DEPTH, REGION = 128, 16, 3, 512
+#: A pair at 0.8 shares no region of the first depth with probability (1 - 0.8^3)^21 = 3 x 10^-7.
+VALUES, TREES, DEPTH, REGION = 128, 21, 3, 512
+#: Nodes of a block of a large region.
+BLOCK = 1024
 #: Neighbours that each node is compared with in each region at first.
 NEAREST = 3
 
@@ -143,15 +147,19 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "region")
 
 
-def regions(nodes: DataFrame, limit: int = REGION) -> DataFrame:
+def shallow_regions(nodes: DataFrame) -> DataFrame:
+    """(region, node, tree, n) of all trees at the first depth: all pairs that can be candidates share one of them."""
+    return materialize(_counted(nodes.select("node", "signature").mapInArrow(_prefixes(DEPTH, range(TREES)), "node long, tree int, region long")), "regions")
+
+
+def regions(nodes: DataFrame, limit: int = REGION, shallow: DataFrame | None = None) -> DataFrame:
     """(region, node, tree, depth) of all trees: prefixes just deep enough to hold at most `limit` nodes.
 
     Nodes whose whole signatures agree cannot be told apart by depth. They are dealt into
     blocks of about `limit`, and every block also holds the region's smallest node.
     """
     form = "node long, tree int, region long"
-    found = _counted(nodes.select("node", "signature").mapInArrow(_prefixes(DEPTH, range(TREES)), form))
-    level, depth, out = materialize(found, "regions"), DEPTH, None
+    level, depth, out = shallow_regions(nodes) if shallow is None else shallow, DEPTH, None
     while True:
         small = level.filter(F.col("n") <= limit).select("region", "node", "tree", F.lit(depth).alias("depth"))
         out = small if out is None else out.unionByName(small)
@@ -168,20 +176,19 @@ def regions(nodes: DataFrame, limit: int = REGION) -> DataFrame:
         level = materialize(_counted(deeper.mapInArrow(_prefixes(depth, None), form)), "regions")
 
 
-def _met_before(sig: np.ndarray, depths: np.ndarray, tree: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the nodes of each pair also share a region of an earlier tree; depth 0 counts as no region."""
+def _met_before(sig: np.ndarray, tree: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the nodes of each pair also share a region of the first depth in an earlier tree."""
     out = np.zeros(len(x), bool)
     for t in range(tree):
-        order = (t * (VALUES // TREES) + np.arange(VALUES)) % VALUES
-        todo = np.flatnonzero(~out & (depths[x, t] > 0))
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
-            differ = sig[x[part]][:, order] != sig[y[part]][:, order]
-            shared = np.where(differ.any(1), differ.argmax(1), VALUES)
-            out[part] = shared >= depths[x[part], t]
+        own = sig[:, (t * (VALUES // TREES) + np.arange(DEPTH)) % VALUES]
+        out |= (own[x] == own[y]).all(1)
     return out
 
 
+def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ~_met_before(sig, table["tree"][0].as_py(), x, y)
+
+
 def _candidates(least_equal: int, nearest: int | None):
     """Pairs inside each region; rows come sorted by region.
 
@@ -195,7 +202,7 @@ def _candidates(least_equal: int, nearest: int | None):
         if nearest is None:
             if (component == component[0]).all():
                 return node[:0], node[:0]
-            tree, depths = table["tree"][0].as_py(), table["depths"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+            tree = table["tree"][0].as_py()
         a, b = [], []
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
@@ -204,9 +211,8 @@ def _candidates(least_equal: int, nearest: int | None):
             if nearest is None:
                 equal[component[own][:, None] == component[None, :]] = -1
                 x, y = np.nonzero(equal >= least_equal)
-                if table["depth"][0].as_py():
-                    new = ~_met_before(sig, depths, tree, x + at, y)
-                    x, y = x[new], y[new]
+                new = ~_met_before(sig, tree, x + at, y)
+                x, y = x[new], y[new]
             else:
                 best = np.argsort(-equal, axis=1, kind="stable")[:, :nearest]
                 x = np.repeat(np.arange(len(equal)), best.shape[1])
@@ -247,19 +253,24 @@ def _candidates(least_equal: int, nearest: int | None):
     return run
 
 
-def _pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame | None, least_equal: int) -> DataFrame:
-    columns = ["region", "node", "component", "signature"]
-    rows = places.join(nodes.select("node", "signature"), "node")
-    if labels is None:
-        rows = rows.withColumn("component", F.col("node"))
-    else:
-        # How deep the region of each node is in every tree.
-        own = places.join(labels, "node").groupBy("node", "component")
-        depths = own.agg(F.array(*[F.max(F.when(F.col("tree") == t, F.col("depth")).otherwise(0)) for t in range(TREES)]).alias("depths"))
-        rows = rows.join(depths, "node")
-        columns += ["tree", "depth", "depths"]
-    dealt = rows.select(*columns).repartition("region").sortWithinPartitions("region")
-    return dealt.mapInArrow(_candidates(least_equal, NEAREST if labels is None else None), "a long, b long").distinct()
+def _pairs(places: DataFrame, nodes: DataFrame, least_equal: int) -> DataFrame:
+    """Each node with its most similar neighbours of each region."""
+    rows = places.join(nodes.select("node", "signature"), "node").withColumn("component", F.col("node"))
+    rows = rows.select("region", "node", "component", "signature").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(_candidates(least_equal, NEAREST), "a long, b long").distinct()
+
+
+def _pairs_across(shallow: DataFrame, nodes: DataFrame, labels: DataFrame, least_equal: int, limit: int = REGION) -> DataFrame:
+    """All candidates of regions of the first depth whose components differ; those without a label are alone yet."""
+    form = "a long, b long"
+    small = shallow.filter(F.col("n") <= limit).join(labels, "node").join(nodes.select("node", "signature"), "node")
+    small = small.select("region", "node", "component", "signature", "tree").repartition("region").sortWithinPartitions("region")
+    large = shallow.filter(F.col("n") > limit).join(labels, "node", "left")
+    large = large.select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "tree")
+    deals = dealt(large, BLOCK).join(nodes.select("node", "signature"), "node")
+    deals = deals.select("deal", "half", "node", "component", "signature", "tree").repartition("deal").sortWithinPartitions("deal")
+    found = deals.mapInArrow(pairs_across(_matrix, least_equal, _first_met), form)
+    return small.mapInArrow(_candidates(least_equal, None), form).unionByName(found).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,23 +292,32 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     nodes = materialize(keyed.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
     share = percent / 100
     least_equal = int(np.floor(VALUES * share - 4.5 * np.sqrt(VALUES * share * (1 - share))))
-    places = materialize(regions(nodes), "places")
-    first = materialize(_pairs(places, nodes, None, least_equal), "pairs")
-    ends = materialize(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "ends")
-    named = texts.join(ends, texts["doc_id"] == ends["node"], "left_semi")
-    sets = materialize(named.mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
+    shallow = shallow_regions(nodes)
+    places = materialize(regions(nodes, shallow=shallow), "places")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        named = texts.join(ends, texts["doc_id"] == ends["node"], "left_semi")
+        return materialize(named.mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
+
+    first = materialize(_pairs(places, nodes, least_equal), "pairs")
+    ends = materialize(ends_of(first), "ends")
+    sets = sets_of(ends)
     links = materialize(_confirmed(first, sets, percent), "links")
     labels = components(links)
     labelled = materialize(ends.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    across = _pairs(places, nodes, labelled, least_equal).join(first, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(across, sets, percent), "links")
+    across = materialize(_pairs_across(shallow, nodes, labelled, least_equal).join(first, ["a", "b"], "left_anti"), "pairs")
+    late = sets_of(ends_of(across).join(ends, "node", "left_anti"))
+    more = materialize(_confirmed(across, sets.unionByName(late), percent), "links")
     found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component"))
     joined = base.drop("signature").join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     result = joined.select("doc_id", "n_shingles", component.alias("component_id"))
     out = materialize(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    discard(base, nodes, places, first, ends, sets, links, labelled, more)
+    discard(base, nodes, shallow, places, first, ends, sets, links, labelled, across, late, more)
     return out
 
 

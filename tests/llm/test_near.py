@@ -234,3 +234,34 @@ def test_pairs_of_blocks(spark):
         pairs += [(min(a.node, b.node), max(a.node, b.node)) for a, b in combinations(deal, 2) if a.component != b.component and (a.half == 2 or a.half != b.half)]
     want = [(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]]
     assert sorted(pairs) == sorted(want)
+
+
+def test_family_just_below_the_threshold(spark):
+    """More documents of one template than a region holds: planted pairs above the threshold, all others below it."""
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(400)]
+    texts, n = [], 0
+    for _ in range(900):
+        own = list(base)
+        for k in rng.choice(400, 12, replace=False):
+            own[k] = f"x{(n := n + 1)}"
+        twin = list(own)
+        for k in rng.choice(400, 8, replace=False):
+            twin[k] = f"x{(n := n + 1)}"
+        texts += [" ".join(own), " ".join(twin)]
+    order = rng.permutation(len(texts))
+    rows = [(int(d), texts[i]) for d, i in enumerate(order)]
+    sets = [_words(t, 3) for _, t in rows]
+    number = {s: i for i, s in enumerate(set().union(*sets))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    common, size = has @ has.T, has.sum(1)
+    union = _Union()
+    for i, j in zip(*np.nonzero(100 * common >= 85 * (size[:, None] + size[None, :] - common)), strict=True):
+        union.join(int(i), int(j))
+    want = {i: union.find(i) for i in range(len(rows))}
+    assert len(set(want.values())) > 300
+    nodes = documents_of(spark, rows).select("doc_id", "text").mapInArrow(near._sketch(3), "node long, n long, k1 long, k2 long, signature binary")
+    assert near.regions(nodes).agg(F.max("depth")).first()[0] > near.DEPTH
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(documents_of(spark, rows), 3, 85).collect()} == want

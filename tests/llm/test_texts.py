@@ -217,6 +217,41 @@ def test_private_data(spark):
     assert private.find_private(documents_of(spark, [])).count() == 0
 
 
+def test_certain_numbers_reach_all_occurrences():
+    """A number that is certain once is found in each of 50 places, near or far, before and after it."""
+    weights = np.zeros((private.LABELS, private._SIZE))
+    weights[0, 0] = 1.0
+    weights[np.arange(private.LABELS), private.FEATURES + private.LABELS + np.arange(private.LABELS)] = 1.0
+    weights[4, private.FEATURES + private.LABELS + 4] = 4.5
+    for place in (0, 25, 50):
+        parts = ["call 420777123457 at noon today"] * 50
+        parts.insert(place, "call +420777123457 at noon today")
+        text = " ; ".join(parts)
+        found = private.all_spans(text, private.base_spans(text), weights)
+        assert [text[a:b].lstrip("+") for a, b, k in found if k == 3] == ["420777123457"] * 51
+
+
+def test_messages_run_until_they_stop():
+    """Beliefs in a chain without certain tokens equal those of exact sums, at any distance from what tells them."""
+    words = ["(555)x1"] + ["7"] * 60
+    tokens = private.Tokens(" ".join(words), [])
+    weights = np.zeros((private.LABELS, private._SIZE))
+    weights[1, 4] = 4.0
+    weights[np.arange(private.LABELS), private.FEATURES + np.arange(private.LABELS)] = 7.0
+    tokens.skip = tokens.skip[:0]
+    own, pair = tokens.features @ weights[:, : private.FEATURES].T, np.exp(weights[:, private.FEATURES : private.FEATURES + private.LABELS])
+    want, ahead = [], np.ones(private.LABELS)
+    behind = [np.ones(private.LABELS)]
+    for x in np.exp(own[:0:-1]):
+        behind.append(pair @ (x * behind[-1]) / (x * behind[-1]).sum())
+    for x, y in zip(np.exp(own), behind[::-1], strict=True):
+        p = x * ahead * y
+        want.append(p / p.sum())
+        ahead = pair @ (x * ahead) / (x * ahead).sum()
+    assert want[-1][1] > 0.4
+    assert np.abs(private.beliefs(tokens, weights) - np.array(want)).max() < 0.02
+
+
 def test_fingerprints(spark):
     rows = ROWS + [(d, f"{d} {LONG[d : d + 2000]}") for d in range(50, 70)]
     got = parsing.compared_with_edits(documents_of(spark, rows)).collect()

@@ -6,8 +6,8 @@ signature; bands of it bring lines together. Within a band, lines whose signatur
 agree in enough places are compared exactly, by the Jaccard similarity of their full
 sets: first each with its most similar ones, then every such pair whose lines are
 still in different components; a large band is cut into blocks, and every two of them meet. Components come from joins, and the first line of each, by
-(doc_id, line number), is kept. Lines of fewer characters than `LEAST_CHARS` repeat by
-chance and are always kept.
+(doc_id, line number), is kept. Lines without a word do not count. A line shorter than
+a shingle is one shingle, so it is similar to equal lines alone, which are one node from the start.
 
 Null texts have no lines. A null doc_id comes first. Rows that repeat a doc_id share their line numbers,
 and their lines are kept or dropped together. An empty table gives an empty result. Equal lines are
@@ -31,17 +31,23 @@ from inspectrum.llm.language import Words, write_words
 from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
 from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
-SHINGLE, LEAST_CHARS, SIMILAR = 7, 40, 0.8
+SHINGLE, LEAST_CHARS, SIMILAR = 7, 1, 0.8
 BINS, BANDS, ROWS = 64, 12, 3
 #: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
 #: The second pass takes whole bands, by pairs of blocks if they are large, so this sets the order of work and not the result.
 BLOCK, NEAREST = 512, 1
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The order in which each empty bin asks all bins.
+_ASKED = np.random.default_rng(10).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """One row of `BINS` least hashes for each text of at least `SHINGLE` characters; an empty bin borrows from the next."""
+    """One row of `BINS` least hashes for each text of at least `SHINGLE` characters; an empty bin borrows.
+
+    Each bin asks the others in an order of its own and takes the first that is filled, so bins of a short line
+    agree with those of another about as independently as those of long ones do.
+    """
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     hashes = np.zeros(len(points) - SHINGLE + 1, np.uint64)
@@ -60,17 +66,24 @@ def signatures(texts: list[str]) -> np.ndarray:
     out = np.full(len(texts) * BINS, _EMPTY)
     out[place[first].astype(np.int64)] = keys[first] & np.uint64((1 << 38) - 1)
     out = out.reshape(-1, BINS)
-    while True:
-        empty = out == _EMPTY
-        if not empty.any():
-            return out
-        lent = np.roll(out, -1, axis=1)
-        out = np.where(empty & (lent != _EMPTY), lent + np.uint64(1 << 40), out)
+    line_of, bin_of = np.nonzero(out == _EMPTY)
+    filled = out.copy()
+    for step in range(BINS):
+        if not len(line_of):
+            break
+        lent = filled[line_of, _ASKED[bin_of, step]]
+        out[line_of, bin_of] = lent
+        left = lent == _EMPTY
+        line_of, bin_of = line_of[left], bin_of[left]
+    return out
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, node) of every band of (node, text)."""
     for batch in batches:
+        # Lines that repeat in a batch have the same bands.
+        _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+        batch = batch.take(pa.array(np.sort(once)))
         _, offsets = string_buffers(batch.column(1))
         nodes = batch.column(0).to_numpy()
         for a, b in chunks(offsets, 1_000_000):
@@ -143,7 +156,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line, node, text) of lines that are long enough: `node` names equal lines."""
+    """(doc_id, line, node, text) of lines that have a word: `node` names equal lines."""
     split = texts_of(df, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     text = F.btrim(F.lower("raw"), F.lit(SPACES))
     return split.select("doc_id", "line", text.alias("text")).filter(F.length("text") >= LEAST_CHARS).select("doc_id", "line", F.xxhash64("text").alias("node"), "text")
@@ -264,11 +277,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc_id, first_line, kept) of every line that is long enough; lines count from 0."""
+    """(doc_id, line, first_doc_id, first_line, kept) of every line that has a word; lines count from 0."""
     lines = lines_of(df, id_col, text_col)
     spark = df.sparkSession
     cut = int(BINS * similar - 4 * np.sqrt(BINS * similar * (1 - similar)))
-    bands = lines.select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
+    bands = lines.filter(F.length("text") >= SHINGLE).select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
     met = materialize(bands.mapInArrow(functools.partial(_blocks, named=True, size=BLOCK), "block long, node long, band long"), "blocks")
     # Lines that met another, as a sorted array in files, so that their texts are found without dealing out all lines.
     asked = materialize(met.groupBy(F.col("node").alias("word")).agg(F.count("*").alias("n")), "asked")

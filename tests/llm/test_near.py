@@ -265,3 +265,20 @@ def test_family_just_below_the_threshold(spark):
     nodes = documents_of(spark, rows).select("doc_id", "text").mapInArrow(near._sketch(3), "node long, n long, k1 long, k2 long, signature binary")
     assert near.regions(nodes).agg(F.max("depth")).first()[0] > near.DEPTH
     assert {r.doc_id: r.component_id for r in near.near_duplicates(documents_of(spark, rows), 3, 85).collect()} == want
+
+
+def test_short_lines_equal_brute_force(spark):
+    """Lines shorter than a shingle, of a few shingles and of up to 40 characters, equal and with an edit at an end."""
+    rng = random.Random(21)
+    bases = ["}", "Yes", "menu", "*" * 6, "Contact", "ab" * 5, "All rights reserved."]
+    bases += ["".join(rng.choice("abcdefgh ijk") for _ in range(rng.randint(8, 39))) for _ in range(60)]
+    texts = {}
+    for d in range(40):
+        made = []
+        for x in rng.sample(bases, 12):
+            made.append(rng.choice([x, x, x.upper(), x + rng.choice("xyz"), rng.choice("xyz") + x, "  " + x, ""]))
+        texts[d] = "\n".join(made)
+    want = _line_brute(texts)
+    assert {(d, i) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if x.strip()} == set(want)
+    rows = lines.similar_lines(documents_of(spark, list(texts.items()))).collect()
+    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in rows} == want

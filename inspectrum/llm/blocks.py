@@ -8,6 +8,7 @@ component is left out, and blocks of its largest component do not meet each othe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -30,6 +31,16 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return equal
 
 
+def least_agreement(places: int, share: float, miss: float = 1e-7) -> int:
+    """In how many of `places` a pair agrees at least, but for a chance of `miss`, if it agrees in each with probability `share`."""
+    below = 0.0
+    for k in range(places):
+        below += math.comb(places, k) * share**k * (1 - share) ** (places - k)
+        if below > miss:
+            return k
+    return places
+
+
 def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """`rows` (group, node, component, ...) with `deal` and `half`, once for each two blocks that meet.
 

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.blocks import agreement, dealt, pairs_across
+from inspectrum.llm.blocks import agreement, dealt, least_agreement, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
 from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
 from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 1, 0.8
-BINS, BANDS, ROWS = 64, 12, 3
+#: A pair at 0.8 shares no band with probability (1 - 0.8^3)^21 = 3 x 10^-7, if its bins agree independently.
+BINS, BANDS, ROWS = 64, 21, 3
 #: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
 #: The second pass takes whole bands, by pairs of blocks if they are large, so this sets the order of work and not the result.
 BLOCK, NEAREST = 512, 1
@@ -280,7 +281,7 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     """(doc_id, line, first_doc_id, first_line, kept) of every line that has a word; lines count from 0."""
     lines = lines_of(df, id_col, text_col)
     spark = df.sparkSession
-    cut = int(BINS * similar - 4 * np.sqrt(BINS * similar * (1 - similar)))
+    cut = least_agreement(BINS, similar)
     bands = lines.filter(F.length("text") >= SHINGLE).select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
     met = materialize(bands.mapInArrow(functools.partial(_blocks, named=True, size=BLOCK), "block long, node long, band long"), "blocks")
     # Lines that met another, as a sorted array in files, so that their texts are found without dealing out all lines.

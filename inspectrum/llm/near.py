@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.blocks import agreement, dealt, pairs_across
+from inspectrum.llm.blocks import agreement, dealt, least_agreement, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
 from inspectrum.sources.workspace import discard, materialize
@@ -290,8 +290,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     keyed = base.filter("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal signatures, so any of them is the node's.
     nodes = materialize(keyed.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
-    share = percent / 100
-    least_equal = int(np.floor(VALUES * share - 4.5 * np.sqrt(VALUES * share * (1 - share))))
+    least_equal = least_agreement(VALUES, percent / 100)
     shallow = shallow_regions(nodes)
     places = materialize(regions(nodes, shallow=shallow), "places")
 

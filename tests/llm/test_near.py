@@ -1,5 +1,6 @@
 """Near duplicates, fuzzy lines and components against brute force."""
 
+import math
 import random
 from itertools import combinations
 
@@ -282,3 +283,26 @@ def test_short_lines_equal_brute_force(spark):
     assert {(d, i) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if x.strip()} == set(want)
     rows = lines.similar_lines(documents_of(spark, list(texts.items()))).collect()
     assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in rows} == want
+
+
+def test_line_signatures_recall():
+    """Pairs at 0.8 of few and of many shingles share a band and agree in enough bins."""
+    rng = random.Random(1)
+    cut, letters = blocks.least_agreement(lines.BINS, 0.8), "abcdefghijklmnopqrstuvwxyz"
+    for common in (4, 8, 32, 120):
+        pairs = []
+        for _ in range(5000):
+            core = "".join(rng.choices(letters, k=common + lines.SHINGLE - 1))
+            more = rng.choices(letters, k=common // 4)
+            pairs.append(("".join(more[: common // 8]) + core, core + "".join(more[common // 8 :])))
+        equal = lines.signatures([a for a, _ in pairs]) == lines.signatures([b for _, b in pairs])
+        bands = equal[:, : lines.BANDS * lines.ROWS].reshape(len(pairs), lines.BANDS, lines.ROWS).all(2).any(1)
+        assert bands.all() and (equal.sum(1) >= cut).all(), common
+
+
+def test_least_agreement():
+    for places in (64, 128):
+        for share in (0.8, 0.85):
+            k = blocks.least_agreement(places, share)
+            below = [sum(math.comb(places, i) * share**i * (1 - share) ** (places - i) for i in range(n)) for n in (k, k + 1)]
+            assert below[0] <= 1e-7 < below[1]

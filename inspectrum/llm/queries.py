@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from inspectrum.llm import language, lines, near, packing, parsing, private, quality, quotes, tokens, toxicity
+from inspectrum.llm import language, lines, manifest, near, packing, parsing, private, quality, quotes, sharding, spelling, tokens, toxicity
 from inspectrum.llm.text import documents
 from inspectrum.llm.tokens import tokenizer_file
 
@@ -96,4 +96,19 @@ def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_spelling_variants", spelling.ORACLE)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.altered_words(documents(spark, sf_dir)))
+
+
+@query("op12_sampled_splitters", sharding.ORACLE)
+def op12_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(documents(spark, sf_dir))
+
+
+@query("op13_merkle_manifest", manifest.ORACLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

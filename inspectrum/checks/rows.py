@@ -20,7 +20,7 @@ from inspectrum.plans import queries as Q
 from inspectrum.plans import scoring as P
 from inspectrum.sources import inspections as src
 from inspectrum.sources import sinks
-from inspectrum.sources.dimension import defect_names, known_ids, typed_dimension
+from inspectrum.sources.dimension import defect_names, known_ids, read_dimension, typed_dimension
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
 from inspectrum.sources.workspace import work_path
 
@@ -53,6 +53,31 @@ def a1(spark, sf):
     return src.load_years(spark, src.yearly_paths(spark, yearly_csv(spark, sf))).select(*RAW_COLUMNS)
 
 
+_MOST_BYTES = "spark.sql.files.maxPartitionBytes"
+
+
+@check(
+    "a1_quoted_breaks_in_splits",
+    S.with_(S.NUMBERED)
+    + "SELECT * REPLACE (replace(RIKKED, ';', chr(10)) AS RIKKED, row_number() OVER (ORDER BY ALLIKA_AASTA, RIDA_NR) - 1 AS RIDA_NR) FROM ylev",
+)
+def a1_splits(spark, sf):
+    """One file a year with defect lists broken over lines, each file read in splits of 64 KB."""
+
+    def write():
+        folder = work_path(spark, "broken-csv")
+        rows = inspections(spark, sf).withColumn("RIKKED", F.replace("RIKKED", F.lit(";"), F.lit("\n")))
+        sinks.write_yearly_csv(rows.repartition(YEAR).sortWithinPartitions(YEAR, ROW_NO).drop(ROW_NO), folder, YEAR)
+        return folder
+
+    folder, before = once(spark, sf, "broken-csv", write), spark.conf.get(_MOST_BYTES)
+    try:
+        spark.conf.set(_MOST_BYTES, "64k")
+        return src.load_folder(spark, folder, regular_only=False)
+    finally:
+        spark.conf.set(_MOST_BYTES, before)
+
+
 @check("a2_single_file_scan", S.with_(S.YLEV) + f"SELECT {ALL} FROM ylev WHERE ALLIKA_AASTA = 1998")
 def a2(spark, sf):
     return src.scan_csv(spark, src.yearly_paths(spark, yearly_csv(spark, sf))[1998]).select(*RAW_COLUMNS)
@@ -94,7 +119,17 @@ def a7(spark, sf):
 
 @check("a8_defect_names", "SELECT CAST(p_partkey AS VARCHAR) AS rike_id, p_name AS nimetus FROM part WHERE p_name IS NOT NULL")
 def a8(spark, sf):
-    return defect_names(dimension(spark, sf))
+    """From two written files: the second has the names, the first an older name for each id."""
+
+    def write():
+        path, rows = work_path(spark, "dimension-csv"), dimension(spark, sf).drop(ROW_NO)
+        older = rows.withColumn("NIMETUS", F.concat(F.lit("vana "), "NIMETUS")).withColumn("osa", F.lit(1))
+        both = older.unionByName(rows.withColumn("osa", F.lit(2)))
+        sinks.write_yearly_csv(both, path, "osa")
+        return path
+
+    folder = once(spark, sf, "dimension-csv", write)
+    return defect_names(read_dimension(spark, [f"{folder}/1.csv", f"{folder}/2.csv"]))
 
 
 @check("a8_typed_dimension", "SELECT p_partkey AS ID, p_name AS NIMETUS, 'NIMETUS' AS TYYP FROM part")

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectrum.functions.text import repair_mojibake, to_whole_number
-from inspectrum.sources.schema import DIMENSION_SCHEMA, ROW_NO
+from inspectrum.sources.inspections import scan_csv
+from inspectrum.sources.schema import DIMENSION_COLUMNS, ROW_NO
 
 
-def read_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """All-string scan with the file order kept in a row number."""
-    df = spark.read.schema(DIMENSION_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
-    return df.withColumn(ROW_NO, F.monotonically_increasing_id())
+def read_dimension(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All-string scan by header names; the row number goes by file and position. A column that no file has is null."""
+    rows = scan_csv(spark, *([path] if isinstance(path, str) else path))
+    missing = {c: F.lit(None).cast("string") for c in DIMENSION_COLUMNS if c not in rows.columns}
+    return rows.withColumns(missing).select(*DIMENSION_COLUMNS, ROW_NO)
 
 
 def defect_names(dimension: DataFrame) -> DataFrame:

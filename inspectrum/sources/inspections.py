@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inspectrum.sources.quoted import quoted_records
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
 
 # File name forms of a yearly source, the cached form first.
@@ -15,16 +17,7 @@ CACHED_NAME = "yv_{year}.csv"
 RAW_NAME = "{year}.csv"
 RAW_GLOB = "[0-9][0-9][0-9][0-9].csv"
 
-CSV_OPTIONS = {
-    "header": True,
-    "sep": ",",
-    "encoding": "UTF-8",
-    "quote": '"',
-    "escape": '"',
-    # Quoted defect lists may hold line breaks, so a file is one split. A year too large for
-    # one task is delivered as a folder of part files.
-    "multiLine": True,
-}
+CSV_OPTIONS = {"sep": ",", "quote": '"', "escape": '"'}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -55,9 +48,6 @@ def available_years(sources: dict[int, str]) -> list[int]:
     return sorted(sources)
 
 
-_FILE, _ID = "__file", "__id"
-
-
 def _part_files(spark: SparkSession, path: str) -> list[str]:
     """The file itself, or the files of a folder in order of their names; hidden ones do not count."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,47 +70,53 @@ def _header(spark: SparkSession, file: str) -> str:
         reader.close()
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-string scan of one year, with the file of each row in `__file`.
-
-    Columns are taken by the names in each part's own header, in any order: parts with
-    equal headers are read together.
-    """
-    groups: dict[str, list[str]] = {}
-    for file in _part_files(spark, path):
-        groups.setdefault(_header(spark, file), []).append(file)
-    if not groups:
-        raise FileNotFoundError(f"no rows in {path}")
-    parts = [spark.read.options(**CSV_OPTIONS).csv(files) for files in groups.values()]
-    parts = [p.select("*", F.col("_metadata.file_path").alias(_FILE)) for p in parts]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
+def _column_names(header: str) -> list[str]:
+    names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+    return [name or f"_c{i}" for i, name in enumerate(names)]
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Row numbers without gaps in order of (year, file, position); there is one size for each file."""
-    placed = rows.withColumn(_ID, F.monotonically_increasing_id())
-    sizes = placed.groupBy(YEAR, _FILE).agg(F.count("*").alias("__n"), F.min(_ID).alias("__first"))
-    before = W.orderBy(YEAR, _FILE).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(YEAR, _FILE, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
-    return placed.join(starts, [YEAR, _FILE]).withColumn(ROW_NO, F.col("__start") + F.col(_ID)).drop(_FILE, _ID, "__start")
 
+def scan_files(spark: SparkSession, files: list[tuple[str, int]], columns: list[str] | None = None) -> DataFrame:
+    """All-string scan of the files (path, year), with row numbers dense in the given order and the year.
 
-def _tagged(spark: SparkSession, path: str, year: int, columns: list[str]) -> DataFrame:
-    rows = scan_csv(spark, path)
-    return rows.select(*[c for c in columns if c in rows.columns], _FILE).withColumn(YEAR, F.lit(int(year)))
+    Columns are taken by the names in each file's own header, in any order; a column that only some files
+    have is null elsewhere. Of `columns` those are kept that some file has.
+    """
+    headers = {path: tuple(_column_names(_header(spark, path))) for path, _ in files}
+    kinds = {names: i for i, names in enumerate(dict.fromkeys(headers.values()))}
+    # One scan of all files: the tag carries the year and the kind of header.
+    records = quoted_records(spark, [(path, int(year) * len(kinds) + kinds[headers[path]]) for path, year in files])
+    parts = []
+    for names, kind in kinds.items():
+        own = records.filter(F.col("tag") % len(kinds) == kind) if len(kinds) > 1 else records
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+        parsed = own.select(F.from_csv("record", schema, CSV_OPTIONS).alias("row"), "number", "tag")
+        kept = [c for c in names if columns is None or c in columns]
+        year = F.floor(F.col("tag") / len(kinds)).cast("int")
+        parts.append(parsed.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("number").alias(ROW_NO), year.alias(YEAR)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    wanted = columns if columns is not None else [c for c in rows.columns if c not in (ROW_NO, YEAR)]
+    return rows.select(*[c for c in wanted if c in rows.columns], ROW_NO, YEAR)
+
+
+def scan_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """All columns of files and folders of part files, and the row number in order of path, file and position."""
+    files = [file for path in paths for file in _part_files(spark, path)]
+    if not files:
+        raise FileNotFoundError(f"no rows in {', '.join(paths)}")
+    return scan_files(spark, [(file, 0) for file in files]).drop(YEAR)
 
 
 def load_year(spark: SparkSession, path: str, year: int, columns: list[str] = RAW_COLUMNS) -> DataFrame:
     """The wanted columns that the year has, with a row number in file order and the source tag."""
-    rows = _numbered(_tagged(spark, path, year, columns))
-    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO, YEAR)
+    return load_years(spark, {year: path}, columns)
 
 
 def load_years(spark: SparkSession, paths: dict[int, str], columns: list[str] = RAW_COLUMNS) -> DataFrame:
-    """Union of the yearly scans; row numbers go by year, file and position."""
-    parts = [_tagged(spark, paths[y], y, columns) for y in sorted(paths)]
-    rows = _numbered(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
-    return rows.select(*[c for c in columns if c in rows.columns], ROW_NO, YEAR)
+    """The yearly files in one scan; row numbers go by year, file and position."""
+    files = [(file, year) for year in sorted(paths) for file in _part_files(spark, paths[year])]
+    if not files:
+        raise FileNotFoundError(f"no rows in {sorted(paths.values())}")
+    return scan_files(spark, files, columns)
 
 
 def _matching(spark: SparkSession, pattern: str) -> list[str]:

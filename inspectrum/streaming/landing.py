@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectrum.sources.inspections import CSV_OPTIONS, _exists
-from inspectrum.sources.schema import RAW_SCHEMA, ROW_NO, YEAR
+from inspectrum.sources.inspections import _exists, scan_files
+from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
+
+_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def land_new_files(spark: SparkSession, folder: str, path: str, checkpoint: str) -> None:
     """Read the yearly CSV files that arrived in `folder` since the last run and append them.
 
     The file log under `checkpoint` makes a repeated run a no-op. Each run writes its own
-    folder and overwrites it when it is repeated, so an interrupted run leaves no copies.
+    folder and overwrites it when it is repeated, so an interrupted run leaves no copies. The stream brings the names of new
+    files alone; a batch is scanned like any other files, so its rows are numbered by year, file and position.
     """
-    # A stream needs its schema up front: a header in another order is an error here.
-    options = {**CSV_OPTIONS, "enforceSchema": False, "pathGlobFilter": "*[0-9][0-9][0-9][0-9].csv"}
-    arriving = spark.readStream.schema(RAW_SCHEMA).options(**options).csv(folder)
-    tagged = arriving.withColumn(
-        YEAR, F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]{4})\.csv$", 1).cast("int")
-    )
+    options = {"pathGlobFilter": "*[0-9][0-9][0-9][0-9].csv"}
+    arriving = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).options(**options).load(folder).select("path", "length")
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        names = [r["path"] for r in batch.filter("length > 0").select("path").collect()]
+        if not names:
+            return
+        files = sorted((int(re.search(r"([0-9]{4})\.csv$", name)[1]), name) for name in names)
         first = 0
         if _exists(spark, path):
             earlier = spark.read.parquet(path).filter(F.col("saabumine") < batch_id)
-            first = (earlier.agg(F.max(ROW_NO)).first()[0] or -1) + 1
-        numbered = batch.withColumn(ROW_NO, F.lit(first).cast("bigint") + F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").partitionBy(YEAR).parquet(f"{path}/saabumine={batch_id}")
+            last = earlier.agg(F.max(ROW_NO)).first()[0]
+            first = 0 if last is None else last + 1
+        rows = scan_files(spark, [(name, year) for year, name in files], RAW_COLUMNS)
+        missing = {c: F.lit(None).cast("string") for c in RAW_COLUMNS if c not in rows.columns}
+        numbered = rows.withColumns({**missing, ROW_NO: F.col(ROW_NO) + first})
+        numbered.select(*RAW_COLUMNS, ROW_NO, YEAR).write.mode("overwrite").partitionBy(YEAR).parquet(f"{path}/saabumine={batch_id}")
 
     query = (
-        tagged.writeStream.foreachBatch(append)
+        arriving.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

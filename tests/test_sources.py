@@ -1,6 +1,7 @@
 """Scans, resolver, landing and sinks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from inspectrum.operators.cleaning import clean_batch, clean_for_model
 from inspectrum.plans.quality import scalar_profile
 from inspectrum.sources import inspections as src
-from inspectrum.sources import sinks
+from inspectrum.sources import quoted, sinks
 from inspectrum.sources.dimension import defect_names, known_ids, read_dimension
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
 from inspectrum.streaming.landing import land_new_files, landed
@@ -172,3 +173,83 @@ def test_csv_sink_keeps_spaces_and_arrays(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"))
     back = spark.read.csv(str(tmp_path / "c"), header=True, escape='"', multiLine=True).first()
     assert (back["a"], back["b"], back["c"], back["d"]) == ("  x ", None, "a\"b,c\nd", "[1,2]")
+
+
+def _broken_text(rng, n):
+    """Rows with quoted breaks of many kinds, and what a whole-file reader makes of them."""
+    out = []
+    for i in range(n):
+        fields = [str(i)]
+        for _ in range(3):
+            kind = rng.randrange(8)
+            if kind == 0:
+                fields.append('"' + "\n".join("line %d" % rng.randrange(9) for _ in range(rng.randint(1, 6))) + '"')
+            elif kind == 1:
+                fields.append('"a, ""b"" \n ""c"", d"')
+            elif kind == 2:
+                fields.append('5" pipe')
+            elif kind == 3:
+                fields.append('"\n\n"')
+            elif kind == 4:
+                fields.append('""')
+            else:
+                fields.append("plain" * rng.randint(0, 4))
+        out.append(",".join(fields))
+        if rng.random() < 0.1:
+            out.append("")
+    return "\n".join(["id,a,b,c", *out]) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("split", [150, 701, 10**7])
+def test_quoted_breaks_across_splits(spark, tmp_path, split):
+    """One file of many splits, some of them wholly inside quotes, gives the rows of a reader of whole files."""
+    rng = random.Random(split)
+    path = str(tmp_path / "broken.csv")
+    text = _broken_text(rng, 250) + '\nlast,"' + "far\n" * 300 + '",y,z\nend,,,'
+    (tmp_path / "broken.csv").write_text(text, encoding="utf-8")
+    whole = spark.read.csv(path, header=True, multiLine=True, escape='"').collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        rows = src.scan_csv(spark, path)
+        got = rows.orderBy(ROW_NO).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r)[:4] for r in got] == [tuple(r) for r in whole]
+    assert [r[ROW_NO] for r in got] == list(range(len(whole)))
+
+
+def test_line_ends_and_files_that_end_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'id,t\r\n1,"x\r\ny"\r\n\r\n2,z\r\n3,"open\r\n')
+    (tmp_path / "b.csv").write_bytes(b"id,t\n")
+    (tmp_path / "c.csv").write_bytes(b"t,id\nlast,4\n")
+    rows = src.scan_csv(spark, str(tmp_path)).orderBy(ROW_NO).collect()
+    assert [(r["id"], r["t"], r[ROW_NO]) for r in rows[:2]] == [("1", "x\ny", 0), ("2", "z", 1)]
+    assert [(r["id"], r[ROW_NO]) for r in rows[2:]] == [("3", 2), ("4", 3)] and rows[2]["t"].startswith("open")
+
+
+def test_states_of_lines():
+    assert not quoted.ends_inside('1,"a",2', False) and not quoted.ends_inside('1,"a",2', True)
+    assert quoted.ends_inside('1,"a', False) and quoted.ends_inside('x""y', True) and not quoted.ends_inside('x"', True)
+    assert not quoted.ends_inside('5" pipe', False) and quoted.ends_inside("", True) and not quoted.ends_inside("", False)
+    assert not quoted.ends_inside('"a"b",c', False) and quoted.ends_inside('a,"', False)
+
+
+def test_landing_numbers_go_on_after_one_row(spark, folder, tmp_path):
+    arriving = tmp_path / "arriving"
+    arriving.mkdir()
+    (arriving / "yv_2022.csv").write_text("\n".join([HEADER, row(1, 2022)]) + "\n", encoding="utf-8")
+    path, log = str(tmp_path / "stream"), str(tmp_path / "log")
+    land_new_files(spark, str(arriving), path, log)
+    (arriving / "yv_2024.csv").write_text("\n".join([HEADER, row(5, 2024), row(6, 2024)]) + "\n", encoding="utf-8")
+    (arriving / "yv_2023.csv").write_text("\n".join([HEADER, row(7, 2023, RIKKED='"VO:1\nOV:2"'), *[row(8, 2023)] * 3]) + "\n", encoding="utf-8")
+    land_new_files(spark, str(arriving), path, log)
+    rows = landed(spark, path).orderBy(ROW_NO).collect()
+    assert [(r[ROW_NO], r["SOIDUK_ID"]) for r in rows] == [(0, "1"), (1, "7"), (2, "8"), (3, "8"), (4, "8"), (5, "5"), (6, "6")]
+
+
+def test_dimension_of_several_files(spark, tmp_path):
+    """The last row of a repeated id is the last one in order of files, whatever their size."""
+    (tmp_path / "a.csv").write_text("ID,NIMETUS,TYYP\n" + "1,vana,NIMETUS\n" * 500, encoding="utf-8")
+    (tmp_path / "b.csv").write_text("TYYP,ID,NIMETUS\nNIMETUS,1,uus\n", encoding="utf-8")
+    assert [tuple(r) for r in defect_names(read_dimension(spark, str(tmp_path))).collect()] == [("1", "uus")]

@@ -531,10 +531,8 @@ ISOTONIC = """, pts AS (SELECT score, count(*) FILTER (label = 1) AS passes, cou
 @check("p10_isotonic_calibration", SCORED + ISOTONIC)
 def p10(spark, sf):
     table = scores(spark, sf)
-    fitted = R.fit_isotonic(table)
-    return fitted.transform(table.counts.withColumnRenamed("score", "features")).select(
-        F.col("features").alias("score"), F.round("prediction", 6).alias("calibrated"), "passes", "fails"
-    )
+    mapped = R.fit_isotonic(table).transform(table.counts.select("score", "passes", "fails"), "score")
+    return mapped.select("score", F.round("prediction", 6).alias("calibrated"), "passes", "fails")
 
 
 @check("p11_temporal_calibration")

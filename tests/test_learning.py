@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from inspectrum.operators import features as M
+from inspectrum.operators import isotonic
 from inspectrum.operators.encoder import HistoricalRateEncoder
 from inspectrum.operators.evaluation import ScoreTable, class_report, classification_metrics, confusion_matrix
 from inspectrum.operators.split import prepare_data, stratified_split, temporal_split
@@ -164,10 +165,61 @@ def test_isotonic_is_monotone_and_clips(spark):
     table = scores(spark, [0, 1, 0, 1, 1], [0.2, 0.3, 0.4, 0.6, 0.8])
     fitted = R.fit_isotonic(table)
     probe = spark.createDataFrame([(0.0,), (0.2,), (0.35,), (0.8,), (1.0,)], "features double")
-    got = [r["prediction"] for r in fitted.transform(probe).orderBy("features").collect()]
+    got = [r["prediction"] for r in fitted.transform(probe, "features").orderBy("features").collect()]
     assert got == sorted(got) and got[0] == 0.0 and got[-1] == 1.0 and got[2] == pytest.approx(0.5)
 
 
+def _pooled_means(points):
+    """Least-squares increasing fit of (passes, n) in order, by the min-max formula."""
+    sums = np.cumsum([[0, 0], *points], axis=0).astype(float)
+    mean = lambda j, k: (sums[k + 1, 0] - sums[j, 0]) / (sums[k + 1, 1] - sums[j, 1])
+    size = range(len(points))
+    return [max(min(mean(j, k) for k in size if k >= i) for j in size if j <= i) for i in size]
+
+
+@pytest.mark.parametrize("trend", ["rising", "falling", "noise", "steps"])
+def test_isotonic_over_parts(spark, trend):
+    """Parts that pool in themselves, over one seam, over all seams, or nowhere; fan-in of three needs several rounds."""
+    rng = np.random.default_rng(len(trend))
+    n = 60
+    x = np.sort(rng.choice(1000, n, replace=False)) / 1000
+    p = {"rising": x, "falling": 1 - x, "noise": np.full(n, 0.5), "steps": np.floor(x * 4) / 4}[trend]
+    size = rng.integers(1, 40, n)
+    good = rng.binomial(size, p)
+    rows = [(float(a), int(g), int(s - g), i // 4) for i, (a, g, s) in enumerate(zip(x, good, size))]
+    counts = spark.createDataFrame(rows, "score double, passes long, fails long, __part int").repartition(5)
+    before, isotonic.FAN = isotonic.FAN, 3
+    try:
+        fit = isotonic.IsotonicFit.of(counts)
+    finally:
+        isotonic.FAN = before
+    got = {r["score"]: r["prediction"] for r in fit.transform(counts.select("score"), "score").collect()}
+    assert [got[a] for a in sorted(got)] == pytest.approx(_pooled_means(list(zip(good, size))))
+    corners = sorted(tuple(r) for r in fit.corners.collect())
+    between = spark.createDataFrame([(float(v),) for v in rng.random(50)] + [(-1.0,), (2.0,), (None,)], "v double")
+    for row in fit.transform(between, "v").collect():
+        want = None if row["v"] is None else np.interp(row["v"], *zip(*corners))
+        assert row["prediction"] == (pytest.approx(want) if want is not None else None)
+
+
+def test_isotonic_of_many_scores_that_never_pool(spark):
+    """Every score is a block of its own: nothing moves at the seams, and no task or driver holds the curve."""
+    n = 400_000
+    counts = spark.range(n).select((F.col("id") / n).alias("score"), (F.col("id") + 1).alias("passes"), (n - F.col("id")).alias("fails"))
+    table = ScoreTable.from_counts(counts)
+    fit = R.fit_isotonic(table)
+    assert fit.corners.count() == n
+    assert isotonic._merged(isotonic._pool_parts(table.counts.select(F.col("__part").cast("long").alias("part"), F.col("score").alias("low"), F.col("score").alias("high"), F.col("passes").alias("good"), F.lit(n + 1).cast("long").alias("n")))).count() == n
+    off = fit.transform(table.counts.select("score", "passes"), "score").filter(F.abs(F.col("prediction") - F.col("passes") / (n + 1)) > 1e-12)
+    assert off.count() == 0
+
+
+def test_isotonic_of_nothing(spark):
+    table = scores(spark, [], [])
+    got = R.fit_isotonic(table).transform(spark.createDataFrame([(0.5,)], "v double"), "v").first()
+    assert got["prediction"] is None
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     """A small problem in which age decides the outcome."""

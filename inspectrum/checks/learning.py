@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from inspectrum.checks.rows import RANGUS, SCORE_SQL, counted, model_rows, score
 from inspectrum.operators import cleaning as C
 from inspectrum.operators import evaluation as E
 from inspectrum.operators import features as M
+from inspectrum.operators import kmeans
 from inspectrum.operators import split as X
 from inspectrum.operators.encoder import RATE_SPECS, HistoricalRateEncoder
 from inspectrum.operators.ordered import exact_medians, modes
@@ -580,21 +582,64 @@ def clustering(spark, sf) -> K.Clustering:
     return once(spark, sf, "clustering", lambda: K.run_clustering(model_rows(spark, sf)))
 
 
-@check("k3_k_sweep")
-def k3(spark, sf):
-    rows = [(s["k"], s["inertia"], s["silhouette"]) for s in clustering(spark, sf).scores]
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+KEYED = "KATEGOORIA IS NOT NULL AND KERETYYP IS NOT NULL AND PUNKTI_KOOD IS NOT NULL"
 
 
-KEYED = "KATEGOORIA IS NOT NULL AND KERETYYP IS NOT NULL AND PUNKTI_KOOD IS NOT NULL"
+@check(
+    "k3_k_sweep",
+    S.with_(S.MODEL_FRAME) + f"SELECT k::INTEGER AS k, ridu, true AS inertsus, true AS langeb, true AS siluett FROM range(2, 7) r(k), (SELECT count(*) AS ridu FROM frame WHERE {KEYED})",
+)
+def k3(spark, sf):
+    """For each k: all rows are counted, the inertia is that of the rows and their nearest centres, falls with k, and the silhouette lies between -1 and 1."""
+    run = clustering(spark, sf)
+    best = [run.found.best[s["k"]] for s in run.scores]
+    anew = kmeans.centre_sums(run.rows, [f.centres for f in best])
+    rows = []
+    for s, sums in zip(run.scores, anew):
+        same = abs(float(sums[:, 1].sum()) - s["inertia"]) <= 1e-6 * s["inertia"]
+        falls = all(s["inertia"] <= 1.001 * t["inertia"] for t in run.scores if t["k"] < s["k"])
+        rows.append((s["k"], int(sums[:, 0].sum()), same, falls, -1 <= s["silhouette"] <= 1))
+    return spark.createDataFrame(rows, "k int, ridu bigint, inertsus boolean, langeb boolean, siluett boolean")
+
+
+# Two models with fixed centres (age, month).
+_FIXED = {0: [(5.0, 3.0), (20.0, 9.0)], 1: [(2.0, 6.0), (12.0, 1.0), (30.0, 11.0)]}
+_FIXED_SQL = ", ".join(f"({m}, {c}, {x}::DOUBLE, {y}::DOUBLE)" for m, cs in _FIXED.items() for c, (x, y) in enumerate(cs))
+LLOYD = f"""
+, c(mudel, keskus, cx, cy) AS (VALUES {_FIXED_SQL}),
+ l AS (SELECT RIDA_NR, VANUS::DOUBLE AS x, YV_KUU::DOUBLE AS y FROM frame),
+ d AS (SELECT l.*, mudel, keskus, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS dist FROM l CROSS JOIN c),
+ near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY RIDA_NR, mudel ORDER BY dist, keskus) = 1)
+ SELECT mudel, keskus, count(*) AS ridu, round(sum(dist), 4) AS inertsus, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM near GROUP BY ALL"""
+
+
+@check("k3_lloyd_step", S.with_(S.MODEL_FRAME) + LLOYD)
+def k3_step(spark, sf):
+    """One scan moves the centres of both models."""
+    rows = frame(spark, sf).select(F.array(F.col("VANUS").cast("double"), F.col("YV_KUU").cast("double")).alias("x"))
+    found = kmeans.centre_sums(rows, [np.array(c) for c in _FIXED.values()])
+    out = [
+        (m, c, int(s[0]), float(s[1]), float(s[3] / s[0]), float(s[4] / s[0])) for m, sums in enumerate(found) for c, s in enumerate(sums) if s[0]
+    ]
+    moved = spark.createDataFrame(out, "mudel int, keskus int, ridu bigint, inertsus double, x double, y double")
+    return moved.withColumns({"inertsus": F.round("inertsus", 4), "x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-@check("k4_assigned_clusters", S.with_(S.MODEL_FRAME) + f"SELECT count(*) AS ridu, count(DISTINCT RIDA_NR) AS erinevaid, 2 AS klastreid, true AS koik FROM frame WHERE {KEYED}")
+@check("k4_assigned_clusters", S.with_(S.MODEL_FRAME) + f"SELECT count(*) AS ridu, count(DISTINCT RIDA_NR) AS erinevaid, 2 AS klastreid, 0::BIGINT AS kaugemal FROM frame WHERE {KEYED}")
 def k4(spark, sf):
-    """Every row is in one of the two clusters."""
-    rows = clustering(spark, sf).labelled
-    inside = F.coalesce(F.bool_and(F.col(K.CLUSTER).isin(0, 1)), F.lit(True))
-    return rows.agg(F.count("*").alias("ridu"), F.count_distinct(ROW_NO).alias("erinevaid"), F.count_distinct(K.CLUSTER).cast("int").alias("klastreid"), inside.alias("koik"))
+    """Every row is in one of the two clusters, and in none that has a nearer centre."""
+    run = clustering(spark, sf)
+    centres = [F.array(*[F.lit(float(v)) for v in c]) for c in run.found.best[2].centres]
+
+    def distance(c):
+        return F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    distances = F.array(*[distance(c) for c in centres])
+    rows = run.labelled.join(run.rows.select(ROW_NO, distances.alias("d")), ROW_NO)
+    farther = F.get("d", F.col(K.CLUSTER)) > F.array_min("d") + 1e-9
+    return rows.agg(
+        F.count("*").alias("ridu"), F.count_distinct(ROW_NO).alias("erinevaid"), F.count_distinct(K.CLUSTER).cast("int").alias("klastreid"), F.count_if(farther).alias("kaugemal")
+    )
 
 
 # Mean squared distance of a row to a cluster, from the cluster's sums; to its own cluster without itself.

@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from inspectrum.operators import features as M
-from inspectrum.operators import isotonic
+from inspectrum.operators import isotonic, kmeans
 from inspectrum.operators.encoder import HistoricalRateEncoder
 from inspectrum.operators.evaluation import ScoreTable, class_report, classification_metrics, confusion_matrix
 from inspectrum.operators.split import prepare_data, stratified_split, temporal_split
@@ -279,6 +279,40 @@ def test_encoder_without_training_rows(spark):
     assert got["HIST_MARK_FAIL_RATE"] == 0.0 and got["HIST_PUNKT_KATEGOORIA_FAIL_RATE"] == 0.0
 
 
+def _lloyd(x, centres, tolerance, max_iter=300):
+    for _ in range(max_iter):
+        label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        new = np.array([x[label == j].mean(0) if (label == j).any() else c for j, c in enumerate(centres)])
+        moved, centres = ((new - centres) ** 2).sum(), new
+        if moved <= tolerance:
+            break
+    return centres, ((x[:, None] - centres) ** 2).sum(2).min(1).sum()
+
+
+def test_all_fits_share_their_scans(spark):
+    """Every fit of the batch ends where a fit by itself ends, in as many scans as the slowest one takes."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1.0, (150, 3)) for c in (0, 4, 9)])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").repartition(5).cache()
+    pool, weights = kmeans.candidates(rows, 4, 42)
+    assert weights.sum() == len(x) and 1 < len(pool) <= 1 + kmeans.ROUNDS * kmeans.DRAWN * 4
+    found = kmeans.sweep(rows, [2, 3, 4], n_init=4)
+    tolerance, longest = kmeans.TOLERANCE * x.var(0).mean(), 0
+    for i, fit in enumerate(found.fits):
+        start = kmeans.seeded(pool, weights, fit.k, np.random.default_rng([42, fit.k, i % 4]))
+        centres, inertia = _lloyd(x, start, tolerance)
+        assert fit.centres == pytest.approx(centres) and fit.inertia == pytest.approx(inertia)
+    assert len(found.fits) == 12 and found.scans < 60
+    assert found.best[3].inertia == min(f.inertia for f in found.fits if f.k == 3) < found.best[2].inertia
+    labels = {r["id"]: r["c"] for r in kmeans.labelled(rows, found.best[3].centres, "c").collect()}
+    pairs = [(Vectors.dense(r), labels[i]) for i, r in enumerate(x)]
+    assert kmeans.silhouettes(rows, [found.best[3].centres])[0] == pytest.approx(K.silhouette(spark.createDataFrame(pairs, ["features", "KLASTER"])))
+    assert kmeans.sweep(rows.limit(0), [2]).best == {}
+    same = rows.select("id", F.array(F.lit(1.0)).alias("x"))
+    only = kmeans.sweep(same, [2], n_init=2)
+    assert only.best[2].inertia == 0 and np.isnan(kmeans.silhouettes(same, [only.best[2].centres])[0])
+
+
 def test_clustering(spark, learned):
     frame, _, _ = learned
     run = K.run_clustering(frame, k_max=3, n_init=2)

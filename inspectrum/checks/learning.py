@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -18,6 +17,7 @@ from inspectrum.operators import evaluation as E
 from inspectrum.operators import features as M
 from inspectrum.operators import kmeans
 from inspectrum.operators import split as X
+from inspectrum.operators.categories import CategoryIndex, vector_column
 from inspectrum.operators.encoder import RATE_SPECS, HistoricalRateEncoder
 from inspectrum.operators.ordered import exact_medians, modes
 from inspectrum.operators.sampling import exact_sample
@@ -199,16 +199,21 @@ def m8(spark, sf):
 @check(
     "m8_one_hot_slots",
     S.with_(S.MODEL_FRAME, TRAIN)
-    + """, seen AS (SELECT KATEGOORIA, row_number() OVER (ORDER BY KATEGOORIA) - 1 AS slot FROM (SELECT DISTINCT KATEGOORIA FROM train WHERE KATEGOORIA <> 'N2'))
- SELECT KATEGOORIA, COALESCE(slot, -1) AS slot, count(*) AS n FROM test LEFT JOIN seen USING (KATEGOORIA) GROUP BY 1, 2""",
+    + """, sizes AS (SELECT name, value, count(*) AS n FROM (SELECT unnest(['KATEGOORIA', 'MARK', 'MUDEL']) AS name, unnest([KATEGOORIA, MARK, MUDEL]) AS value
+  FROM train WHERE KATEGOORIA <> 'N2') WHERE value IS NOT NULL GROUP BY 1, 2),
+ kept AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) - 1 AS slot FROM sizes WHERE n >= 10),
+ slots AS (SELECT * FROM kept UNION ALL SELECT s.name, s.value, (SELECT count(*) FROM kept k WHERE k.name = s.name) FROM sizes s WHERE n < 10),
+ rows AS (SELECT unnest(['KATEGOORIA', 'MARK', 'MUDEL']) AS name, unnest([KATEGOORIA, MARK, MUDEL]) AS value FROM test)
+ SELECT name, value, COALESCE(slot, -1) AS slot, count(*) AS n FROM rows LEFT JOIN slots USING (name, value) WHERE value IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def m8_one_hot(spark, sf):
-    """One category is withheld from fitting: it must become the all-zero vector."""
-    parts = split(spark, sf)
-    stages = R.one_hot_stages(["KATEGOORIA"])
-    fitted = Pipeline(stages=stages).fit(parts.train.filter(F.col("KATEGOORIA") != "N2"))
-    slot = F.array_position(vector_to_array("KATEGOORIA_vec"), 1.0) - 1
-    return counted(fitted.transform(parts.test), "KATEGOORIA", slot.alias("slot"))
+    """One category is withheld from fitting: it must become the all-zero vector. Rare models share a slot."""
+    parts, columns = split(spark, sf), ["KATEGOORIA", "MARK", "MUDEL"]
+    train = parts.train.filter(F.col("KATEGOORIA") != "N2")
+    index = CategoryIndex.fit(train, columns)
+    rows = index.encoder().transform(index.transform(parts.test))
+    slots = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), (F.array_position(vector_to_array(vector_column(c)), 1.0) - 1).alias("slot")) for c in columns]
+    return counted(rows.select(F.inline(F.array(*slots))).filter("value IS NOT NULL"), "name", "value", "slot")
 
 
 @check(

@@ -13,6 +13,7 @@ from inspectrum.plans import risk_model as R
 from inspectrum.plans.quality import cleaning_summary, validation_report
 from inspectrum.sources import sinks
 from inspectrum.sources.schema import ROW_NO
+from inspectrum.sources.versions import write_version
 from inspectrum.sources.workspace import materialize
 
 
@@ -34,27 +35,34 @@ def clean_and_describe(rows: DataFrame, out: str) -> DataFrame:
 
 
 def train_risk_model(rows: DataFrame, out: str, **forest_params) -> DataFrame:
-    """Train, evaluate, calibrate and save the risk model with its lookups; returns the evaluation record."""
+    """Train, evaluate, calibrate and save the risk model with its lookups; returns the evaluation record.
+
+    All parts are one version of the folder `out`: readers see all of them or those of the run before.
+    """
     spark = rows.sparkSession
     frame = materialize(M.create_model_frame(clean_for_model(rows)), "model-frame")
     parts = prepare_data(frame)
     model = R.train_model(parts.train, **forest_params)
     record, _, _ = R.evaluate(model, parts.test)
-    model.save(f"{out}/model")
-    sinks.write_json(record, f"{out}/metrics")
-    sinks.write_json(R.model_metadata(model, parts.info, spark), f"{out}/metadata")
     calibration = R.temporal_calibration(frame, **forest_params)
-    if calibration is not None:
-        sinks.write_json(calibration, f"{out}/calibration")
-    sinks.write_parquet(M.make_lookup(frame), f"{out}/lookups/makes")
-    sinks.write_parquet(M.model_lookup(frame), f"{out}/lookups/models")
-    sinks.write_parquet(M.options(frame), f"{out}/lookups/options")
-    sinks.write_json(M.lookup_defaults(frame), f"{out}/lookups/defaults")
-    return spark.read.schema(record.schema).json(f"{out}/metrics")
+
+    def write(folder: str) -> None:
+        model.save(f"{folder}/model")
+        sinks.write_json(record, f"{folder}/metrics")
+        sinks.write_json(R.model_metadata(model, parts.info, spark), f"{folder}/metadata")
+        if calibration is not None:
+            sinks.write_json(calibration, f"{folder}/calibration")
+        sinks.write_parquet(M.make_lookup(frame), f"{folder}/lookups/makes")
+        sinks.write_parquet(M.model_lookup(frame), f"{folder}/lookups/models")
+        sinks.write_parquet(M.options(frame), f"{folder}/lookups/options")
+        sinks.write_json(M.lookup_defaults(frame), f"{folder}/lookups/defaults")
+
+    folder = write_version(spark, out, write)
+    return spark.read.schema(record.schema).json(f"{folder}/metrics")
 
 
 def cluster(rows: DataFrame, out: str, **params) -> K.Clustering:
-    """Cluster a sample and write profiles, the run record and the assignments."""
+    """Cluster every row and write profiles, the run record and the assignments."""
     run = K.run_clustering(clean_for_model(rows), **params)
     sinks.write_json(run.profiles, f"{out}/cluster_profiles")
     sinks.write_json(run.record, f"{out}/cluster_metadata")

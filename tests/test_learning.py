@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from inspectrum.operators import features as M
 from inspectrum.operators import isotonic, kmeans
+from inspectrum.operators.categories import CategoryIndex
 from inspectrum.operators.encoder import HistoricalRateEncoder
 from inspectrum.operators.evaluation import ScoreTable, class_report, classification_metrics, confusion_matrix
 from inspectrum.operators.split import prepare_data, stratified_split, temporal_split
 from inspectrum.plans import clustering as K
 from inspectrum.plans import risk_model as R
 from inspectrum.plans.quality import defect_profile
+from inspectrum.sources import versions
 from inspectrum.sources.schema import ROW_NO, YEAR
 
 
@@ -161,6 +163,48 @@ def test_metrics_with_an_empty_class(spark):
     assert report["Failed"]["recall"] == 0.0 and report["weighted avg"]["support"] == 3
 
 
+def test_category_slots(spark):
+    """Slots by frequency, then by name; rare values share the last one; values not seen become the zero vector."""
+    values = ["b"] * 5 + ["a"] * 5 + ["c"] * 7 + ["x", "y", "y", None]
+    df = spark.createDataFrame([(v, "only" if i % 2 else None) for i, v in enumerate(values)], "k string, o string").repartition(4)
+    index = CategoryIndex.fit(df, ["k", "o"], least=3)
+    assert index.kept == {"k": 3, "o": 1} and index.sizes == {"k": 4, "o": 1}
+    slots = {(r["name"], r["value"]): r["slot"] for r in index.table.collect()}
+    assert slots == {("k", "c"): 0, ("k", "a"): 1, ("k", "b"): 2, ("k", "x"): 3, ("k", "y"): 3, ("o", "only"): 0}
+    asked = spark.createDataFrame([("c", "only"), ("y", "new"), ("new", None), (None, "only")], "k string, o string")
+    rows = index.encoder().transform(index.transform(asked)).collect()
+    got = {(r["k"], r["o"]): (r["k_vec"].toArray().tolist(), r["o_vec"].toArray().tolist()) for r in rows}
+    assert got["c", "only"] == ([1, 0, 0, 0], [1]) and got["y", "new"] == ([0, 0, 0, 1], [0])
+    assert got["new", None] == ([0, 0, 0, 0], [0]) and got[None, "only"] == ([0, 0, 0, 0], [1])
+    names = {r["position"]: r["feature"] for r in index.names(2).collect()}
+    assert names == {2: "k_c", 3: "k_a", 4: "k_b", 5: "k_(muu)", 6: "o_only"}
+
+
+def test_a_version_that_is_not_finished_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "v")
+    with pytest.raises(FileNotFoundError):
+        versions.current_version(spark, path)
+
+    def part(text):
+        return lambda folder: spark.createDataFrame([(text,)], "t string").write.text(f"{folder}/part")
+
+    def stops(folder):
+        part("half")(folder)
+        raise RuntimeError("stopped between parts")
+
+    def read():
+        return spark.read.text(f"{versions.current_version(spark, path)}/part").first()["value"]
+
+    first = versions.write_version(spark, path, part("one"))
+    with pytest.raises(RuntimeError):
+        versions.write_version(spark, path, stops)
+    assert read() == "one"
+    versions.write_version(spark, path, part("two"))
+    assert read() == "two" and spark.read.text(f"{first}/part").count() == 1
+    versions.write_version(spark, path, part("three"))
+    assert read() == "three" and not (tmp_path / "v" / "versions" / first.rsplit("/", 1)[1]).exists()
+
+
 def test_isotonic_is_monotone_and_clips(spark):
     table = scores(spark, [0, 1, 0, 1, 1], [0.2, 0.3, 0.4, 0.6, 0.8])
     fitted = R.fit_isotonic(table)

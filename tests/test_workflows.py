@@ -10,6 +10,7 @@ from inspectrum.plans import risk_model as R
 from inspectrum.plans import scoring as P
 from inspectrum.plans import workflows
 from inspectrum.sources.dimension import known_ids
+from inspectrum.sources.versions import current_version
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -35,6 +36,7 @@ def test_train_save_and_score_requests(spark, tmp_path):
     rows, out = inspections(spark, SF_DIR), str(tmp_path)
     record = workflows.train_risk_model(rows, out, trees=5, depth=4).first()
     assert record["roc_auc"] > 0.6 and len(record["calibration_bins"]) > 1
+    out = current_version(spark, out)
     assert spark.read.json(f"{out}/calibration").count() == 1
     defaults = spark.read.json(f"{out}/lookups/defaults").first()
     request = spark.createDataFrame(

@@ -59,37 +59,55 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select(F.xxhash64("group", "meet.kind", "meet.i", "meet.j").alias("deal"), F.col("meet.half").alias("half"), *rows.columns)
 
 
-def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Callable | None = None):
-    """Pairs (a, b) that agree in `least` places, of rows sorted by `deal`.
-
-    `new` takes the rows of a deal, their signatures and pairs of places in them, and tells which pairs to give.
-    """
-
-    def of_deal(table: pa.Table) -> Iterator[np.ndarray]:
-        node, component, half = (table[c].to_numpy() for c in ("node", "component", "half"))
-        sig = matrix(table["signature"])
-        left, right = np.flatnonzero(half != 1), np.flatnonzero(half != 0)
-        other = sig[right]
-        for at in range(0, len(left), 64):
-            own = left[at : at + 64]
-            equal = agreement(sig[own], other)
-            equal[component[own][:, None] == component[right][None, :]] = -1
-            x, y = np.nonzero(equal >= least)
-            x, y = own[x], right[y]
-            if new is not None and len(x):
-                good = new(table, sig, x, y)
-                x, y = x[good], y[good]
-            if len(x):
-                yield np.unique(np.sort(np.stack([node[x], node[y]], 1), axis=1), axis=0)
+class Sketches:
+    """The least `most` values of each node's set, in order, and the sizes of the sets: exact for sets of up to that many values."""
+
+    def __init__(self, least: pa.ChunkedArray, sizes: np.ndarray, share: float) -> None:
+        least = least.combine_chunks() if isinstance(least, pa.ChunkedArray) else least
+        ends = least.offsets.to_numpy()
+        self._values = least.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].view(np.uint64)
+        self._ends, self._sizes, self._share = ends - ends[0], sizes, share
+        _, self._names = np.unique(self._values, return_inverse=True)
+        self._mark = np.zeros(self._names.max(initial=-1) + 1, bool)
+
+    def _own(self, i: int) -> slice:
+        return slice(self._ends[i], self._ends[i + 1])
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others' sets may be as similar to that of `x` as the share asks; certain where all are whole."""
+        known = np.diff(self._ends)
+        whole = known == self._sizes
+        self._mark[self._names[self._own(x)]] = True
+        lengths = known[others]
+        starts = np.cumsum(lengths) - lengths
+        places = np.repeat(self._ends[others] - starts, lengths) + np.arange(lengths.sum())
+        common = np.add.reduceat(self._mark[self._names[places]].astype(np.int64), starts) if len(places) else np.zeros(len(others), np.int64)
+        self._mark[self._names[self._own(x)]] = False
+        good = common >= self._share * (known[x] + lengths - common) - 1e-9
+        for j in np.flatnonzero(~(whole[others] & whole[x])):
+            good[j] = self._sampled(x, others[j], whole)
+        return good
+
+    def _sampled(self, x: int, y: int, whole: np.ndarray) -> bool:
+        """Both sets up to the least value from which one of them is not known; a chance of 10^-7 to miss."""
+        a, b = self._values[self._own(x)], self._values[self._own(y)]
+        last = min(v[-1] for v, i in ((a, x), (b, y)) if not whole[i])
+        a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        union = len(a) + len(b) - common
+        return common >= self._share * union - 5.3 * math.sqrt(union * self._share * (1 - self._share)) - 1
+
+
+def _deals(of_deal: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by `deal`, one deal at a time."""
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        deal = table["deal"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(deal)) + 1).tolist(), len(deal)]
+        for x, y in pairwise(cuts):
+            yield from of_deal(table.slice(x, y - x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            deal = table["deal"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(deal)) + 1).tolist(), len(deal)]
-            for x, y in pairwise(cuts):
-                for found in of_deal(table.slice(x, y - x)):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], ["a", "b"])
-
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -105,3 +123,60 @@ def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, ne
             yield from out(rest)
 
     return run
+
+
+def _hits(table: pa.Table, matrix: Callable, least: int, new: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a deal whose nodes agree in `least` places, across components."""
+    node, component, half = (table[c].to_numpy() for c in ("node", "component", "half"))
+    sig = matrix(table["signature"])
+    left, right = np.flatnonzero(half != 1), np.flatnonzero(half != 0)
+    other = sig[right]
+    for at in range(0, len(left), 64):
+        own = left[at : at + 64]
+        equal = agreement(sig[own], other)
+        equal[component[own][:, None] == component[right][None, :]] = -1
+        x, y = np.nonzero(equal >= least)
+        x, y = own[x], right[y]
+        if new is not None and len(x):
+            good = new(table, sig, x, y)
+            x, y = x[good], y[good]
+        if len(x):
+            yield x, y
+
+
+def meeting(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Callable | None = None):
+    """(deal, node) of nodes that agree in `least` places with one of another component, in each deal: no pairs."""
+
+    def of_deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(table.num_rows, bool)
+        for x, y in _hits(table, matrix, least, new):
+            met[x] = met[y] = True
+        if met.any():
+            nodes = np.unique(table["node"].to_numpy()[met])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), table["deal"][0].as_py())), pa.array(nodes)], ["deal", "node"])
+
+    return _deals(of_deal)
+
+
+def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Callable | None = None, share: float | None = None):
+    """Pairs (a, b) that agree in `least` places, of rows sorted by `deal`.
+
+    `new` takes the rows of a deal, their signatures and pairs of places in them, and tells which pairs to give. With
+    `share`, rows also have `least` and `size`, and only pairs whose sets are that similar by them are given.
+    """
+
+    def of_deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = table["node"].to_numpy()
+        sketches = Sketches(table["least"], table["size"].to_numpy(), share) if share is not None else None
+        for x, y in _hits(table, matrix, least, new):
+            if sketches is not None:
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+                good = np.concatenate([sketches.alike(x[i], y[i:j]) for i, j in pairwise(cuts)])
+                x, y = x[good], y[good]
+            if len(x):
+                found = np.unique(np.sort(np.stack([node[x], node[y]], 1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], ["a", "b"])
+
+    return _deals(of_deal)

@@ -10,8 +10,9 @@ confirmed on the full sets.
 Components need few of the links. First each node meets its most similar neighbours of
 each region; for that, regions with too many nodes are read deeper, so depth follows
 density. Then every candidate pair whose ends are still in different components is
-confirmed too, in regions of the small depth whatever their size: large ones are cut
-into blocks, and every two blocks meet. No candidate that could join two components is left out.
+compared too, in regions of the small depth that hold more than one component, whatever their size: large ones are cut
+into blocks, and every two blocks meet. There the nodes' own sets, or of large sets the least values, decide
+which pairs leave the block at all. No candidate that could join two components is left out.
 
 Null and wordless texts have empty sets and no links. Fewer words than a shingle has are
 one shingle. Rows are judged one by one: rows that repeat a doc_id get equal results if
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.blocks import agreement, dealt, least_agreement, pairs_across
+from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
 from inspectrum.sources.workspace import discard, materialize
@@ -39,6 +40,8 @@ from inspectrum.sources.workspace import discard, materialize
 VALUES, TREES, DEPTH, REGION = 128, 21, 3, 512
 #: Nodes of a block of a large region.
 BLOCK = 1024
+#: Values of a set's sketch: sets of up to so many are compared exactly where they meet.
+SKETCH = 1024
 #: Neighbours that each node is compared with in each region at first.
 NEAREST = 3
 
@@ -189,38 +192,22 @@ def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return ~_met_before(sig, table["tree"][0].as_py(), x, y)
 
 
-def _candidates(least_equal: int, nearest: int | None):
-    """Pairs inside each region; rows come sorted by region.
-
-    With `nearest`: each node with those it agrees with most. Without: all pairs whose components differ,
-    in the first tree in which they meet.
-    """
+def _candidates(least_equal: int, nearest: int):
+    """Pairs inside each region, each node with those it agrees with most; rows come sorted by region."""
 
     def of_region(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        node = table["node"].to_numpy()
         sig = _matrix(table["signature"])
-        if nearest is None:
-            if (component == component[0]).all():
-                return node[:0], node[:0]
-            tree = table["tree"][0].as_py()
         a, b = [], []
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
             equal = agreement(sig[own], sig)
             equal[node[own][:, None] == node[None, :]] = -1
-            if nearest is None:
-                equal[component[own][:, None] == component[None, :]] = -1
-                x, y = np.nonzero(equal >= least_equal)
-                new = ~_met_before(sig, tree, x + at, y)
-                x, y = x[new], y[new]
-            else:
-                best = np.argsort(-equal, axis=1, kind="stable")[:, :nearest]
-                x = np.repeat(np.arange(len(equal)), best.shape[1])
-                y = best.ravel()
-                good = equal[x, y] >= least_equal
-                x, y = x[good], y[good]
-            a.append(node[own][x])
-            b.append(node[y])
+            best = np.argsort(-equal, axis=1, kind="stable")[:, :nearest]
+            x, y = np.repeat(np.arange(len(equal)), best.shape[1]), best.ravel()
+            good = equal[x, y] >= least_equal
+            a.append(node[own][x[good]])
+            b.append(node[y[good]])
         a, b = np.concatenate(a), np.concatenate(b)
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -255,22 +242,41 @@ def _candidates(least_equal: int, nearest: int | None):
 
 def _pairs(places: DataFrame, nodes: DataFrame, least_equal: int) -> DataFrame:
     """Each node with its most similar neighbours of each region."""
-    rows = places.join(nodes.select("node", "signature"), "node").withColumn("component", F.col("node"))
-    rows = rows.select("region", "node", "component", "signature").repartition("region").sortWithinPartitions("region")
+    rows = places.join(nodes.select("node", "signature"), "node")
+    rows = rows.select("region", "node", "signature").repartition("region").sortWithinPartitions("region")
     return rows.mapInArrow(_candidates(least_equal, NEAREST), "a long, b long").distinct()
 
 
-def _pairs_across(shallow: DataFrame, nodes: DataFrame, labels: DataFrame, least_equal: int, limit: int = REGION) -> DataFrame:
-    """All candidates of regions of the first depth whose components differ; those without a label are alone yet."""
-    form = "a long, b long"
-    small = shallow.filter(F.col("n") <= limit).join(labels, "node").join(nodes.select("node", "signature"), "node")
-    small = small.select("region", "node", "component", "signature", "tree").repartition("region").sortWithinPartitions("region")
-    large = shallow.filter(F.col("n") > limit).join(labels, "node", "left")
-    large = large.select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "tree")
-    deals = dealt(large, BLOCK).join(nodes.select("node", "signature"), "node")
-    deals = deals.select("deal", "half", "node", "component", "signature", "tree").repartition("deal").sortWithinPartitions("deal")
-    found = deals.mapInArrow(pairs_across(_matrix, least_equal, _first_met), form)
-    return small.mapInArrow(_candidates(least_equal, None), form).unionByName(found).distinct()
+def _unsettled(shallow: DataFrame, labels: DataFrame, limit: int = REGION) -> DataFrame:
+    """(group, node, component, tree) of the regions of the first depth that hold more than one component.
+
+    In a region of up to `limit` nodes, one without a label has no candidate there.
+    """
+    labelled = shallow.join(labels, "node", "left").filter((F.col("n") > limit) | F.col("component").isNotNull())
+    labelled = labelled.select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "tree")
+    mixed = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return labelled.join(mixed.select("group"), "group", "left_semi")
+
+
+def _with_signatures(deals: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    rows = deals.join(nodes.select("node", "signature"), "node").select("deal", "half", "node", "component", "signature", "tree", *more)
+    return rows.repartition("deal").sortWithinPartitions("deal")
+
+
+def _across(deals: DataFrame, nodes: DataFrame, least_equal: int) -> DataFrame:
+    """The rows of `deals` whose nodes meet a candidate of another component there."""
+    met = _with_signatures(deals, nodes).mapInArrow(meeting(_matrix, least_equal, _first_met), "deal long, node long")
+    return deals.join(met, ["deal", "node"], "left_semi")
+
+
+def _links_across(deals: DataFrame, nodes: DataFrame, sets: DataFrame, least_equal: int, percent: int) -> DataFrame:
+    """Candidate pairs across components, each in the first tree in which they meet, that are similar by their sketches.
+
+    A sketch is sent once for a node and deal, not for a pair, and only true links and a few more leave the deal.
+    """
+    sketches = sets.select("node", F.slice("shingles", 1, SKETCH).alias("least"), F.size("shingles").alias("size")).dropDuplicates(["node"])
+    rows = _with_signatures(deals.join(sketches, "node"), nodes, "least", "size")
+    return rows.mapInArrow(pairs_across(_matrix, least_equal, _first_met, percent / 100), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,16 +313,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     links = materialize(_confirmed(first, sets, percent), "links")
     labels = components(links)
     labelled = materialize(ends.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    across = materialize(_pairs_across(shallow, nodes, labelled, least_equal).join(first, ["a", "b"], "left_anti"), "pairs")
-    late = sets_of(ends_of(across).join(ends, "node", "left_anti"))
-    more = materialize(_confirmed(across, sets.unionByName(late), percent), "links")
+    deals = materialize(dealt(_unsettled(shallow, labelled), BLOCK), "deals")
+    across = materialize(_across(deals, nodes, least_equal), "across")
+    late = sets_of(across.select("node").distinct().join(ends, "node", "left_anti"))
+    known = sets.unionByName(late)
+    more = materialize(_confirmed(_links_across(across, nodes, known, least_equal, percent), known, percent), "links")
     found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component"))
     joined = base.drop("signature").join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     result = joined.select("doc_id", "n_shingles", component.alias("component_id"))
     out = materialize(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    discard(base, nodes, shallow, places, first, ends, sets, links, labelled, across, late, more)
+    discard(base, nodes, shallow, places, first, ends, sets, links, labelled, deals, across, late, more)
     return out
 
 

@@ -59,14 +59,19 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select(F.xxhash64("group", "meet.kind", "meet.i", "meet.j").alias("deal"), F.col("meet.half").alias("half"), *rows.columns)
 
 
+def list_values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column in order, and where each list starts in them (one more offset than lists)."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].view(np.uint64), ends - ends[0]
+
+
 class Sketches:
     """The least `most` values of each node's set, in order, and the sizes of the sets: exact for sets of up to that many values."""
 
-    def __init__(self, least: pa.ChunkedArray, sizes: np.ndarray, share: float) -> None:
-        least = least.combine_chunks() if isinstance(least, pa.ChunkedArray) else least
-        ends = least.offsets.to_numpy()
-        self._values = least.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].view(np.uint64)
-        self._ends, self._sizes, self._share = ends - ends[0], sizes, share
+    def __init__(self, values: np.ndarray, ends: np.ndarray, sizes: np.ndarray, share: float) -> None:
+        self._values, self._ends, self._sizes, self._share = values, ends.astype(np.int64), sizes, share
         _, self._names = np.unique(self._values, return_inverse=True)
         self._mark = np.zeros(self._names.max(initial=-1) + 1, bool)
 
@@ -98,14 +103,30 @@ class Sketches:
         return common >= self._share * union - 5.3 * math.sqrt(union * self._share * (1 - self._share)) - 1
 
 
-def _deals(of_deal: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by `deal`, one deal at a time."""
+#: Deals of up to so many rows are compared together, in tables of at most so many rows.
+SMALL, TOGETHER = 4, 2000
+
+
+def _deals(of_deals: Callable[[pa.Table, bool], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by `deal`: each larger deal by itself, and many small ones whose rows all meet each other at once."""
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
         deal = table["deal"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(deal)) + 1).tolist(), len(deal)]
-        for x, y in pairwise(cuts):
-            yield from of_deal(table.slice(x, y - x))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(deal)) + 1, [len(deal)]])
+        sizes = np.diff(cuts)
+        few = np.repeat(sizes <= SMALL, sizes) & (table["half"].to_numpy() == 2)
+        whole = np.logical_and.reduceat(few, cuts[:-1])
+        for i in np.flatnonzero(~whole).tolist():
+            yield from of_deals(table.slice(cuts[i], sizes[i]), False)
+        small = table.filter(pa.array(np.repeat(whole, sizes)))
+        deal = small["deal"].to_numpy()
+        first = 0
+        while first < len(deal):
+            last = min(first + TOGETHER, len(deal))
+            while last < len(deal) and deal[last] == deal[last - 1]:
+                last += 1
+            yield from of_deals(small.slice(first, last - first), True)
+            first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -125,10 +146,20 @@ def _deals(of_deal: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[
     return run
 
 
-def _hits(table: pa.Table, matrix: Callable, least: int, new: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in a deal whose nodes agree in `least` places, across components."""
+def _hits(table: pa.Table, small: bool, matrix: Callable, least: int, new: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one deal, or of the same ones of many small deals, whose nodes agree in `least` places, across components."""
     node, component, half = (table[c].to_numpy() for c in ("node", "component", "half"))
     sig = matrix(table["signature"])
+    if small:
+        deal = table["deal"].to_numpy()
+        for step in range(1, min(SMALL, len(deal))):
+            x = np.flatnonzero((deal[step:] == deal[:-step]) & (component[step:] != component[:-step]))
+            x = x[(sig[x] == sig[x + step]).sum(1) >= least]
+            if new is not None and len(x):
+                x = x[new(table, sig, x, x + step)]
+            if len(x):
+                yield x, x + step
+        return
     left, right = np.flatnonzero(half != 1), np.flatnonzero(half != 0)
     other = sig[right]
     for at in range(0, len(left), 64):
@@ -147,36 +178,34 @@ def _hits(table: pa.Table, matrix: Callable, least: int, new: Callable | None) -
 def meeting(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Callable | None = None):
     """(deal, node) of nodes that agree in `least` places with one of another component, in each deal: no pairs."""
 
-    def of_deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def of_deals(table: pa.Table, small: bool) -> Iterator[pa.RecordBatch]:
         met = np.zeros(table.num_rows, bool)
-        for x, y in _hits(table, matrix, least, new):
+        for x, y in _hits(table, small, matrix, least, new):
             met[x] = met[y] = True
         if met.any():
-            nodes = np.unique(table["node"].to_numpy()[met])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), table["deal"][0].as_py())), pa.array(nodes)], ["deal", "node"])
+            found = np.unique(np.stack([table["deal"].to_numpy()[met], table["node"].to_numpy()[met]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], ["deal", "node"])
 
-    return _deals(of_deal)
+    return _deals(of_deals)
 
 
-def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Callable | None = None, share: float | None = None):
-    """Pairs (a, b) that agree in `least` places, of rows sorted by `deal`.
+def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, share: float, sketched: Callable[[pa.Table], tuple], new: Callable | None = None):
+    """Pairs (a, b) that agree in `least` places and whose sets are as similar as `share` by their sketches, of rows sorted by `deal`.
 
-    `new` takes the rows of a deal, their signatures and pairs of places in them, and tells which pairs to give. With
-    `share`, rows also have `least` and `size`, and only pairs whose sets are that similar by them are given.
+    `sketched` takes the rows of a deal and gives the least values of their sets, as lists, and the sizes of
+    the sets. `new` takes rows, their signatures and pairs of places in them, and tells which pairs to give.
     """
 
-    def of_deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node = table["node"].to_numpy()
-        sketches = Sketches(table["least"], table["size"].to_numpy(), share) if share is not None else None
-        for x, y in _hits(table, matrix, least, new):
-            if sketches is not None:
-                order = np.argsort(x, kind="stable")
-                x, y = x[order], y[order]
-                cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
-                good = np.concatenate([sketches.alike(x[i], y[i:j]) for i, j in pairwise(cuts)])
-                x, y = x[good], y[good]
-            if len(x):
-                found = np.unique(np.sort(np.stack([node[x], node[y]], 1), axis=1), axis=0)
+    def of_deals(table: pa.Table, small: bool) -> Iterator[pa.RecordBatch]:
+        node, sketches = table["node"].to_numpy(), None
+        for x, y in _hits(table, small, matrix, least, new):
+            sketches = sketches or Sketches(*sketched(table), share)
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+            good = np.concatenate([sketches.alike(x[i], y[i:j]) for i, j in pairwise(cuts)])
+            if good.any():
+                found = np.unique(np.sort(np.stack([node[x[good]], node[y[good]]], 1), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], ["a", "b"])
 
-    return _deals(of_deal)
+    return _deals(of_deals)

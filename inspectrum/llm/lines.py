@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.blocks import agreement, dealt, least_agreement, pairs_across
+from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
 from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
@@ -37,6 +37,8 @@ BINS, BANDS, ROWS = 64, 21, 3
 #: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
 #: The second pass takes whole bands, by pairs of blocks if they are large, so this sets the order of work and not the result.
 BLOCK, NEAREST = 512, 1
+#: Least shingle hashes of a line that are compared where lines meet: all of them in lines of up to so many characters.
+SKETCH = 512
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The order in which each empty bin asks all bins.
@@ -167,25 +169,19 @@ def _short_signatures(column: pa.ChunkedArray) -> np.ndarray:
     return string_buffers(column)[0].reshape(-1, BINS)
 
 
-def _candidates(cut: int, across: bool):
-    """Pairs of similar signatures inside each block; rows come sorted by block."""
+def _candidates(cut: int):
+    """Each line of a block with the ones of most similar signature; rows come sorted by block."""
 
-    def of_block(node: np.ndarray, sig: np.ndarray, component: np.ndarray) -> np.ndarray:
+    def of_block(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
         found = [np.zeros((0, 2), np.int64)]
-        if across and (component == component[0]).all():
-            return found[0]
         for at in range(0, len(node), 64):
             own = slice(at, min(at + 64, len(node)))
             equal = agreement(sig[own], sig)
             equal[node[own][:, None] == node[None, :]] = -1
-            if across:
-                equal[component[own][:, None] == component[None, :]] = -1
-                x, y = np.nonzero(equal >= cut)
-            else:
-                best = np.argsort(-equal, axis=1, kind="stable")[:, :NEAREST]
-                x, y = np.repeat(np.arange(len(equal)), best.shape[1]), best.ravel()
-                good = equal[x, y] >= cut
-                x, y = x[good], y[good]
+            best = np.argsort(-equal, axis=1, kind="stable")[:, :NEAREST]
+            x, y = np.repeat(np.arange(len(equal)), best.shape[1]), best.ravel()
+            good = equal[x, y] >= cut
+            x, y = x[good], y[good]
             found.append(np.sort(np.stack([node[own][x], node[y]], 1), axis=1))
         return np.concatenate(found)
 
@@ -193,16 +189,16 @@ def _candidates(cut: int, across: bool):
         rest = None
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            block, node, component = (table[c].to_numpy() for c in ("block", "node", "component"))
+            block, node = (table[c].to_numpy() for c in ("block", "node"))
             sig = _short_signatures(table["signature"])
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             sizes = np.diff(cuts)
-            both = [of_block(node[x:y], sig[x:y], component[x:y]) for x, y in pairwise(cuts) if y - x > 4]
+            both = [of_block(node[x:y], sig[x:y]) for x, y in pairwise(cuts) if y - x > 4]
             # Pairs of all small blocks at once.
             left = np.repeat(sizes <= 4, sizes)
             for step in (1, 2, 3):
                 x = np.flatnonzero(left[:-step] & (block[step:] == block[:-step])) if len(block) > step else np.zeros(0, np.int64)
-                x = x[(component[x] != component[x + step]) & (node[x] != node[x + step])]
+                x = x[node[x] != node[x + step]]
                 x = x[(sig[x] == sig[x + step]).sum(1) >= cut]
                 both.append(np.sort(np.stack([node[x], node[x + step]], 1), axis=1))
             all_pairs = np.unique(np.concatenate([*both, np.zeros((0, 2), np.int64)]), axis=0)
@@ -235,18 +231,53 @@ def _only(wanted: Words):
     return run
 
 
-def _pairs(places: DataFrame, cut: int, labels: DataFrame | None = None) -> DataFrame:
-    rows = places.withColumn("component", F.col("node")) if labels is None else places.join(labels, "node")
-    dealt = rows.select("block", "node", "component", "signature").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(_candidates(cut, labels is not None), "a long, b long").distinct()
+def _pairs(places: DataFrame, cut: int) -> DataFrame:
+    rows = places.select("block", "node", "signature").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(_candidates(cut), "a long, b long").distinct()
+
+
+def _deals_across(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """(deal, half, node, component) of blocks of several components, and of whole bands that were cut; a line that met no similar one in its blocks is in these too."""
+    small = places.filter("band is null").join(labels, "node").select(F.col("block").alias("deal"), "node", "component")
+    mixed = small.groupBy("deal").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("deal")
+    small = small.join(mixed, "deal", "left_semi").select("deal", F.lit(2).alias("half"), "node", "component")
+    large = places.filter("band is not null").select(F.col("band").alias("group"), "node").distinct().join(labels, "node", "left")
+    large = dealt(large.select("group", "node", F.coalesce("component", "node").alias("component")), 4 * BLOCK)
+    return small.unionByName(large.select("deal", "half", "node", "component"))
+
+
+def _sketched(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least shingle hashes of each line, of all shingles for lines of up to `SKETCH` characters."""
+    values, sizes = [], []
+    for text in table["text"].to_pylist():
+        own = np.unique(_shingle_hashes(text))
+        values.append(own[:SKETCH])
+        sizes.append(len(own))
+    ends = np.cumsum([0, *map(len, values)])
+    return np.concatenate([*values, np.zeros(0, np.uint64)]), ends, np.array(sizes)
 
 
-def _pairs_of_large(places: DataFrame, cut: int, labels: DataFrame) -> DataFrame:
-    """Pairs across components of whole bands that were cut; a line that met no similar one in its blocks is in them too."""
-    whole = places.filter("band is not null").select(F.col("band").alias("group"), "node", "signature").distinct()
-    rows = whole.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    deals = dealt(rows, 4 * BLOCK).select("deal", "half", "node", "component", "signature").repartition("deal").sortWithinPartitions("deal")
-    return deals.mapInArrow(pairs_across(_short_signatures, cut), "a long, b long").distinct()
+def _shingle_hashes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - SHINGLE + 1
+    hashes = np.zeros(n, np.uint64)
+    for i, w in enumerate(_WEIGHTS):
+        hashes += points[i : n + i] * w
+    return mixed(hashes)
+
+
+def _links_across(deals: DataFrame, texts: DataFrame, cut: int, similar: float) -> DataFrame:
+    """Pairs across components whose shingles are similar by their sketches: only true links and a few more leave a deal.
+
+    Signatures tell first which lines of a deal meet a candidate; only their texts are dealt out, once for a line and deal.
+    """
+    signed = deals.join(texts.select("node", "signature"), "node").repartition("deal").sortWithinPartitions("deal")
+    met = signed.select("deal", "half", "node", "component", "signature").mapInArrow(meeting(_short_signatures, cut), "deal long, node long")
+    met = materialize(deals.join(met, ["deal", "node"], "left_semi"), "met-across")
+    rows = met.join(texts, "node").select("deal", "half", "node", "component", "signature", "text").repartition("deal").sortWithinPartitions("deal")
+    found = rows.mapInArrow(pairs_across(_short_signatures, cut, similar, _sketched), "a long, b long").distinct()
+    found._inputs = (met,)
+    return found
 
 
 def shingles(text: str) -> set[str]:
@@ -296,9 +327,10 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     links = materialize(_confirmed(first, texts, similar), "links")
     labels = ends.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = materialize(labels, "labels")
-    across = _pairs(places.filter("band is null"), cut, labelled).unionByName(_pairs_of_large(places, cut, labelled)).distinct()
-    across = across.join(first, ["a", "b"], "left_anti")
+    deals = materialize(_deals_across(places, labelled), "deals")
+    across = _links_across(deals, texts, cut, similar)
     more = materialize(_confirmed(across, texts, similar), "links")
+    discard(deals, *across._inputs)
     found = materialize(components(links.unionByName(more)), "components")
     named = lines.select("doc_id", "line", "node").join(found, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")

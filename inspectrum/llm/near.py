@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
+from inspectrum.llm.blocks import agreement, dealt, least_agreement, list_values, meeting, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
 from inspectrum.sources.workspace import discard, materialize
@@ -189,7 +189,16 @@ def _met_before(sig: np.ndarray, tree: int, x: np.ndarray, y: np.ndarray) -> np.
 
 
 def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return ~_met_before(sig, table["tree"][0].as_py(), x, y)
+    tree = table["tree"].to_numpy()[x]
+    out = np.ones(len(x), bool)
+    for t in np.unique(tree).tolist():
+        own = tree == t
+        out[own] = ~_met_before(sig, t, x[own], y[own])
+    return out
+
+
+def _sketched(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *list_values(table["least"]), table["size"].to_numpy()
 
 
 def _candidates(least_equal: int, nearest: int):
@@ -276,7 +285,7 @@ def _links_across(deals: DataFrame, nodes: DataFrame, sets: DataFrame, least_equ
     """
     sketches = sets.select("node", F.slice("shingles", 1, SKETCH).alias("least"), F.size("shingles").alias("size")).dropDuplicates(["node"])
     rows = _with_signatures(deals.join(sketches, "node"), nodes, "least", "size")
-    return rows.mapInArrow(pairs_across(_matrix, least_equal, _first_met, percent / 100), "a long, b long").distinct()
+    return rows.mapInArrow(pairs_across(_matrix, least_equal, percent / 100, _sketched, _first_met), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running totals and ranks over a global order.
+"""Running totals, ranks and values at given ranks.
 
 Rows are aggregated to one row per order key first, written range-partitioned, and
 summed in two levels: totals per range partition (a table with one row per
@@ -7,6 +7,9 @@ partition), then inside each partition. No step sorts the whole table in one tas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -53,21 +56,99 @@ def value_counts(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     return long.groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, median) with the mean of the two middle values; all-null columns are absent.
+#: Buckets that an interval is cut into by one scan.
+BUCKETS = 4096
+
+
+@dataclass
+class _Interval:
+    """Values from `low` to `high` of one column, with `before` values below them, that hold some wanted ranks."""
+
+    name: str
+    low: float
+    high: float
+    before: int
+    ranks: list[int]
+
+    def bucket(self):
+        """Number of the bucket of a value in the interval: rounding keeps the order, halves keep large differences finite."""
+        part = 0.5 if max(abs(self.low), abs(self.high)) > 1e300 else 1.0
+        value = F.col(f"`{self.name}`") * part
+        share = (value - self.low * part) / (self.high * part - self.low * part)
+        return F.least(F.floor(share * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+
 
-    Works on value counts: no task holds the distinct values of a column.
+def _start(name: str, row, ranks: list[int], found: dict) -> list[_Interval]:
+    """Infinite values are known at once; the finite ones make the first interval."""
+    inside = []
+    for rank in ranks:
+        if rank <= row["below"]:
+            found[name, rank] = float("-inf")
+        elif rank > row["n"] - row["above"]:
+            found[name, rank] = float("inf")
+        elif row["low"] == row["high"]:
+            found[name, rank] = row["low"]
+        else:
+            inside.append(rank)
+    return [_Interval(name, row["low"], row["high"], row["below"], inside)] if inside else []
+
+
+def selected(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]]) -> dict[str, dict[int, float]]:
+    """For each numeric column the values at the ranks that `wanted` gives for its number of values (from 1).
+
+    Selection by histograms: one scan counts the values of every column in buckets between the least and
+    the largest one; the next looks into the buckets that hold wanted ranks, between their own extremes, until a bucket
+    has one value. All columns share each scan, and what leaves the tasks is at most `BUCKETS` counts for each interval. NaN and
+    null do not count.
     """
-    counts = range_partitioned(value_counts(df, columns, "double"), ["name", "value"], "value-counts")
-    running = running_totals(counts, "value", {"upto": "n"}, by=["name"])
-    sizes = counts.groupBy("name").agg(F.sum("n").alias("size"))
-    low, high = F.expr("(size + 1) div 2"), F.expr("size div 2 + 1")
+    columns = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in wanted]
+    values = df.select(*columns)
+
+    def profile(c: str):
+        v = F.col(f"`{c}`")
+        finite = F.when(F.abs(v) < float("inf"), v)
+        parts = [F.count(v).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.count_if(v == float("-inf")).alias("below"), F.count_if(v == float("inf")).alias("above")]
+        return F.struct(*parts).alias(c)
+
+    first = values.agg(*[profile(c) for c in wanted]).first()
+    found: dict[tuple[str, int], float] = {}
+    open_intervals = [i for c, ranks in wanted.items() for i in _start(c, first[c], ranks(first[c]["n"]), found)]
+    while open_intervals:
+        asked = [
+            F.when(F.col(f"`{i.name}`").between(i.low, i.high), F.struct(F.lit(at).alias("at"), i.bucket().alias("bucket"), F.col(f"`{i.name}`").alias("value")))
+            for at, i in enumerate(open_intervals)
+        ]
+        placed = values.select(F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
+        counts = placed.groupBy("at", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        buckets: dict[int, list] = {}
+        for r in sorted(counts.collect(), key=lambda r: (r["at"], r["bucket"])):
+            buckets.setdefault(r["at"], []).append(r)
+        following = []
+        for at, interval in enumerate(open_intervals):
+            upto, ranks = interval.before, sorted(interval.ranks)
+            for r in buckets[at]:
+                inside = [k for k in ranks if upto < k <= upto + r["n"]]
+                if inside and r["low"] == r["high"]:
+                    found.update({(interval.name, k): r["low"] for k in inside})
+                elif inside:
+                    following.append(_Interval(interval.name, r["low"], r["high"], upto, inside))
+                upto += r["n"]
+        open_intervals = following
+    out: dict[str, dict[int, float]] = {c: {} for c in wanted}
+    for (name, rank), value in found.items():
+        out[name][rank] = value
+    return out
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, median) with the mean of the two middle values; columns without values are absent."""
 
-    def holds(rank):
-        return (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
+    def middle(n: int) -> list[int]:
+        return sorted({(n + 1) // 2, n // 2 + 1}) if n else []
 
-    middle = running.join(sizes, "name").filter(holds(low) | holds(high))
-    return middle.groupBy("name").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    values = selected(df, {c: middle for c in columns})
+    rows = [(c, (min(v.values()) + max(v.values())) / 2) for c, v in values.items() if v]
+    return df.sparkSession.createDataFrame(rows, "name string, median double")
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:

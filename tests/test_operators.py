@@ -1,11 +1,13 @@
 """Operators against brute force, with hot keys and large groups of copies."""
 
 import random
+import statistics
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from inspectrum.operators import ordered
 from inspectrum.operators.history import add_frequencies, add_previous_count
 from inspectrum.operators.ordered import exact_medians, group_modes, modes, range_partitioned, running_totals
 from inspectrum.operators.sampling import exact_sample, hash_cutoff, row_hash
@@ -107,3 +109,31 @@ def test_medians_and_modes(spark):
 def test_even_median_is_the_midpoint(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,), (4.0,), (5.0,)], "a double")
     assert exact_medians(df, ["a"]).first()["median"] == 3.0
+
+
+@pytest.mark.parametrize("buckets", [256, 4096])
+def test_values_at_ranks(spark, buckets):
+    """Any number of buckets finds the same values: ties, wide exponents, signed zero, infinities, one value, none."""
+    rng = random.Random(buckets)
+    columns = {
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 308) for _ in range(301)],
+        "ties": [float(rng.randrange(4)) for _ in range(300)],
+        "ends": [1.7e308, -1.7e308, 0.0, -0.0, 5e-324, -5e-324] * 20,
+        "infinite": [float("inf")] * 40 + [float("-inf")] * 41 + [1.0] * 3,
+        "one": [7.25],
+        "none": [],
+        "nan": [float("nan")] * 50 + [1.0, 2.0, 4.0],
+    }
+    n = max(map(len, columns.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    before, ordered.BUCKETS = ordered.BUCKETS, buckets
+    try:
+        got = {r["name"]: r["median"] for r in ordered.exact_medians(df, list(columns)).collect()}
+        thirds = ordered.selected(df, {"wide": lambda n: [1, n // 3, n], "ties": lambda n: [1, 2, n]})
+    finally:
+        ordered.BUCKETS = before
+    want = {c: statistics.median([x for x in v if x == x]) for c, v in columns.items() if v}
+    assert got == want
+    wide, ties = sorted(columns["wide"]), sorted(columns["ties"])
+    assert thirds["wide"] == {1: wide[0], 100: wide[99], 301: wide[300]} and thirds["ties"] == {1: ties[0], 2: ties[1], 300: ties[-1]}

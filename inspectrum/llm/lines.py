@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
-from inspectrum.llm.text import SPACES, chained, chunks, mixed, string_buffers, texts_of
+from inspectrum.llm.text import SPACES, chained, chunks, field_of_row, mixed, string_buffers, texts_of, whole_rows
 from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 1, 0.8
@@ -348,8 +348,11 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
 def without_similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with only the first line of each group in its texts; a text that so loses its last line goes."""
     found = similar_lines(df, similar, id_col, text_col)
-    dropped = found.filter("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__drop"))
-    joined = df.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    dropped = found.filter("not kept").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line").alias("gone"))
+    joined = whole_rows(df).withColumn("key", field_of_row(id_col).cast("long")).join(dropped, F.col("key").eqNullSafe(F.col("id")), "left")
+    # A name that no column has, whatever its case.
+    gone = "gone" + "_" * max(map(len, df.columns))
+    joined = joined.select("row.*", F.col("gone").alias(gone))
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

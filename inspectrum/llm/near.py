@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from inspectrum.llm.blocks import agreement, dealt, least_agreement, list_values, meeting, pairs_across
 from inspectrum.llm.graph import components
-from inspectrum.llm.text import WordHasher, chained, chunks, list_column, string_buffers, texts_of
+from inspectrum.llm.text import WordHasher, chained, chunks, field_of_row, list_column, string_buffers, texts_of, whole_rows
 from inspectrum.sources.workspace import discard, materialize
 
 #: Values of a signature, trees of the forest, depth at which regions start, nodes of a region that is not read deeper.
@@ -343,9 +343,10 @@ def without_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id
     Rows without an id stay.
     """
     judged = near_duplicates(df, width, percent, id_col, text_col).filter("doc_id is not null")
-    flags = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__rows"))
-    joined = df.join(flags.filter("__kept"), F.col(id_col).cast("long") == F.col("__id"))
+    flags = judged.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
+    rows = whole_rows(df).withColumn("id", field_of_row(id_col).cast("long"))
+    joined = rows.join(flags.filter("kept"), "id")
     # Rows of one id differ only if their texts do.
-    again = F.when(F.col("__rows") > 1, F.xxhash64(text_col)).otherwise(0)
-    alone = joined.withColumn("__again", again).dropDuplicates(["__id", "__again"]).select(*[F.col(f"`{c}`") for c in df.columns])
-    return alone.unionByName(df.filter(F.col(id_col).isNull()))
+    again = F.when(F.col("rows") > 1, F.xxhash64(field_of_row(text_col))).otherwise(0)
+    alone = joined.withColumn("again", again).dropDuplicates(["id", "again"]).select("row.*")
+    return alone.unionByName(rows.filter("id is null").select("row.*"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inspectrum.llm.text import SPACE_CLASS, SPACES, text_or_empty
+from inspectrum.llm.text import SPACE_CLASS, SPACES, text_or_empty, whole_rows
 from inspectrum.sources.workspace import discard, materialize
 
 ROUNDS = 30
@@ -147,7 +147,7 @@ def judged(df: DataFrame, text_col: str = "text", into: str = "__quality") -> Da
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of `df` that are kept, with its columns."""
-    return judged(df, text_col).filter("__quality.kept").drop("__quality")
+    return judged(whole_rows(df), f"row.`{text_col}`").filter("__quality.kept").select("row.*")
 
 
 def quality_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,6 +35,15 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as one struct `row`, so that no column of it can clash with those of an operator; `row.*` gives it back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def field_of_row(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_A

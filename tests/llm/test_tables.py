@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import rows_of
-from inspectrum.llm import manifest, sharding, spelling
+from inspectrum.llm import lines, manifest, near, private, quality, sharding, spelling
 
 from .cases import ROWS
 
@@ -248,3 +248,18 @@ def test_open_tree_extends_witnesses():
     root = tree.close(6)
     steps, siblings = (x.to_pylist() for x in tree.witnesses())
     assert all(manifest.folded(n, s, p) == root for n, s, p in zip(nodes, steps, siblings))
+
+
+CLASHING = "__t __w __l __g __c __v __p __quality __n_words __id __kept __rows __again __drop id kept rows again gone row n votes key text_ deal node".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like helpers come through the stages that drop rows or change texts."""
+    text = " ".join(f"Word{i} of{i} this{i} page{i} reads{i} well{i}." for i in range(12))
+    rows = [(1, text, 7), (2, text + " End here.", 8), (3, "other lines\nother lines\n" + text.replace("page", "leaf"), 9), (None, text, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("mark")) for c in CLASHING})
+    for stage in (quality.keep_good, near.without_near_duplicates, lines.without_similar_lines, private.masked):
+        out = stage(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}-{r['mark']}" for r in got for c in CLASHING)

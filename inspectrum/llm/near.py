@@ -156,7 +156,7 @@ def shallow_regions(nodes: DataFrame) -> DataFrame:
 
 
 def regions(nodes: DataFrame, limit: int = REGION, shallow: DataFrame | None = None) -> DataFrame:
-    """(region, node, tree, depth) of all trees: prefixes just deep enough to hold at most `limit` nodes.
+    """(region, node, tree, depth) of all trees: prefixes that hold at most `limit` nodes; deeper ones are twice as deep each time.
 
     Nodes whose whole signatures agree cannot be told apart by depth. They are dealt into
     blocks of about `limit`, and every block also holds the region's smallest node.
@@ -174,7 +174,7 @@ def regions(nodes: DataFrame, limit: int = REGION, shallow: DataFrame | None = N
             blocks = large.join(least, "region").withColumn("block", F.expr(f"pmod(xxhash64(node), (n + {limit} - 1) div {limit})"))
             form = [F.xxhash64("region", "block").alias("region"), "tree", F.lit(0).alias("depth")]
             return out.unionByName(blocks.select(*form, "node").unionByName(blocks.select(*form, F.col("least").alias("node"))).distinct())
-        depth = min(VALUES, depth + max(1, depth // 3))
+        depth = min(VALUES, 2 * depth)
         deeper = large.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
         level = materialize(_counted(deeper.mapInArrow(_prefixes(depth, None), form)), "regions")
 

@@ -71,17 +71,17 @@ class Sketches:
     """The least `most` values of each node's set, in order, and the sizes of the sets: exact for sets of up to that many values."""
 
     def __init__(self, values: np.ndarray, ends: np.ndarray, sizes: np.ndarray, share: float) -> None:
-        self._values, self._ends, self._sizes, self._share = values, ends.astype(np.int64), sizes, share
+        self._values, self._ends, self._share = values, ends.astype(np.int64), share
         _, self._names = np.unique(self._values, return_inverse=True)
         self._mark = np.zeros(self._names.max(initial=-1) + 1, bool)
+        self.whole = np.diff(self._ends) == sizes
 
     def _own(self, i: int) -> slice:
         return slice(self._ends[i], self._ends[i + 1])
 
     def alike(self, x: int, others: np.ndarray) -> np.ndarray:
         """Which of the others' sets may be as similar to that of `x` as the share asks; certain where all are whole."""
-        known = np.diff(self._ends)
-        whole = known == self._sizes
+        known, whole = np.diff(self._ends), self.whole
         self._mark[self._names[self._own(x)]] = True
         lengths = known[others]
         starts = np.cumsum(lengths) - lengths
@@ -192,20 +192,32 @@ def meeting(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, new: Ca
 def pairs_across(matrix: Callable[[pa.ChunkedArray], np.ndarray], least: int, share: float, sketched: Callable[[pa.Table], tuple], new: Callable | None = None):
     """Pairs (a, b) that agree in `least` places and whose sets are as similar as `share` by their sketches, of rows sorted by `deal`.
 
+    Of the pairs that certainly join the same components in a deal one is given, fewer than the deal has nodes.
     `sketched` takes the rows of a deal and gives the least values of their sets, as lists, and the sizes of
     the sets. `new` takes rows, their signatures and pairs of places in them, and tells which pairs to give.
     """
 
     def of_deals(table: pa.Table, small: bool) -> Iterator[pa.RecordBatch]:
         node, sketches = table["node"].to_numpy(), None
+        label = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
         for x, y in _hits(table, small, matrix, least, new):
-            sketches = sketches or Sketches(*sketched(table), share)
             order = np.argsort(x, kind="stable")
             x, y = x[order], y[order]
-            cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
-            good = np.concatenate([sketches.alike(x[i], y[i:j]) for i, j in pairwise(cuts)])
-            if good.any():
-                found = np.unique(np.sort(np.stack([node[x[good]], node[y[good]]], 1), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], ["a", "b"])
+            found = [np.zeros((0, 2), np.int64)]
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]):
+                own, others = x[i], y[i:j][label[y[i:j]] != label[x[i]]]
+                if not len(others):
+                    continue
+                sketches = sketches or Sketches(*sketched(table), share)
+                others = others[sketches.alike(own, others)]
+                # Where a set is not whole the pair may yet be refused, so it joins nothing here.
+                sure = sketches.whole[own] & sketches.whole[others]
+                joined, first = np.unique(label[others[sure]], return_index=True)
+                given = np.concatenate([others[sure][first], others[~sure]])
+                label[np.isin(label, joined)] = label[own]
+                found.append(np.stack([np.full(len(given), node[own]), node[given]], 1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (0, 1)], ["a", "b"])
 
     return _deals(of_deals)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
 from inspectrum.llm.graph import components
 from inspectrum.llm.language import Words, write_words
-from inspectrum.llm.text import SPACES, chained, chunks, field_of_row, mixed, string_buffers, texts_of, whole_rows
+from inspectrum.llm.text import SPACES, chained, chunks, field_of_row, hand_back, mixed, string_buffers, texts_of, whole_rows
 from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 1, 0.8
@@ -39,6 +39,8 @@ BINS, BANDS, ROWS = 64, 21, 3
 BLOCK, NEAREST = 512, 1
 #: Least shingle hashes of a line that are compared where lines meet: all of them in lines of up to so many characters.
 SKETCH = 512
+#: Bytes of lines that are signed at once: arrays over them are many times as large.
+TOGETHER_BYTES = 250_000
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The order in which each empty bin asks all bins.
@@ -89,10 +91,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.take(pa.array(np.sort(once)))
         _, offsets = string_buffers(batch.column(1))
         nodes = batch.column(0).to_numpy()
-        for a, b in chunks(offsets, 1_000_000):
+        for a, b in chunks(offsets, TOGETHER_BYTES):
             sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
             bands = np.stack([chained(*(sig[:, k * ROWS + r] for r in range(ROWS))) + np.uint64(k) for k in range(BANDS)], 1)
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(nodes[a:b], BANDS))], ["band", "node"])
+    hand_back()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds a signature of one byte a bin to (node, text)."""
     for batch in batches:
         _, offsets = string_buffers(batch.column(1))
-        for a, b in chunks(offsets, 1_000_000):
+        for a, b in chunks(offsets, TOGETHER_BYTES):
             short = (mixed(signatures(batch.column(1).slice(a, b - a).to_pylist())) & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in short], pa.binary())], ["node", "text", "signature"])
 

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from inspectrum.llm.text import WordHasher, binary_column, chunks, string_buffers, texts_of
+from inspectrum.llm.text import WordHasher, binary_column, chunks, hand_back, string_buffers, texts_of
 from inspectrum.llm.tokens import REMEMBERED_CHARS
 from inspectrum.sources.workspace import discard, materialize
 
 LENGTH, OPEN, MERGE = 2048, 256, 8
 END_ID = 1
+#: Bytes of texts that are tokenized at once: arrays over them are many times as large.
+TOGETHER_BYTES = 400_000
 
 
 class WordTokenizer:
@@ -106,7 +108,7 @@ class WordTokenizer:
     def encode(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Ranges of texts, all their ids in order with the end id after each text, and ids per text."""
         data, offsets = string_buffers(column)
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, TOGETHER_BYTES):
             part = data[offsets[a] : offsets[b]]
             if len(self._hashes) > self._KEPT:
                 self._forget()
@@ -154,6 +156,7 @@ def pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
                 offsets = np.concatenate([[0], np.cumsum(size * 4)])
                 raw = binary_column(ids.astype("<i4").view(np.uint8), offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(size), raw, pa.array(sizes[row])], names)
+        hand_back()
 
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 

@@ -6,6 +6,7 @@ same in every task and on every machine, so hashes can be shuffled and joined.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,14 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = min(last, n)
 
 
+def hand_back() -> None:
+    """Free memory goes back to the machine, so that a worker that waits for its next task holds what it uses and no more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class WordHasher:
     """Hashes of the words of many texts at once.
 

@@ -1,8 +1,9 @@
 """Quality rules by weak supervision: rules vote or abstain, and their accuracies are estimated without labels.
 
 Each rule votes bad (0) or good (2) on a document, or abstains (1). Expectation-maximisation fits
-the share of good documents and, for either kind of document, how often each rule casts each
-vote. A document is kept if it is probably good given all votes. Votes have at most
+the share of good documents and, for either kind of document, how often each rule votes bad
+where it votes; abstentions count for neither side. A document is kept if it is probably good given all votes, so a rule
+that often votes bad on documents of which all other rules think well is outvoted. Votes have at most
 3 ** rules combinations, so the fit runs on counts of combinations, whatever the number
 of documents, inside one expression.
 
@@ -20,11 +21,8 @@ from inspectrum.llm.text import SPACE_CLASS, SPACES, text_or_empty, whole_rows
 from inspectrum.sources.workspace import discard, materialize
 
 ROUNDS = 30
-#: Votes counted for every rule before any are seen, and the probability of a good document with and without bad votes at first.
-PRIOR_VOTES, START_GOOD, START_BAD = 1.0, 0.95, 0.05
-#: A rule's bad vote counts as wrong on at most this share of good documents. Rules are written to be sure when they
-#: vote bad, and without the bound the fit may explain one kind of junk as a kind of good document.
-MOST_FALSE = 0.002
+#: Votes of each kind counted for every rule before any are seen, and the probability of a good document at first, by its number of bad votes.
+PRIOR_VOTES, START = 1.0, (0.95, 0.5, 0.05)
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 KEEP_FROM = 0.5
@@ -36,6 +34,8 @@ RULES = {
     "exclamations": ("5 * n_exclamations > n_words", "50 * n_exclamations <= n_words"),
     "capitals": ("3 * n_capitals > word_chars", "10 * n_capitals <= word_chars"),
     "word length": ("word_chars < 2 * n_words or word_chars > 15 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
+    "letters": ("10 * n_letters < 9 * word_chars", "25 * n_letters >= 23 * word_chars"),
+    "distinct words": ("5 * n_distinct < n_words", "5 * n_distinct >= 2 * n_words or n_words > 1000"),
     "sentences": ("50 * n_stops < n_words", "n_stops between 0.02 * n_words and 0.5 * n_words"),
 }
 
@@ -80,10 +80,12 @@ def measured(df: DataFrame, text_col: str = "text", into: str = "__quality") ->
             count("!").alias("n_exclamations"),
             count(r"\p{Lu}").alias("n_capitals"),
             count("[.!?]").alias("n_stops"),
+            count(r"[\p{L}\p{N}]").alias("n_letters"),
+            F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"),
         ).alias("__c"),
     )
     fields = F.col("__c")
-    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_exclamations n_capitals n_stops".split()
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_exclamations n_capitals n_stops n_letters n_distinct".split()
     wide = counted.select(*kept, *[fields[n].alias(f"__{n}") for n in names])
 
     def condition(rule: str) -> Column:
@@ -105,22 +107,21 @@ def _fit() -> str:
     good = " * ".join(f"s.good[{r}][x.votes[{r}]]" for r in rules)
     bad = " * ".join(f"s.bad[{r}][x.votes[{r}]]" for r in rules)
     posterior = f"transform(c, x -> (s.share * {good}) / (s.share * {good} + (1 - s.share) * {bad}))"
-    start = f"transform(c, x -> if(array_contains(x.votes, 0), {START_BAD}D, {START_GOOD}D))"
+    start = f"transform(c, x -> element_at(array({', '.join(f'{p}D' for p in START)}), least({len(START) - 1}, size(filter(x.votes, v -> v = 0))) + 1))"
 
     def total(weight: str, where: str = "true") -> str:
         return f"aggregate(sequence(1, size(c)), 0D, (a, j) -> a + if({where}, element_at(c, j).n * {weight}, 0D))"
 
-    def share(weight: str, r: int, v: int, most: float) -> str:
-        found = f"({PRIOR_VOTES}D + {total(weight, f'element_at(c, j).votes[{r}] = {v}')}) / ({3 * PRIOR_VOTES}D + {total(weight)})"
-        return f"least({most}D, {found})"
+    def share(weight: str, r: int, v: int) -> str:
+        cast = f"element_at(c, j).votes[{r}]"
+        return f"({PRIOR_VOTES}D + {total(weight, f'{cast} = {v}')}) / ({2 * PRIOR_VOTES}D + {total(weight, f'{cast} <> 1')})"
 
-    def shares(weight: str, most_bad: float) -> str:
-        each = ", ".join("array(" + ", ".join(share(weight, r, v, most_bad if v == 0 else 1.0) for v in range(3)) + ")" for r in rules)
-        return f"array({each})"
+    def shares(weight: str) -> str:
+        return "array(" + ", ".join(f"array({share(weight, r, 0)}, 1D, {share(weight, r, 2)})" for r in rules) + ")"
 
     def fitted(w: str) -> str:
         g, b = "element_at(w, j)", "(1 - element_at(w, j))"
-        return f"transform(array({w}), w -> named_struct('share', {total(g)} / {total('1D')}, 'good', {shares(g, MOST_FALSE)}, 'bad', {shares(b, 1.0)}))[0]"
+        return f"transform(array({w}), w -> named_struct('share', {total(g)} / {total('1D')}, 'good', {shares(g)}, 'bad', {shares(b)}))[0]"
 
     last = f"aggregate(sequence(2, {ROUNDS}), {fitted(start)}, (s, round) -> {fitted(posterior)})"
     return f"transform(array({last}), s -> zip_with(c, {posterior}, (y, p) -> named_struct('votes', y.votes, 'p', p)))[0]"
@@ -134,9 +135,9 @@ def posteriors(votes: DataFrame) -> DataFrame:
     return zipped.select(F.col("z.votes").alias("votes"), F.round("z.p", 6).alias("quality"))
 
 
-def judged(df: DataFrame, text_col: str = "text", into: str = "__quality") -> DataFrame:
-    """`df` and a struct with the counts, `base_failed`, the probability `quality` and `kept`."""
-    table = materialize(measured(df, text_col, into), "quality")
+def judged(df: DataFrame, text_col: str = "text", into: str = "__quality", written: list[str] | None = None) -> DataFrame:
+    """Columns `written` of `df` (all by default) and a struct with the counts, `base_failed`, the probability `quality` and `kept`."""
+    table = materialize(measured(df, text_col, into).select(*(written or df.columns), into), "quality")
     found = posteriors(table.select(F.col(f"{into}.votes").alias("votes")))
     fitted = materialize(found, "posteriors")
     # Bounded: one row for each combination of votes.
@@ -152,7 +153,8 @@ def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def quality_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts, base_failed, kept, quality)."""
-    rows = judged(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text", text_or_empty("text")))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = judged(texts, written=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
     return rows.select("doc_id", *[F.col(f"__quality.{n}").alias(n) for n in names])
 
@@ -165,10 +167,11 @@ def oracle() -> str:
     for k in range(1, ROUNDS + 1):
         steps.append(
             f"""p{k} AS MATERIALIZED (
-  SELECT rule, vote, least(CASE WHEN vote = 0 THEN {MOST_FALSE} ELSE 1 END,
-           ({PRIOR_VOTES} + coalesce(sum(long.n * w), 0)) / ({3 * PRIOR_VOTES} + (SELECT sum(n * w) FROM w{k - 1}))) AS good,
-         ({PRIOR_VOTES} + coalesce(sum(long.n * (1 - w)), 0)) / ({3 * PRIOR_VOTES} + (SELECT sum(n * (1 - w)) FROM w{k - 1})) AS bad
-  FROM slots LEFT JOIN long USING (rule, vote) LEFT JOIN w{k - 1} USING (votes) GROUP BY rule, vote),
+  SELECT rule, vote,
+         CASE vote WHEN 1 THEN 1 ELSE ({PRIOR_VOTES} + g) / ({2 * PRIOR_VOTES} + sum(g) FILTER (vote <> 1) OVER (PARTITION BY rule)) END AS good,
+         CASE vote WHEN 1 THEN 1 ELSE ({PRIOR_VOTES} + b) / ({2 * PRIOR_VOTES} + sum(b) FILTER (vote <> 1) OVER (PARTITION BY rule)) END AS bad
+  FROM (SELECT rule, vote, coalesce(sum(long.n * w), 0) AS g, coalesce(sum(long.n * (1 - w)), 0) AS b
+        FROM slots LEFT JOIN long USING (rule, vote) LEFT JOIN w{k - 1} USING (votes) GROUP BY rule, vote)),
 s{k} AS MATERIALIZED (SELECT sum(n * w) / sum(n) AS share FROM w{k - 1}),
 w{k} AS MATERIALIZED (
   SELECT votes, any_value(long.n) AS n,
@@ -188,13 +191,14 @@ counts AS (
   SELECT t.row, doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(lines.again, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
          coalesce(lines.n, 0) AS n_lines, len(regexp_extract_all(text, '!')) AS n_exclamations,
-         len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '[.!?]')) AS n_stops
+         len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '[.!?]')) AS n_stops,
+         len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]')) AS n_letters, len(list_distinct(w)) AS n_distinct
   FROM t JOIN words USING (row) LEFT JOIN covered USING (row) LEFT JOIN lines USING (row)),
 voted AS (SELECT *, {cases} FROM counts),
 named AS (SELECT *, {pattern} AS votes FROM voted),
 long AS (SELECT votes, n, unnest(votes) AS vote, generate_subscripts(votes, 1) AS rule FROM (SELECT votes, count(*)::DOUBLE AS n FROM named GROUP BY votes)),
 slots AS (SELECT rule, vote FROM range(1, {len(RULES) + 1}) a(rule), range(3) b(vote)),
-w0 AS MATERIALIZED (SELECT DISTINCT votes, n, CASE WHEN list_contains(votes, 0) THEN {START_BAD} ELSE {START_GOOD} END AS w FROM long),
+w0 AS MATERIALIZED (SELECT DISTINCT votes, n, [{', '.join(map(str, START))}][least({len(START) - 1}, len(list_filter(votes, lambda v: v = 0))) + 1] AS w FROM long),
 {", ".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,

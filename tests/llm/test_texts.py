@@ -62,6 +62,26 @@ def test_quality_verdicts(spark):
     assert quality.quality_table(documents_of(spark, [])).count() == 0
 
 
+def test_a_rule_that_is_often_wrong_is_outvoted(spark):
+    """One rule fires on a fifth of all documents whatever the others say; two others fire together. Abstentions change nothing."""
+    n = len(quality.RULES)
+    rng, rows = random.Random(5), []
+    for d in range(4000):
+        votes = [2] * n
+        if d % 10 == 0:
+            votes[1], votes[2] = 0, 0 if rng.random() < 0.9 else 2
+        if rng.random() < 0.2:
+            votes[0] = 0
+        if rng.random() < 0.3:
+            votes[3] = 1
+        rows.append((votes,))
+    got = {tuple(r.votes): r.quality for r in quality.posteriors(spark.createDataFrame(rows, "votes array<int>")).collect()}
+    for votes, p in got.items():
+        assert (p >= quality.KEEP_FROM) == (votes[1] == votes[2] == 2), votes
+    assert sum(p >= quality.KEEP_FROM for votes, p in got.items() if 0 in votes) == 2
+    assert abs(got[(2,) * n] - got[(2, 2, 2, 1) + (2,) * (n - 4)]) < 0.01
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.quality_table(documents_of(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

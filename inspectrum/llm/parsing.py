@@ -4,8 +4,9 @@ A text is parsed bottom up. On each level, runs of one symbol become one symbol;
 deterministic coin tossing reduces symbols to six labels, each from a symbol and its
 left neighbours alone; every local maximum of the labels starts a phrase, and a phrase
 is named by a hash of its symbols. Equal substrings are so cut alike except near their
-ends, wherever they stand. A fingerprint holds the smallest names of one level, and the
-likeness of two is the estimated share of names that both texts have.
+ends, wherever they stand. A fingerprint holds the smallest names of all levels, each told by its level
+too, and the likeness of two is the estimated share of names that both texts have. Names of low levels
+make texts of a few words alike if they share some of them; those of high levels stand for long passages.
 
 Nulls are empty texts, whose fingerprint is empty; two empty fingerprints are alike (1.0), an
 empty and another not (0.0). Rows are fingerprinted one by one. For edits, rows stand in
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from inspectrum.llm.text import chained, mixed, texts_of
 
-#: Levels of phrases below the names of a fingerprint, and how many names it holds.
+#: Levels of phrases that give names to a fingerprint, and how many names it holds.
 LEVELS, NAMES = 3, 64
 _BASE = 0xD1342543DE82EF95
 
@@ -93,24 +94,36 @@ class Parser:
         names = chained((total[ends] - total[cut]) * inverse[cut], (ends - cut).astype(np.uint64))
         return names, np.searchsorted(cut, starts)
 
-    def names(self, texts: list[str], levels: int = LEVELS) -> list[np.ndarray]:
-        """Phrase names of the level, in text order, for each text."""
+    def names(self, texts: list[str], levels: int = LEVELS) -> list[list[np.ndarray]]:
+        """Phrase names of each level, in text order, for each text: one list of arrays for each level."""
         full = [i for i, t in enumerate(texts) if t]
-        out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] * len(texts) for _ in range(levels)]
         if not full:
             return out
         points = np.frombuffer("".join(texts[i] for i in full).encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.cumsum([0, *(len(texts[i]) for i in full[:-1])])
         symbols = self._symbol[points]
-        for _ in range(levels):
+        for found in out:
             symbols, starts = self._level(symbols, starts)
-        for i, part in zip(full, np.split(symbols, starts[1:]), strict=True):
-            out[i] = part
+            for i, part in zip(full, np.split(symbols, starts[1:]), strict=True):
+                found[i] = part
         return out
 
     def sketches(self, texts: list[str]) -> list[np.ndarray]:
-        """The smallest distinct names of each text, as 32-bit numbers in order."""
-        return [np.unique((mixed(n) >> np.uint64(32)).astype(np.uint32))[:NAMES] for n in self.names(texts)]
+        """The smallest distinct names of each text, as 32-bit numbers in order; a name counts apart on each level."""
+        tagged = [[(mixed(n + np.uint64(level)) >> np.uint64(32)).astype(np.uint32) for n in found] for level, found in enumerate(self.names(texts))]
+        return [_least(np.concatenate(own)) for own in zip(*tagged, strict=True)]
+
+
+def _least(names: np.ndarray) -> np.ndarray:
+    """The `NAMES` smallest distinct ones, in order: sorted among the smallest of all, and of more only where names repeat."""
+    most = 4 * NAMES
+    while most < len(names):
+        some = np.unique(np.partition(names, most - 1)[:most])
+        if len(some) >= NAMES:
+            return some[:NAMES]
+        most *= 4
+    return np.unique(names)[:NAMES]
 
 
 def written(sketch: np.ndarray) -> str:

@@ -297,12 +297,90 @@ def test_parsing_is_locally_consistent():
     made = lambda n: "".join(rng.choice("abcde fgh") for _ in range(n))
     common, parser = made(3000), parsing.Parser()
     for shift in (0, 1, 7, 50):
-        a, b = (set(x.tolist()) for x in parser.names([made(400) + common + made(300), made(shift) + common + made(9)]))
+        a, b = (set(x.tolist()) for x in parser.names([made(400) + common + made(300), made(shift) + common + made(9)])[-1])
         assert len(a & b) > 0.9 * min(len(a), len(b)) * 3000 / 3700
-    runs = parser.names(["a" * 500 + "b", "a" * 501 + "b"], 1)
+    runs = parser.names(["a" * 500 + "b", "a" * 501 + "b"], 1)[0]
     assert runs[0].tolist() != runs[1].tolist()
 
 
+_BITS = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _BITS
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _BITS
+    return x ^ (x >> 31)
+
+
+def _chained(*parts: int) -> int:
+    out = 0x2545F4914F6CDD1D
+    for p in parts:
+        out = _mixed(((out + p) * 0x9E3779B97F4A7C15 + 1) & _BITS)
+    return out
+
+
+def _plain_level(symbols: list[int]) -> list[int]:
+    """One level of phrases, symbol by symbol: runs, four coin tosses, local maxima, names."""
+    runs: list[list[int]] = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    symbols = [s if n == 1 else _chained(s, n) for s, n in runs]
+    labels = symbols
+    for _ in range(4):
+        tossed = []
+        for i, own in enumerate(labels):
+            differ = own ^ (labels[i - 1] if i else own ^ 1)
+            at = (differ & -differ).bit_length() - 1
+            tossed.append(2 * at + (own >> at & 1))
+        labels = tossed
+    phrases: list[list[int]] = []
+    for i, s in enumerate(symbols):
+        if i == 0 or (i < len(symbols) - 1 and labels[i - 1] < labels[i] > labels[i + 1]):
+            phrases.append([])
+        phrases[-1].append(s)
+    return [_chained(sum(s * pow(0xD1342543DE82EF95, k, 1 << 64) for k, s in enumerate(p)) & _BITS, len(p)) for p in phrases]
+
+
+def _plain_fingerprint(text: str) -> list[int]:
+    symbols, found = [_mixed(ord(c) + 1) for c in text], set()
+    for level in range(parsing.LEVELS if text else 0):
+        symbols = _plain_level(symbols)
+        found |= {_mixed(n + level & _BITS) >> 32 for n in symbols}
+    return sorted(found)[: parsing.NAMES]
+
+
+def test_fingerprints_equal_a_plain_parser(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "aa", "ab", "aaaaaaaab" * 40, "é\U0001f600 x" * 9, "x" * 5000, LONG[:9000]]
+    texts += ["".join(rng.choice("ab \ncde") for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    want = [_plain_fingerprint(t) for t in texts]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in parsing.compared_with_edits(documents_of(spark, rows)).collect()}
+    for d, t in rows:
+        following = texts[(d + 1) % len(texts)]
+        changed = _plain_fingerprint(parsing.edited(t, following))
+        assert got[d].fingerprint == "".join(f"{x:08x}" for x in want[d])
+        assert got[d].edited_fingerprint == "".join(f"{x:08x}" for x in changed)
+        for other, near in ((changed, got[d].near_edited), (want[(d + 1) % len(texts)], got[d].near_next)):
+            union = sorted({*want[d], *other})[: parsing.NAMES]
+            common = len(set(union) & set(want[d]) & set(other))
+            alike = common / len(union) if want[d] and other else float(not want[d] and not other)
+            assert abs(near - alike) < 1e-12
+
+
+def test_short_texts_keep_names_when_their_end_changes(spark):
+    """Texts of 40 characters or more share names with their edited text."""
+    rng = random.Random(9)
+    words = "the river runs under old stone bridges while small boats carry grain and salt to towns".split()
+    rows = [(d, " ".join(rng.choice(words) for _ in range(8 + d % 12))) for d in range(300)]
+    got = parsing.compared_with_edits(documents_of(spark, [(d, t) for d, t in rows if len(t) >= 40])).collect()
+    assert len(got) > 200 and all(r.near_edited > 0 for r in got)
+    assert sum(r.near_edited for r in got) / len(got) > 0.4
+
+
 def test_severities(spark):
     rng = random.Random(6)
     plain = [f"w{i}" for i in range(300)]

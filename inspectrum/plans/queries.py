@@ -9,6 +9,7 @@ from inspectrum.functions import defects as D
 from inspectrum.functions.bands import age_band, age_band_rank, percent
 from inspectrum.functions.text import has_text, is_present, month_of, same_name, to_int, year_of
 from inspectrum.operators.cleaning import is_decided, is_fail, is_pass, is_regular
+from inspectrum.operators.heavy import top_counts
 from inspectrum.sources.schema import YEAR
 
 
@@ -18,6 +19,17 @@ def top_marks(df: DataFrame, k: int = 3) -> DataFrame:
     return counts.orderBy(F.desc("arv"), "MARK").limit(k)
 
 
+def top_vehicles(df: DataFrame, k: int = 20) -> DataFrame:
+    """Most inspected vehicles, all inspection types: nearly as many keys as rows, so tasks keep bounded counters."""
+    return top_counts(df.filter(is_present(F.col("SOIDUK_ID"))), ["SOIDUK_ID"], k).withColumnRenamed("n", "arv")
+
+
+def top_entries(df: DataFrame, k: int = 20) -> DataFrame:
+    """Most frequent whole defect lists of a make and model, regular inspections alone."""
+    rows = df.filter(is_regular() & is_present(F.col("RIKKED")))
+    return top_counts(rows, ["MARK", "MUDEL", "RIKKED"], k).withColumnRenamed("n", "arv")
+
+
 def top_models(df: DataFrame, marks: int = 3, models: int = 5) -> DataFrame:
     """Most inspected models inside each of the top makes."""
     # The broadcast side has `marks` rows.

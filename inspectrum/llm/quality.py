@@ -137,7 +137,7 @@ def posteriors(votes: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, text_col: str = "text", into: str = "__quality", written: list[str] | None = None) -> DataFrame:
     """Columns `written` of `df` (all by default) and a struct with the counts, `base_failed`, the probability `quality` and `kept`."""
-    table = materialize(measured(df, text_col, into).select(*(written or df.columns), into), "quality")
+    table = materialize(measured(df, text_col, into).select(*[F.col(f"`{c}`") for c in written or df.columns], into), "quality")
     found = posteriors(table.select(F.col(f"{into}.votes").alias("votes")))
     fitted = materialize(found, "posteriors")
     # Bounded: one row for each combination of votes.

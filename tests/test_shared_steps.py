@@ -13,6 +13,41 @@ from inspectrum.plans import risk_model as R
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO
 
 
+def _raw(spark, n=40):
+    values = {c: F.lit("x") for c in RAW_COLUMNS}
+    values |= {
+        "YV_KUUPAEV": F.format_string("%d-%02d", F.lit(2020) + F.col("id") % 2, F.col("id") % 12 + 1),
+        "YLEVAATUSLIIK": F.lit("KORRALINE"),
+        "YLEVAATUSOTSUS": F.when(F.col("id") % 3 == 0, "KORDUVALE").otherwise("KORRAS"),
+        "SOIDUK_ID": (F.col("id") % 5).cast("string"),
+        "ESMANE_REG_AASTA": F.lit("2010"),
+        "MARK": F.when(F.col("id") % 7 != 0, F.format_string("M%d", F.col("id") % 3)),
+        "MUDEL": F.format_string("T%d", F.col("id") % 2),
+    }
+    return spark.range(n).select(*[values[c].alias(c) for c in RAW_COLUMNS], F.col("id").alias(ROW_NO))
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """As many files as tasks run at once, of nearly the same number of rows; more where tasks would hold too many."""
+    train = M.create_model_frame(_raw(spark, 400)).coalesce(1)
+    written = []
+    real = R.materialize
+
+    def noted(df, name):
+        table = real(df, name)
+        if name == "training-rows":
+            files = Path(table._work_path.removeprefix("file:")).glob("part-*.parquet")
+            written.extend(spark.read.parquet(str(f)).count() for f in files)
+        return table
+
+    monkeypatch.setattr(R, "materialize", noted)
+    R.train_model(train, trees=2, depth=2)
+    at_once = spark.sparkContext.defaultParallelism
+    assert len(written) == at_once and sum(written) == 400 and max(written) <= 2 * min(written)
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 40)
+    assert R.training_parts(train) == at_once * -(-400 // (at_once * 40))
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_sums_of_centres_in_blocks(spark, monkeypatch, block):
     """Sums of models of several sizes over blocks of rows, equally near centres included, against plain loops."""

@@ -27,6 +27,26 @@ def _raw(spark, n=40):
     return spark.range(n).select(*[values[c].alias(c) for c in RAW_COLUMNS], F.col("id").alias(ROW_NO))
 
 
+def test_customers_join_orders_before_line_items(spark, tmp_path):
+    """Line items are not shuffled by customer."""
+    tables = {
+        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp",
+        "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp",
+        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+        "supplier": "s_suppkey long, s_name string, s_nationkey int",
+        "nation": "n_nationkey int, n_name string",
+        "customer": "c_custkey long, c_mktsegment string",
+    }
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    plan = reshape(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    # A join stands above the ones that feed it.
+    orders = next(i for i, line in enumerate(joins) if "l_orderkey" in line)
+    customers = next(i for i, line in enumerate(joins) if "o_custkey" in line)
+    assert customers > orders
+
+
 def test_training_rows_are_dealt_evenly(spark, monkeypatch):
     """As many files as tasks run at once, of nearly the same number of rows; more where tasks would hold too many."""
     train = M.create_model_frame(_raw(spark, 400)).coalesce(1)

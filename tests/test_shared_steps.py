@@ -47,6 +47,21 @@ def test_customers_join_orders_before_line_items(spark, tmp_path):
     assert customers > orders
 
 
+def test_frame_parses_text_once(spark):
+    """The scans of the frame read parsed rows, and counts and ranks are those of plain Python."""
+    frame = M.create_model_frame(_raw(spark))
+    assert "RLIKE" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r[ROW_NO]: r for r in frame.collect()}
+    raw = sorted(_raw(spark).collect(), key=lambda r: (r["YV_KUUPAEV"], r[ROW_NO]))
+    assert len(got) == len(raw)
+    for i, r in enumerate(raw):
+        row = got[r[ROW_NO]]
+        assert row["EELMISED_YV"] == sum(e["SOIDUK_ID"] == r["SOIDUK_ID"] for e in raw[:i])
+        same = [e for e in raw if e["MARK"] == r["MARK"]]
+        assert row["MARK_SAGEDUS"] == (len(same) if r["MARK"] else None)
+        assert row["MUDEL_SAGEDUS"] == (sum(e["MUDEL"] == r["MUDEL"] for e in same) if r["MARK"] else None)
+
+
 def test_training_rows_are_dealt_evenly(spark, monkeypatch):
     """As many files as tasks run at once, of nearly the same number of rows; more where tasks would hold too many."""
     train = M.create_model_frame(_raw(spark, 400)).coalesce(1)

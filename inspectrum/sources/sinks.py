@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
+#: Years that a task writes side by side as their rows come; rows of more years are sorted by year first.
+_WRITERS, YEARS_AT_ONCE = "spark.sql.maxConcurrentOutputFileWriters", 200
+
 
 def _flat(df: DataFrame) -> DataFrame:
     return df.select(
@@ -30,7 +33,12 @@ def write_yearly_csv(df: DataFrame, folder: str, year_column: str) -> dict[int,
     All years are written in one job, then their folders are renamed.
     """
     spark, folder = df.sparkSession, folder.rstrip("/")
-    _flat(df).write.mode("overwrite").partitionBy(year_column).options(**CSV_WRITE).csv(folder)
+    before = spark.conf.get(_WRITERS)
+    try:
+        spark.conf.set(_WRITERS, YEARS_AT_ONCE)
+        _flat(df).write.mode("overwrite").partitionBy(year_column).options(**CSV_WRITE).csv(folder)
+    finally:
+        spark.conf.set(_WRITERS, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     paths: dict[int, str] = {}

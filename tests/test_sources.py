@@ -3,9 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+
 from inspectrum.operators.cleaning import clean_batch, clean_for_model
 from inspectrum.plans.quality import scalar_profile
 from inspectrum.sources import inspections as src
@@ -235,6 +238,23 @@ def test_states_of_lines():
     assert not quoted.ends_inside('"a"b",c', False) and quoted.ends_inside('a,"', False)
 
 
+def test_years_are_written_side_by_side(spark, tmp_path):
+    """A task writes the years of its rows as they come, without sorting all of them first."""
+
+    def told(batches):
+        for b in batches:
+            told = TaskContext.get().getLocalProperty("spark.sql.maxConcurrentOutputFileWriters")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([told] * b.num_rows)], ["aasta", "t"])
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(0, 40, 1, 1).select((F.col("id") % 4 + 2000).alias("aasta")).mapInArrow(told, "aasta long, t string")
+    paths = sinks.write_yearly_csv(rows, str(tmp_path / "out"), "aasta")
+    assert sorted(paths) == [2000, 2001, 2002, 2003]
+    texts = [r["t"] for p in paths.values() for r in spark.read.csv(p, header=True).collect()]
+    assert len(texts) == 40 and all(int(t) >= 4 for t in texts)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_landing_numbers_go_on_after_one_row(spark, folder, tmp_path):
     arriving = tmp_path / "arriving"
     arriving.mkdir()

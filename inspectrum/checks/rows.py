@@ -90,8 +90,9 @@ def a2(spark, sf):
 )
 def a3(spark, sf):
     rows = src.load_folder(spark, yearly_csv(spark, sf), regular_only=False).select(*RAW_COLUMNS)
-    long = rows.unpivot([], RAW_COLUMNS, "name", "value").filter(F.col("value").isNotNull())
-    return long.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    # One row for each task and not one for each value: values as rows would be sorted by name.
+    totals = rows.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in RAW_COLUMNS])
+    return totals.unpivot([], RAW_COLUMNS, "name", "total").select("name", "total.*").filter("n > 0")
 
 
 @check("a4_projected_year", S.with_(S.YLEV) + f"SELECT {', '.join(PROJECTED)}, ALLIKA_AASTA FROM ylev WHERE ALLIKA_AASTA = 2001")

@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from inspectrum.checks import rows as checked
 
 from inspectrum.operators.cleaning import clean_batch, clean_for_model
 from inspectrum.plans.quality import scalar_profile
@@ -238,6 +240,16 @@ def test_states_of_lines():
     assert not quoted.ends_inside('"a"b",c', False) and quoted.ends_inside('a,"', False)
 
 
+def test_values_of_a_text_scan_are_not_sorted(spark, folder, monkeypatch):
+    monkeypatch.setattr(checked, "yearly_csv", lambda spark, sf: str(folder))
+    found = checked.a3(spark, "")
+    assert not re.search(r"\bSort \[", found._jdf.queryExecution().executedPlan().toString())
+    got = {r["name"]: (r["n"], r["low"], r["high"]) for r in found.collect()}
+    assert got["SOIDUK_ID"] == (4, "1", "4") and got["RIKKED"] == (1, "VO:1\nOV:2", "VO:1\nOV:2")
+    # No row for a column without values.
+    assert "MUDEL" not in got and len(got) == 9
+
+
 def test_years_are_written_side_by_side(spark, tmp_path):
     """A task writes the years of its rows as they come, without sorting all of them first."""
 

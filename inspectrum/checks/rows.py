@@ -53,29 +53,21 @@ def a1(spark, sf):
     return src.load_years(spark, src.yearly_paths(spark, yearly_csv(spark, sf))).select(*RAW_COLUMNS)
 
 
-_MOST_BYTES = "spark.sql.files.maxPartitionBytes"
-
-
 @check(
     "a1_quoted_breaks_in_splits",
     S.with_(S.NUMBERED)
     + "SELECT * REPLACE (replace(RIKKED, ';', chr(10)) AS RIKKED, row_number() OVER (ORDER BY ALLIKA_AASTA, RIDA_NR) - 1 AS RIDA_NR) FROM ylev",
 )
 def a1_splits(spark, sf):
-    """One file a year with defect lists broken over lines, each file read in splits of 64 KB."""
+    """Files of each year with defect lists broken over lines, each file read in splits of 64 KB."""
 
     def write():
         folder = work_path(spark, "broken-csv")
         rows = inspections(spark, sf).withColumn("RIKKED", F.replace("RIKKED", F.lit(";"), F.lit("\n")))
-        sinks.write_yearly_csv(rows.repartition(YEAR).sortWithinPartitions(YEAR, ROW_NO).drop(ROW_NO), folder, YEAR)
+        sinks.write_yearly_csv(rows.repartitionByRange(YEAR, ROW_NO).sortWithinPartitions(YEAR, ROW_NO).drop(ROW_NO), folder, YEAR)
         return folder
 
-    folder, before = once(spark, sf, "broken-csv", write), spark.conf.get(_MOST_BYTES)
-    try:
-        spark.conf.set(_MOST_BYTES, "64k")
-        return src.load_folder(spark, folder, regular_only=False)
-    finally:
-        spark.conf.set(_MOST_BYTES, before)
+    return src.load_folder(spark, once(spark, sf, "broken-csv", write), regular_only=False, split_bytes="64k")
 
 
 @check("a2_single_file_scan", S.with_(S.YLEV) + f"SELECT {ALL} FROM ylev WHERE ALLIKA_AASTA = 1998")

@@ -75,7 +75,7 @@ def _column_names(header: str) -> list[str]:
     return [name or f"_c{i}" for i, name in enumerate(names)]
 
 
-def scan_files(spark: SparkSession, files: list[tuple[str, int]], columns: list[str] | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, files: list[tuple[str, int]], columns: list[str] | None = None, split_bytes: str | None = None) -> DataFrame:
     """All-string scan of the files (path, year), with row numbers dense in the given order and the year.
 
     Columns are taken by the names in each file's own header, in any order; a column that only some files
@@ -84,7 +84,7 @@ def scan_files(spark: SparkSession, files: list[tuple[str, int]], columns: list[
     headers = {path: tuple(_column_names(_header(spark, path))) for path, _ in files}
     kinds = {names: i for i, names in enumerate(dict.fromkeys(headers.values()))}
     # One scan of all files: the tag carries the year and the kind of header.
-    records = quoted_records(spark, [(path, int(year) * len(kinds) + kinds[headers[path]]) for path, year in files])
+    records = quoted_records(spark, [(path, int(year) * len(kinds) + kinds[headers[path]]) for path, year in files], split_bytes)
     parts = []
     for names, kind in kinds.items():
         own = records.filter(F.col("tag") % len(kinds) == kind) if len(kinds) > 1 else records
@@ -111,12 +111,12 @@ def load_year(spark: SparkSession, path: str, year: int, columns: list[str] = RA
     return load_years(spark, {year: path}, columns)
 
 
-def load_years(spark: SparkSession, paths: dict[int, str], columns: list[str] = RAW_COLUMNS) -> DataFrame:
-    """The yearly files in one scan; row numbers go by year, file and position."""
+def load_years(spark: SparkSession, paths: dict[int, str], columns: list[str] = RAW_COLUMNS, split_bytes: str | None = None) -> DataFrame:
+    """The yearly files in one scan; row numbers go by year, file and position. `split_bytes` may set the size of splits."""
     files = [(file, year) for year in sorted(paths) for file in _part_files(spark, paths[year])]
     if not files:
         raise FileNotFoundError(f"no rows in {sorted(paths.values())}")
-    return scan_files(spark, files, columns)
+    return scan_files(spark, files, columns, split_bytes)
 
 
 def _matching(spark: SparkSession, pattern: str) -> list[str]:
@@ -132,12 +132,12 @@ def yearly_paths(spark: SparkSession, folder: str) -> dict[int, str]:
     return {int(p.rsplit("/", 1)[1][:4]): p for p in paths}
 
 
-def load_folder(spark: SparkSession, folder: str, regular_only: bool = True) -> DataFrame:
+def load_folder(spark: SparkSession, folder: str, regular_only: bool = True, split_bytes: str | None = None) -> DataFrame:
     """Every `YYYY.csv` of a folder; other inspection types are dropped at the scan."""
     paths = yearly_paths(spark, folder)
     if not paths:
         raise FileNotFoundError(f"no yearly CSV files in {folder}")
-    rows = load_years(spark, paths)
+    rows = load_years(spark, paths, split_bytes=split_bytes)
     return rows.filter(F.col("YLEVAATUSLIIK") == "KORRALINE") if regular_only else rows
 
 

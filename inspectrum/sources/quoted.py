@@ -31,6 +31,9 @@ from inspectrum.sources.workspace import materialize
 # Tasks get the functions below by value: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Bytes of text that one task reads at least, in as many splits as it takes.
+TASK_BYTES = 32 << 20
+_SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 _CONTENT = re.compile(r'[^"]*+(?:""[^"]*+)*+')
 _LINE_SCHEMA = "file long, block long, value string, seq long, out_record long, in_record long, out_before boolean, out_after boolean, in_before boolean, in_after boolean"
 
@@ -91,11 +94,17 @@ def _with_states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part[c] for c in names[:3]), *split.lines(part["value"])], names)
 
 
-def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    text = spark.read.text(files, lineSep="\n")
-    keyed = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    # Written, so that the splits that the states belong to are those that are read later.
-    return materialize(keyed.mapInArrow(_with_states, _LINE_SCHEMA), "lines")
+def _lines(spark: SparkSession, files: list[str], tasks: int, split_bytes: str | None) -> DataFrame:
+    """All lines with their states, read in splits of up to `split_bytes` by at most so many tasks."""
+    before = spark.conf.get(_SPLIT_BYTES)
+    try:
+        spark.conf.set(_SPLIT_BYTES, split_bytes or before)
+        text = spark.read.text(files, lineSep="\n")
+        keyed = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        # Written, so that the splits that the states belong to are those that are read later.
+        return materialize(keyed.coalesce(tasks).mapInArrow(_with_states, _LINE_SCHEMA), "lines")
+    finally:
+        spark.conf.set(_SPLIT_BYTES, before)
 
 
 def _split_starts(lines: DataFrame, order: DataFrame) -> DataFrame:
@@ -141,17 +150,19 @@ def _split_starts(lines: DataFrame, order: DataFrame) -> DataFrame:
     return joined.select("file", "tag", "block", "inside", (F.col("file_first") + F.col("upto") - F.col("n") - 2).alias("first"), "broken", "file_first")
 
 
-def quoted_records(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+def quoted_records(spark: SparkSession, files: list[tuple[str, int]], split_bytes: str | None = None) -> DataFrame:
     """(tag, number, record) of all rows of the files (path, tag), numbered from 0 without gaps in the given order.
 
-    `record` is the text of a row with its quotes; headers are left out.
+    `record` is the text of a row with its quotes; headers are left out. `split_bytes` is the size of splits
+    if it is not to be that of the session; small splits share tasks.
     """
     paths = [p for p, _ in files]
-    lines = _lines(spark, paths)
     # The listing names files as the scan does; it reads no contents.
-    listed = spark.read.format("binaryFile").load(paths).select("path", F.xxhash64("_metadata.file_path").alias("file"))
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length", F.xxhash64("_metadata.file_path").alias("file")).collect()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["length"] for r in listed) // TASK_BYTES))
+    lines = _lines(spark, paths, tasks, split_bytes)
     given = {_plain(p): (i, tag) for i, (p, tag) in enumerate(files)}
-    order = [(r["file"], *given[_plain(r["path"])]) for r in listed.collect()]
+    order = [(r["file"], *given[_plain(r["path"])]) for r in listed]
     starts = materialize(_split_starts(lines, spark.createDataFrame(order, "file long, nth int, tag int")), "splits")
     # One row for each split, a few ten bytes for 100 MB and more of text.
     stated = lines.join(F.broadcast(starts), ["file", "block"])

@@ -240,6 +240,26 @@ def test_states_of_lines():
     assert not quoted.ends_inside('"a"b",c', False) and quoted.ends_inside('a,"', False)
 
 
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """Broken records over hundreds of splits are put together by a few tasks, from files in order of their names."""
+    written = []
+
+    def materialize(df, name):
+        written.append((name, df.rdd.getNumPartitions()))
+        return kept(df, name)
+
+    kept = quoted.materialize
+    monkeypatch.setattr(quoted, "materialize", materialize)
+    year = tmp_path / "2023.csv"
+    year.mkdir()
+    for part in (0, 1):
+        lines = [f'{part * 500 + i},"VO:1\nOV:{i}\n"' for i in range(500)]
+        (year / f"part-0000{part}.csv").write_text("\n".join(["id,t", *lines]) + "\n", encoding="utf-8")
+    rows = src.load_years(spark, {2023: str(year)}, ["id", "t"], split_bytes="64").orderBy(ROW_NO).collect()
+    assert [(r["id"], r["t"], r[ROW_NO]) for r in rows] == [(str(i), f"VO:1\nOV:{i % 500}\n", i) for i in range(1000)]
+    assert dict(written)["lines"] <= spark.sparkContext.defaultParallelism
+
+
 def test_values_of_a_text_scan_are_not_sorted(spark, folder, monkeypatch):
     monkeypatch.setattr(checked, "yearly_csv", lambda spark, sf: str(folder))
     found = checked.a3(spark, "")

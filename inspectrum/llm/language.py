@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inspectrum.llm.arrays import map_arrays, write_arrays
-from inspectrum.llm.text import WordHasher, chunks, mixed, string_buffers, text_or_empty
+from inspectrum.llm.text import WordHasher, chunks, hand_back, mixed, string_buffers, text_or_empty
 from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
 
 #: Every text ends with this token. Ids are 32-bit numbers.
 END = np.uint64(0x9D39247E33776D41)
 #: Words in a file, pairs in a shard before they are merged, pairs that a task holds before it sends them.
 WORDS_A_FILE, PAIRS_A_SHARD, PAIRS_HELD = 1_000_000, 2_000_000, 2_000_000
+#: Bytes of text whose tokens are looked up at once, and that are hashed at once: arrays over them are many times as large.
+TOGETHER_BYTES, HASHED_BYTES = 1_000_000, 250_000
 _BLOCK = 22  # pairs of one first word are split by the second word's number, in blocks of 2 ** 22
 ADDED = 0.1
 
@@ -82,8 +85,10 @@ def _file_of(hashes: np.ndarray, files: int) -> np.ndarray:
 def _tokens(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of texts, their token hashes with an end after each text, and tokens per text."""
     data, offsets = string_buffers(column)
-    for a, b in chunks(offsets):
-        words, counts = hasher(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    for a, b in chunks(offsets, TOGETHER_BYTES):
+        own = offsets[a : b + 1]
+        parts = [hasher(data[own[c] : own[d]], own[c : d + 1] - own[c]) for c, d in chunks(own, HASHED_BYTES)]
+        words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         yield a, b, np.insert(words, np.cumsum(counts), END), counts + 1
 
 
@@ -94,6 +99,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             words, n = _summed(np.concatenate([w for w, _ in found]), np.concatenate([n for _, n in found]))
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+    hand_back()
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,10 +259,18 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
         words.open()
 
         def send() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            shard = _shard_of(keys, shards)
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.diff(first, append=len(keys)).astype(np.uint32)
+            del first
+            # By pieces: a hash needs several arrays of the same length.
+            shard = np.concatenate([_shard_of(keys[i : i + 250_000], shards).astype(np.int32) for i in range(0, len(keys), 250_000)])
             order = np.argsort(shard, kind="stable")
-            keys, n, limits = keys[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+            limits = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+            del shard
+            keys, n = keys[order], n[order]
             full = [i for i in range(shards) if limits[i] < limits[i + 1]]
             blocks = [_packed(keys[limits[i] : limits[i + 1]], n[limits[i] : limits[i + 1]]) for i in full]
             sizes = [limits[i + 1] - limits[i] for i in full]
@@ -268,10 +282,11 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
                 size += len(tokens)
                 if size >= PAIRS_HELD:
                     yield send()
-                    held.clear()
                     size = 0
+                    hand_back()
         if size:
             yield send()
+        hand_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Write each shard; rows of (kind, id, a, b, c): counts of counts, followers, predecessors, size."""
@@ -291,6 +306,8 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
             start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
             tally = [np.add.reduceat(x.astype(np.int32), start) for x in (n == 1, n == 2, n > 2)]
             yield from _rows(0, before[start], *tally)
+            del keys, n, before, start, tally
+            hand_back()
 
     form = "kind int, id long, a long, b long, c long"
     sent = texts.select("text").mapInArrow(count_pairs, "shard int, n long, block binary").repartition(shards, "shard").sortWithinPartitions("shard")
@@ -306,21 +323,39 @@ def learn(texts: DataFrame, words_a_file: int = WORDS_A_FILE, pairs_a_shard: int
     spread = (low[0] * tally[0] + low[1] * tally[1] + low[2] * tally[4]) / types if types else 1.0
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By word number: its probability after any word, and as a first word the share that it leaves to that, and its total."""
-        words.open()
-        for file, table in _grouped(batches, "file"):
-            size, first = _dense_sizes(v + 2, words_a_file)[file], file * words_a_file
-            kind, number = table["kind"].to_numpy(), table["id"].to_numpy() - first
-            a, b, c = (table[x].to_numpy() for x in "abc")
-            lower, share, total = np.full(size, spread / (v + 1)), np.ones(size), np.zeros(size)
-            own = kind == 1
-            lower[number[own]] += (a[own] - np.array([0.0, *low])[np.minimum(a[own], 3)]) / max(types, 1)
-            own = kind == 0
-            total[number[own]] = table["total"].to_numpy()[own]
-            left = d[0] * a[own] + d[1] * b[own] + d[2] * c[own]
-            share[number[own]] = left / np.maximum(total[number[own]], 1)
-            write_arrays(f"{folder}/dense-{file}", [lower, share, total])
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32())], ["file"])
+        """By word number: its probability after any word, and as a first word the share that it leaves to that, and its total.
+
+        A file's rows stream by, each into its place.
+        """
+        file, arrays = None, []
+
+        def close() -> pa.RecordBatch:
+            write_arrays(f"{folder}/dense-{file}", arrays)
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32())], ["file"])
+
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for x, y in pairwise(cuts) if len(of) else ():
+                if of[x] != file:
+                    if file is not None:
+                        yield close()
+                    file = int(of[x])
+                    size = _dense_sizes(v + 2, words_a_file)[file]
+                    arrays = [np.full(size, spread / (v + 1)), np.ones(size), np.zeros(size)]
+                lower, share, total = arrays
+                kind, number, a, b, c, followed = (batch.column(i).to_numpy()[x:y] for i in range(1, 7))
+                number = number - file * words_a_file
+                own = kind == 1
+                lower[number[own]] += (a[own] - np.array([0.0, *low])[np.minimum(a[own], 3)]) / max(types, 1)
+                own = kind == 0
+                total[number[own]] = followed[own]
+                left = d[0] * a[own] + d[1] * b[own] + d[2] * c[own]
+                share[number[own]] = left / np.maximum(total[number[own]], 1)
+        if file is not None:
+            yield close()
+        arrays = []
+        hand_back()
 
     # How often a word is followed: the sum of its pairs' counts.
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,6 +409,7 @@ def scored(texts: DataFrame, model: Model) -> DataFrame:
                 perplexity = 10 ** np.minimum(-score / counts, 300)
                 columns = [counts, known, np.full(len(counts), total), base, score, perplexity]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *map(pa.array, columns)], [f.split()[0] for f in form.split(", ")])
+        hand_back()
 
     return texts.select("doc_id", "held_out", "text").mapInArrow(run, form)
 

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -180,6 +182,20 @@ def test_language_without_training(spark):
     assert (row.n_known, row.train_tokens, row.score) == (0, 0, 0.0)
 
 
+def test_language_tokens_take_little_memory():
+    """Texts are hashed by small ranges, whose tokens come together as before."""
+    column = pa.array([f"{LONG} {i}" for i in range(40)] + ["", LONG * 4, ""])
+    tracemalloc.start()
+    got = [(b - a, words, counts) for a, b, words, counts in language._tokens(column, WordHasher())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert sum(n for n, _, _ in got) == 43
+    assert np.concatenate([c for _, _, c in got]).tolist() == [len(t.split()) + 1 for t in column.to_pylist()]
+    whole = language._tokens(pa.array(column.to_pylist()[-4:]), WordHasher())
+    assert np.concatenate([w for _, _, w, _ in whole]).tolist() == np.concatenate([w for _, w, _ in got]).tolist()[-sum(len(t.split()) + 1 for t in column.to_pylist()[-4:]) :]
+
+
 def test_word_hashes():
     hasher, texts = WordHasher(), ["Aa bb\x0bbB", "", "  ", "aA", "é a"]
     data = "".join(texts).encode()

@@ -37,6 +37,10 @@ BINS, BANDS, ROWS = 64, 21, 3
 #: Lines of a band that are compared at once, larger bands are dealt into blocks; neighbours that each meets at first.
 #: The second pass takes whole bands, by pairs of blocks if they are large, so this sets the order of work and not the result.
 BLOCK, NEAREST = 512, 1
+#: All pairs of a block of up to so many lines are compared in the first pass, so the second one takes larger blocks alone.
+FEW = 4
+#: The last bits of a block's name: the number of its band among those of a line, and whether it holds more than `FEW` lines.
+_NUMBER, _MORE = 31, 32
 #: Least shingle hashes of a line that are compared where lines meet: all of them in lines of up to so many characters.
 SKETCH = 512
 #: Bytes of lines that are signed at once: arrays over them are many times as large.
@@ -83,6 +87,12 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _bands_of(sig: np.ndarray) -> np.ndarray:
+    """The names of all bands of each signature; the last bits of a name are the band's number."""
+    named = np.stack([chained(*(sig[:, k * ROWS + r] for r in range(ROWS))) + np.uint64(k) for k in range(BANDS)], 1)
+    return (named & ~np.uint64(_NUMBER)) | np.arange(BANDS, dtype=np.uint64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, node) of every band of (node, text)."""
     for batch in batches:
@@ -93,7 +103,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = batch.column(0).to_numpy()
         for a, b in chunks(offsets, TOGETHER_BYTES):
             sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
-            bands = np.stack([chained(*(sig[:, k * ROWS + r] for r in range(ROWS))) + np.uint64(k) for k in range(BANDS)], 1)
+            bands = _bands_of(sig)
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(nodes[a:b], BANDS))], ["band", "node"])
     hand_back()
 
@@ -109,7 +119,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int |
     since = least = 0  # blocks of the held band that are out, and its least node
 
     def out(rows: np.ndarray, number: np.ndarray, large: bool) -> pa.RecordBatch:
-        names = chained(rows[:, 0].view(np.uint64), number.astype(np.uint64)).view(np.int64)
+        names = chained(rows[:, 0].view(np.uint64), number.astype(np.uint64)).view(np.int64) & ~np.int64(_NUMBER | _MORE)
+        sizes = np.diff(np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]])))
+        names |= (rows[:, 0] & _NUMBER) | np.where(np.repeat(sizes, sizes) > FEW, _MORE, 0)
         found = pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 1].copy())], ["block", "node"])
         return found.append_column("band", pa.array(rows[:, 0].copy()) if large else pa.nulls(len(rows), pa.int64())) if named else found
 
@@ -153,12 +165,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int |
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a signature of one byte a bin to (node, text)."""
+    """Adds a signature of one byte a bin and four bytes of the name of each band to (node, text)."""
     for batch in batches:
         _, offsets = string_buffers(batch.column(1))
         for a, b in chunks(offsets, TOGETHER_BYTES):
-            short = (mixed(signatures(batch.column(1).slice(a, b - a).to_pylist())) & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in short], pa.binary())], ["node", "text", "signature"])
+            sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
+            short = (mixed(sig) & np.uint64(255)).astype(np.uint8)
+            bands = (_bands_of(sig) >> np.uint64(32)).astype("<u4")
+            columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (short, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["node", "text", "signature", "bands"])
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,6 +187,19 @@ def _short_signatures(column: pa.ChunkedArray) -> np.ndarray:
     return string_buffers(column)[0].reshape(-1, BINS)
 
 
+def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have no band in common before that of their deal: two lines are compared in the first one that they share.
+
+    Names of four bytes differ but for a chance of 2^-32, so a pair is lost with probability 5 x 10^-9 at most.
+    """
+    bands, number = string_buffers(table["bands"])[0].reshape(-1, 4 * BANDS), table["number"].to_numpy()
+    first = [np.zeros(0, np.int64)]
+    for at in range(0, len(x), 20_000):
+        a, b = (bands[i[at : at + 20_000]].view("<u4") for i in (x, y))
+        first.append((a == b).argmax(1))
+    return np.concatenate(first) == number[x]
+
+
 def _candidates(cut: int):
     """Each line of a block with the ones of most similar signature; rows come sorted by block."""
 
@@ -196,10 +224,10 @@ def _candidates(cut: int):
             sig = _short_signatures(table["signature"])
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             sizes = np.diff(cuts)
-            both = [of_block(node[x:y], sig[x:y]) for x, y in pairwise(cuts) if y - x > 4]
+            both = [of_block(node[x:y], sig[x:y]) for x, y in pairwise(cuts) if y - x > FEW]
             # Pairs of all small blocks at once.
-            left = np.repeat(sizes <= 4, sizes)
-            for step in (1, 2, 3):
+            left = np.repeat(sizes <= FEW, sizes)
+            for step in range(1, FEW):
                 x = np.flatnonzero(left[:-step] & (block[step:] == block[:-step])) if len(block) > step else np.zeros(0, np.int64)
                 x = x[node[x] != node[x + step]]
                 x = x[(sig[x] == sig[x + step]).sum(1) >= cut]
@@ -240,13 +268,17 @@ def _pairs(places: DataFrame, cut: int) -> DataFrame:
 
 
 def _deals_across(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """(deal, half, node, component) of blocks of several components, and of whole bands that were cut; a line that met no similar one in its blocks is in these too."""
-    small = places.filter("band is null").join(labels, "node").select(F.col("block").alias("deal"), "node", "component")
+    """(deal, half, node, component, number) of larger blocks of several components, and of whole bands that were cut; a line that met no similar one in its blocks is in these too.
+
+    `number` is that of the band among those of a line.
+    """
+    number = f"cast({{}} & {_NUMBER} as int) as number"
+    small = places.filter(f"band is null and block & {_MORE} <> 0").join(labels, "node").select(F.col("block").alias("deal"), "node", "component")
     mixed = small.groupBy("deal").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("deal")
-    small = small.join(mixed, "deal", "left_semi").select("deal", F.lit(2).alias("half"), "node", "component")
+    small = small.join(mixed, "deal", "left_semi").select("deal", F.lit(2).alias("half"), "node", "component", F.expr(number.format("deal")))
     large = places.filter("band is not null").select(F.col("band").alias("group"), "node").distinct().join(labels, "node", "left")
     large = dealt(large.select("group", "node", F.coalesce("component", "node").alias("component")), 4 * BLOCK)
-    return small.unionByName(large.select("deal", "half", "node", "component"))
+    return small.unionByName(large.select("deal", "half", "node", "component", F.expr(number.format("`group`"))))
 
 
 def _sketched(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,11 +306,12 @@ def _links_across(deals: DataFrame, texts: DataFrame, cut: int, similar: float)
 
     Signatures tell first which lines of a deal meet a candidate; only their texts are dealt out, once for a line and deal.
     """
-    signed = deals.join(texts.select("node", "signature"), "node").repartition("deal").sortWithinPartitions("deal")
-    met = signed.select("deal", "half", "node", "component", "signature").mapInArrow(meeting(_short_signatures, cut), "deal long, node long")
+    columns = ["deal", "half", "node", "component", "number", "signature", "bands"]
+    signed = deals.join(texts.select("node", "signature", "bands"), "node").repartition("deal").sortWithinPartitions("deal")
+    met = signed.select(columns).mapInArrow(meeting(_short_signatures, cut, _first_met), "deal long, node long")
     met = materialize(deals.join(met, ["deal", "node"], "left_semi"), "met-across")
-    rows = met.join(texts, "node").select("deal", "half", "node", "component", "signature", "text").repartition("deal").sortWithinPartitions("deal")
-    found = rows.mapInArrow(pairs_across(_short_signatures, cut, similar, _sketched), "a long, b long").distinct()
+    rows = met.join(texts, "node").select(*columns, "text").repartition("deal").sortWithinPartitions("deal")
+    found = rows.mapInArrow(pairs_across(_short_signatures, cut, similar, _sketched, _first_met), "a long, b long").distinct()
     found._inputs = (met,)
     return found
 
@@ -323,7 +356,7 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     folder = work_path(spark, "asked-lines")
     wanted = write_words(asked, folder)
     texts = lines.select("node", "text").mapInArrow(_only(wanted), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialize(texts.mapInArrow(_signed, "node long, text string, signature binary"), "texts")
+    texts = materialize(texts.mapInArrow(_signed, "node long, text string, signature binary, bands binary"), "texts")
     places = materialize(met.join(texts.select("node", "signature"), "node"), "places")
     first = materialize(_pairs(places, cut), "pairs")
     ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()

@@ -157,6 +157,39 @@ def test_lines_edges(spark):
     assert lines.similar_lines(documents_of(spark, [])).count() == 0
 
 
+def test_lines_meet_in_their_first_band():
+    """Two lines that share many bands are compared in one of them alone, and blocks of few lines in the first pass alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    text = " ".join(words)
+    texts = [text, text + "x", text[:-1], " ".join(words[:36] + ["changed"] + words[37:])]
+    nodes = pa.array(range(len(texts)), pa.int64())
+    (signed,) = lines._signed(iter([pa.RecordBatch.from_arrays([nodes, pa.array(texts)], ["node", "text"])]))
+    full = lines._bands_of(lines.signatures(texts))
+    assert (full & np.uint64(31)).tolist() == [list(range(lines.BANDS))] * len(texts)
+    for x in range(len(texts)):
+        for y in range(x):
+            shared = np.flatnonzero(full[x] == full[y]).tolist()
+            assert len(shared) > 1
+            rows = signed.take(pa.array([x, y] * len(shared)))
+            n, twice = len(rows), np.repeat(shared, 2)
+            columns = [pa.array(twice * 100), pa.array([2] * n, pa.int32()), rows["node"], rows["node"], pa.array(twice, pa.int32()), rows["signature"], rows["bands"]]
+            dealt = pa.RecordBatch.from_arrays(columns, ["deal", "half", "node", "component", "number", "signature", "bands"])
+            met = pa.Table.from_batches(list(blocks.meeting(lines._short_signatures, 30, lines._first_met)(iter([dealt]))))
+            assert sorted(met.to_pylist(), key=str) == sorted(({"deal": shared[0] * 100, "node": i} for i in (x, y)), key=str)
+    sizes = {1: 2, 2: 4, 3: 5, 33: 30}
+    rows = sorted((band, n) for band, size in sizes.items() for n in range(size))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["band", "node"])
+    named = pa.Table.from_batches(list(lines._blocks(iter([batch]), named=True)))
+    of = {}
+    for block in named["block"].to_pylist():
+        of[block] = of.get(block, 0) + 1
+    assert sorted((n, block & 31, bool(block & 32)) for block, n in of.items()) == [(2, 1, False), (4, 2, False), (5, 3, True), (30, 1, True)]
+
+
 def test_blocks_of_streamed_bands(monkeypatch):
     """Every pair of a band meets in a block or through its least node, however batches cut the rows."""
     import pyarrow as pa

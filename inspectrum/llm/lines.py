@@ -5,7 +5,7 @@ shingles. One pass of hashes is dealt into bins, and the least hash of each bin
 signature; bands of it bring lines together. Within a band, lines whose signatures
 agree in enough places are compared exactly, by the Jaccard similarity of their full
 sets: first each with its most similar ones, then every such pair whose lines are
-still in different components; a large band is cut into blocks, and every two of them meet. Components come from joins, and the first line of each, by
+still in different components, in the first band that they share; a large band is cut into blocks, and every two of them meet. Components come from joins, and the first line of each, by
 (doc_id, line number), is kept. Lines without a word do not count. A line shorter than
 a shingle is one shingle, so it is similar to equal lines alone, which are one node from the start.
 

@@ -2,7 +2,8 @@
 
 A line counts in lower case without outer white space, as the set of its character
 shingles. One pass of hashes is dealt into bins, and the least hash of each bin is a
-signature; bands of it bring lines together. Within a band, lines whose signatures
+signature; bands of it bring lines together. Most bands have one line alone, so a first pass sends
+a few bytes of each band and finds those of several lines, and a second pass sends the lines of these. Within a band, lines whose signatures
 agree in enough places are compared exactly, by the Jaccard similarity of their full
 sets: first each with its most similar ones, then every such pair whose lines are
 still in different components, in the first band that they share; a large band is cut into blocks, and every two of them meet. Components come from joins, and the first line of each, by
@@ -16,7 +17,6 @@ told by 64-bit hashes.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from inspectrum.llm.blocks import agreement, dealt, least_agreement, meeting, pairs_across
 from inspectrum.llm.graph import components
-from inspectrum.llm.language import Words, write_words
-from inspectrum.llm.text import SPACES, chained, chunks, field_of_row, hand_back, mixed, string_buffers, texts_of, whole_rows
-from inspectrum.sources.workspace import delete_folder, discard, materialize, work_path
+from inspectrum.llm.arrays import write_arrays
+from inspectrum.llm.language import Words, _file_of, _grouped, _packed, _unpacked, write_words
+from inspectrum.llm.text import SPACES, binary_column, chained, chunks, field_of_row, hand_back, mixed, string_buffers, texts_of, whole_rows
+from inspectrum.sources.workspace import delete_folder, discard, materialize, shuffles_deleted, work_path
 
 SHINGLE, LEAST_CHARS, SIMILAR = 7, 1, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8^3)^21 = 3 x 10^-7, if its bins agree independently.
@@ -45,6 +46,10 @@ _NUMBER, _MORE = 31, 32
 SKETCH = 512
 #: Bytes of lines that are signed at once: arrays over them are many times as large.
 TOGETHER_BYTES = 250_000
+#: Marks of bands that a task holds before it sends them in order.
+MARKS = 1_000_000
+#: A mark is these bits of a band's name and the others of a hash of the line: two different lines look the same with probability 2^-16.
+_PLACE, _LINE = ~np.uint64(0xFFFF), np.uint64(0xFFFF)
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The order in which each empty bin asks all bins.
@@ -93,37 +98,116 @@ def _bands_of(sig: np.ndarray) -> np.ndarray:
     return (named & ~np.uint64(_NUMBER)) | np.arange(BANDS, dtype=np.uint64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, node) of every band of (node, text)."""
+def _signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and signatures of the distinct lines of each batch of (node, text)."""
     for batch in batches:
-        # Lines that repeat in a batch have the same bands.
         _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
         batch = batch.take(pa.array(np.sort(once)))
         _, offsets = string_buffers(batch.column(1))
-        nodes = batch.column(0).to_numpy()
-        for a, b in chunks(offsets, TOGETHER_BYTES):
-            sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
-            bands = _bands_of(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(nodes[a:b], BANDS))], ["band", "node"])
-    hand_back()
+        parts = [signatures(batch.column(1).slice(a, b - a).to_pylist()) for a, b in chunks(offsets, TOGETHER_BYTES)]
+        if parts:
+            yield batch.column(0).to_numpy(), np.concatenate(parts)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted; faster than `np.unique`, which hashes first."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _marks(shards: int):
+    """(shard, n, block) of (node, text): sorted marks of all bands of the lines, by ranges of bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            marks = _distinct(np.concatenate(held))
+            limits = np.searchsorted(_file_of(marks, shards), np.arange(shards + 1)).tolist()
+            full = [i for i in range(shards) if limits[i] < limits[i + 1]]
+            own = [marks[limits[i] : limits[i + 1]] for i in full]
+            blocks = [_packed(m, np.zeros(len(m), np.int64)) for m in own]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([len(m) for m in own], pa.int64()), pa.array(blocks, pa.binary())], ["shard", "n", "block"])
+
+        for nodes, sig in _signatures_of(batches):
+            held.append(((_bands_of(sig) & _PLACE) | (mixed(nodes.view(np.uint64)) & _LINE)[:, None]).ravel())
+            if sum(map(len, held)) >= MARKS:
+                yield sent()
+        if held:
+            yield sent()
+        hand_back()
+
+    return run
+
+
+def _write_repeated(folder: str):
+    """Files of the bands of several lines, from marks sorted by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, table in _grouped(batches, "shard"):
+            blocks = zip(table["block"].to_pylist(), table["n"].to_pylist(), strict=True)
+            places = _distinct(np.concatenate([_unpacked(block, n)[0] for block, n in blocks])) & _PLACE
+            several = _distinct(places[1:][places[1:] == places[:-1]])
+            write_arrays(f"{folder}/words-{shard}", [several, np.ones(len(several), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(several)], pa.int64())], ["shard", "n"])
+        hand_back()
+
+    return run
+
+
+def _repeated_bands(long_lines: DataFrame, folder: str) -> Words:
+    """Bands that two different lines have, as sorted arrays in files; of others, a share of 2^-24 or less of all bands."""
+    shards = int(long_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = long_lines.mapInArrow(_marks(shards), "shard int, n long, block binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    sizes = dict(sent.mapInArrow(_write_repeated(folder), "shard int, n long").collect())
+    return Words(folder, [sizes.get(i, 0) for i in range(shards)], sum(sizes.values()), 0)
+
+
+def _short(sig: np.ndarray) -> np.ndarray:
+    """Four bits a bin."""
+    bits = (mixed(sig) & np.uint64(15)).astype(np.uint8)
+    return (bits[:, ::2] << 4) | bits[:, 1::2]
+
+
+def _rows_column(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    return binary_column(rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1])
+
+
+def _bands(repeated: Words):
+    """(band, node, signature) of the bands of (node, text) that other lines have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated.open()
+        for nodes, sig in _signatures_of(batches):
+            bands = _bands_of(sig).ravel()
+            hit = np.flatnonzero(repeated.find(bands & _PLACE)[1])
+            line = hit // BANDS
+            yield pa.RecordBatch.from_arrays([pa.array(bands[hit].view(np.int64)), pa.array(nodes[line]), _rows_column(_short(sig)[line])], ["band", "node", "signature"])
+        hand_back()
+
+    return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int | None = None) -> Iterator[pa.RecordBatch]:
-    """(block, node) of bands with two lines or more, from rows sorted by (band, node); equal rows count once.
+    """(block, node) of bands with two lines or more, from rows sorted by (band, node); equal rows count once. A signature stays beside its node.
 
     A band of more than `size` lines (`BLOCK` at first) is cut into blocks as it streams by; each also holds the band's least node.
     With `named`, a third column has the band of rows that were cut, and nulls for others.
     """
     size = size or BLOCK
     held = np.zeros((0, 2), np.int64)
-    since = least = 0  # blocks of the held band that are out, and its least node
+    since, least = 0, held  # blocks of the held band that are out, and the row of its least node
 
     def out(rows: np.ndarray, number: np.ndarray, large: bool) -> pa.RecordBatch:
         names = chained(rows[:, 0].view(np.uint64), number.astype(np.uint64)).view(np.int64) & ~np.int64(_NUMBER | _MORE)
         sizes = np.diff(np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]])))
         names |= (rows[:, 0] & _NUMBER) | np.where(np.repeat(sizes, sizes) > FEW, _MORE, 0)
         found = pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 1].copy())], ["block", "node"])
-        return found.append_column("band", pa.array(rows[:, 0].copy()) if large else pa.nulls(len(rows), pa.int64())) if named else found
+        if named:
+            found = found.append_column("band", pa.array(rows[:, 0].copy()) if large else pa.nulls(len(rows), pa.int64()))
+        return found.append_column("signature", _rows_column(np.ascontiguousarray(rows[:, 2:]).view(np.uint8))) if rows.shape[1] > 2 else found
 
     def cut(rows: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
         """Blocks of one band; what may grow yet stays held."""
@@ -131,21 +215,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int |
         while len(rows) >= (2 if end else 2 * size):
             now, rows = rows[:size], rows[size:]
             if since:
-                now = np.concatenate([[[now[0, 0], least]], now])
+                now = np.concatenate([least, now])
             else:
-                least = now[0, 1]
+                least = now[:1]
             yield out(now, np.full(len(now), since), bool(since or len(rows)))
             since += 1
         if end and len(rows) and since:
-            yield out(np.concatenate([[[rows[0, 0], least]], rows]), np.full(len(rows) + 1, since), True)
+            yield out(np.concatenate([least, rows]), np.full(len(rows) + 1, since), True)
         held = rows
 
     for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-        rows = np.concatenate([held, rows])
-        if not len(rows):
+        if not batch.num_rows:
             continue
-        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+        if batch.num_columns > 2:
+            rows = np.concatenate([rows, string_buffers(batch.column(2))[0].view(np.int64).reshape(len(rows), -1)], 1)
+        rows = np.concatenate([held, rows]) if len(held) else rows
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
         rows = rows[new]
         starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
         if since and len(starts) > 1:
@@ -165,14 +251,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], named: bool = False, size: int |
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a signature of one byte a bin and four bytes of the name of each band to (node, text)."""
+    """Adds a signature of four bits a bin and four bytes of the name of each band to (node, text)."""
     for batch in batches:
         _, offsets = string_buffers(batch.column(1))
         for a, b in chunks(offsets, TOGETHER_BYTES):
             sig = signatures(batch.column(1).slice(a, b - a).to_pylist())
-            short = (mixed(sig) & np.uint64(255)).astype(np.uint8)
             bands = (_bands_of(sig) >> np.uint64(32)).astype("<u4")
-            columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (short, bands)]
+            columns = [_rows_column(x) for x in (_short(sig), bands.view(np.uint8))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["node", "text", "signature", "bands"])
 
 
@@ -184,7 +269,8 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _short_signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return string_buffers(column)[0].reshape(-1, BINS)
+    pairs = string_buffers(column)[0].reshape(-1, BINS // 2)
+    return np.stack([pairs >> 4, pairs & 15], 2).reshape(-1, BINS)
 
 
 def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -201,7 +287,7 @@ def _first_met(table: pa.Table, sig: np.ndarray, x: np.ndarray, y: np.ndarray) -
 
 
 def _candidates(cut: int):
-    """Each line of a block with the ones of most similar signature; rows come sorted by block."""
+    """Each line of a block with the ones of most similar signature; rows come block by block."""
 
     def of_block(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
         found = [np.zeros((0, 2), np.int64)]
@@ -241,7 +327,7 @@ def _candidates(cut: int):
             if not table.num_rows:
                 continue
             block = table["block"].to_numpy()
-            last = int(np.searchsorted(block, block[-1]))
+            last = int(np.flatnonzero(block != block[-1]).max(initial=-1)) + 1
             if last:
                 yield pairs(table.slice(0, last))
             rest = table.slice(last)
@@ -262,9 +348,33 @@ def _only(wanted: Words):
     return run
 
 
-def _pairs(places: DataFrame, cut: int) -> DataFrame:
-    rows = places.select("block", "node", "signature").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_candidates(cut), "a long, b long").distinct()
+def _met(cut: int, size: int):
+    """From rows (band, node, signature) sorted by band and node: pairs (a, b) of similar signatures in a block, and (block, node, band) of larger blocks."""
+    names = ["block", "node", "band", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        larger: list[pa.RecordBatch] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for b in _blocks(batches, named=True, size=size):
+                more = (b.column(0).to_numpy() & _MORE != 0) | b.column(2).is_valid().to_numpy(zero_copy_only=False)
+                if more.any():
+                    larger.append(b.select([0, 1, 2]).filter(pa.array(more)))
+                yield b
+
+        def places() -> Iterator[pa.RecordBatch]:
+            for b in larger:
+                none = pa.nulls(len(b), pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, none, none], names)
+            larger.clear()
+
+        for pairs in _candidates(cut)(blocks()):
+            yield from places()
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, *pairs.columns], names)
+        yield from places()
+
+    return run
 
 
 def _deals_across(places: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,11 +433,13 @@ def shingles(text: str) -> set[str]:
 def _compared(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, own = [], None, set()
+            # Rows come sorted by one of the two lines, so its shingles are those of the row before.
+            keep, last, own, before, other = [], None, set(), None, set()
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 if x != last:
                     last, own = x, shingles(x)
-                other = shingles(y)
+                if y != before:
+                    before, other = y, shingles(y)
                 common = len(own & other)
                 if common >= similar * (len(own) + len(other) - common):
                     keep.append(i)
@@ -346,20 +458,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, kept) of every line that has a word; lines count from 0."""
-    lines = lines_of(df, id_col, text_col)
-    spark = df.sparkSession
+    with shuffles_deleted(df.sparkSession):
+        return _similar_lines(lines_of(df, id_col, text_col), similar)
+
+
+def _similar_lines(lines: DataFrame, similar: float) -> DataFrame:
+    spark = lines.sparkSession
     cut = least_agreement(BINS, similar)
-    bands = lines.filter(F.length("text") >= SHINGLE).select("node", "text").mapInArrow(_bands, "band long, node long").repartition("band").sortWithinPartitions("band", "node")
-    met = materialize(bands.mapInArrow(functools.partial(_blocks, named=True, size=BLOCK), "block long, node long, band long"), "blocks")
-    # Lines that met another, as a sorted array in files, so that their texts are found without dealing out all lines.
-    asked = materialize(met.groupBy(F.col("node").alias("word")).agg(F.count("*").alias("n")), "asked")
+    long_lines = lines.filter(F.length("text") >= SHINGLE).select("node", "text")
+    repeated_folder = work_path(spark, "repeated-bands")
+    repeated = _repeated_bands(long_lines, repeated_folder)
+    bands = long_lines.mapInArrow(_bands(repeated), "band long, node long, signature binary").repartition("band").sortWithinPartitions("band", "node")
+    met = materialize(bands.mapInArrow(_met(cut, BLOCK), "block long, node long, band long, a long, b long"), "met")
+    delete_folder(spark, repeated_folder)
+    places = met.filter("block is not null").select("block", "node", "band")
+    first = materialize(met.filter("a is not null").select("a", "b").distinct(), "pairs")
+    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    # Lines that met a similar one or are in a band that was cut, as a sorted array in files, so that their texts are found without dealing out all lines.
+    asked = ends.unionByName(places.filter("band is not null").select("node")).distinct()
+    asked = materialize(asked.select(F.col("node").alias("word"), F.lit(1).cast("long").alias("n")), "asked")
     folder = work_path(spark, "asked-lines")
     wanted = write_words(asked, folder)
     texts = lines.select("node", "text").mapInArrow(_only(wanted), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts.mapInArrow(_signed, "node long, text string, signature binary, bands binary"), "texts")
-    places = materialize(met.join(texts.select("node", "signature"), "node"), "places")
-    first = materialize(_pairs(places, cut), "pairs")
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     links = materialize(_confirmed(first, texts, similar), "links")
     labels = ends.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = materialize(labels, "labels")
@@ -377,7 +498,7 @@ def similar_lines(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line") == F.col("first_line"))
     out = materialize(result.withColumn("kept", kept), "similar-lines")
     delete_folder(spark, folder)
-    discard(met, asked, places, first, texts, links, labelled, more, found, named)
+    discard(met, asked, first, texts, links, labelled, more, found, named)
     return out
 
 

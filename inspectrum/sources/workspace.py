@@ -9,12 +9,16 @@ deleted by `discard` when its consumer is done, and what is left by `close`.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _closing: set[str] = set()
+#: Whether a query's shuffle files are deleted when it ends, or when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +59,17 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return table
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a written table are deleted as soon as it is written."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that `work_path` named, with all in it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inspectrum.llm import blocks, graph, lines, near
@@ -190,6 +191,43 @@ def test_lines_meet_in_their_first_band():
     assert sorted((n, block & 31, bool(block & 32)) for block, n in of.items()) == [(2, 1, False), (4, 2, False), (5, 3, True), (30, 1, True)]
 
 
+def test_only_lines_with_repeated_bands_are_sent(tmp_path, monkeypatch):
+    """A band is sent on if two different lines have it, in one task or in two; a repeated line alone is none."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "MARKS", 50)
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcdefghij ", k=80)) for _ in range(30)]
+    pairs = [t + "x" for t in texts[:3]]
+    tasks = [[*zip(range(30), texts, strict=True), (100, pairs[0])], [(101, pairs[1]), (102, pairs[2]), *zip(range(20, 30), texts[20:], strict=True)]]
+    batches = [[pa.RecordBatch.from_arrays([pa.array([n]), pa.array([t])], ["node", "text"]) for n, t in rows] for rows in tasks]
+    sent = pa.concat_tables([pa.Table.from_batches(lines._marks(4)(iter(b))) for b in batches]).sort_by("shard").combine_chunks()
+    sizes = dict(zip(*pa.Table.from_batches(lines._write_repeated(str(tmp_path))(iter(sent.to_batches()))).to_pydict().values(), strict=True))
+    repeated = lines.Words(str(tmp_path), [sizes.get(i, 0) for i in range(4)], sum(sizes.values()), 0)
+    found = pa.Table.from_batches([b for t in batches for b in lines._bands(repeated)(iter(t))])
+    named = {n: set(lines._bands_of(lines.signatures([t]))[0].view(np.int64).tolist()) for rows in tasks for n, t in rows}
+    shared = {(band, n) for i in range(3) for n in (i, 100 + i) for band in named[i] & named[100 + i]}
+    assert shared and set(zip(found["band"].to_pylist(), found["node"].to_pylist(), strict=True)) == shared
+    short = lines._short_signatures(found["signature"])
+    assert short.shape == (len(found), lines.BINS) and short.max() < 16
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    from inspectrum.sources import workspace
+
+    seen, write = [], workspace.materialize
+
+    def noted(df, name):
+        seen.append(spark.conf.get(workspace._CLEANUP))
+        return write(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "materialize", noted)
+        lines.similar_lines(documents_of(spark, [(1, "one line of text\none line of text")])).collect()
+    assert set(seen) == {"true"} and spark.conf.get(workspace._CLEANUP, "false") == "false"
+
+
 def test_blocks_of_streamed_bands(monkeypatch):
     """Every pair of a band meets in a block or through its least node, however batches cut the rows."""
     import pyarrow as pa

@@ -36,7 +36,8 @@ class WordTokenizer:
     Words are told by their 64-bit hashes, with A-Z as a-z, since the tokenizer lowers case. Every distinct word is
     split into runs once per worker process, and every distinct run is encoded once; many new
     runs are encoded together: the last id of each is one that ends a word. Known words
-    are a sorted array of hashes beside where their ids lie in one array.
+    are a sorted array of hashes beside where their ids lie in one array. When they are too many,
+    those that came in several ranges of texts stay, the more common ones first.
     """
 
     #: Words of characters below this one have one form and lower case character by character; others are encoded whole.
@@ -58,11 +59,18 @@ class WordTokenizer:
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._split = regex.compile(self._RUNS).findall
         self._hasher = WordHasher()
-        self._forget()
-
-    def _forget(self) -> None:
         self._runs: dict[str, bytes] = {}
         self._hashes, self._starts, self._sizes, self._ids = (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int32))
+        self._uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        self._runs.clear()
+        common = np.sort(self._uses)[-(self._KEPT // 2) :]
+        kept = np.flatnonzero(self._uses >= max(2, common[0] + 1))
+        sizes = self._sizes[kept]
+        ends = np.cumsum(sizes)
+        self._ids = self._ids[np.repeat(self._starts[kept] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self._hashes, self._starts, self._sizes, self._uses = self._hashes[kept], ends - sizes, sizes, self._uses[kept]
 
     def _raw(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
@@ -103,6 +111,7 @@ class WordTokenizer:
         self._starts = np.insert(self._starts, at, len(self._ids) + np.cumsum(sizes) - sizes)
         self._sizes = np.insert(self._sizes, at, sizes)
         self._hashes = np.insert(self._hashes, at, hashes)
+        self._uses = np.insert(self._uses, at, 0)
         self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(raw), "<i4")])
 
     def encode(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,6 +133,7 @@ class WordTokenizer:
                 where = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
                 self._learn(distinct[new], [raw[x:y].decode("utf-8", "surrogatepass") for x, y in where])
                 at = np.searchsorted(self._hashes, distinct)
+            self._uses[at] += 1
             at = at[back]
             sizes = self._sizes[at]
             upto = np.concatenate([[0], np.cumsum(sizes)])

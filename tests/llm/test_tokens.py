@@ -64,6 +64,23 @@ def test_word_tokenizer_equals_library():
                 assert part.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], repr(t)
 
 
+def test_common_words_are_learned_once(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER_BYTES", 400)
+    own, library = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    own._KEPT, learned, learn = 60, [], own._learn
+
+    def counted(hashes, words):
+        learned.extend(words)
+        learn(hashes, words)
+
+    own._learn = counted
+    rng = random.Random(4)
+    texts = ["common words stay " + " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(20)) for _ in range(40)]
+    ids = [i for _, _, found, _ in own.encode(pa.array(texts), 1) for i in found.tolist()]
+    assert ids == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 1]]
+    assert [learned.count(w) for w in ("common", "words", "stay")] == [1, 1, 1] and len(own._hashes) < 150
+
+
 def _check_packed(rows, texts, length):
     library = Tokenizer.from_file(WORDS)
     library.encode_special_tokens = True

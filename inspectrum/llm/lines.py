@@ -157,7 +157,7 @@ def _write_repeated(folder: str):
 
 
 def _repeated_bands(long_lines: DataFrame, folder: str) -> Words:
-    """Bands that two different lines have, as sorted arrays in files; of others, a share of 2^-24 or less of all bands."""
+    """Bands that two different lines have, as sorted arrays in files, and others whose names agree with one in their first 48 bits."""
     shards = int(long_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = long_lines.mapInArrow(_marks(shards), "shard int, n long, block binary").repartition(shards, "shard").sortWithinPartitions("shard")
     sizes = dict(sent.mapInArrow(_write_repeated(folder), "shard int, n long").collect())

@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from inspectrum.checks.adapter import reshape
 from inspectrum.operators import features as M
 from inspectrum.operators import kmeans
+from inspectrum.plans import risk_model as R
 from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO
 
 
@@ -24,17 +26,19 @@ def _raw(spark, n=40):
     return spark.range(n).select(*[values[c].alias(c) for c in RAW_COLUMNS], F.col("id").alias(ROW_NO))
 
 
+TABLES = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey long, c_mktsegment string",
+}
+
+
 def test_customers_join_orders_before_line_items(spark, tmp_path):
     """Line items are not shuffled by customer."""
-    tables = {
-        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp",
-        "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp",
-        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
-        "supplier": "s_suppkey long, s_name string, s_nationkey int",
-        "nation": "n_nationkey int, n_name string",
-        "customer": "c_custkey long, c_mktsegment string",
-    }
-    for name, schema in tables.items():
+    for name, schema in TABLES.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     plan = reshape(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
@@ -74,3 +78,15 @@ def test_sums_of_centres_in_blocks(spark, monkeypatch, block):
             own = x[label == j]
             want = [len(own), distances[label == j, j].sum(), (own * own).sum(), *own.sum(0)]
             assert sums[j] == pytest.approx(want, abs=1e-9)
+
+
+def test_forest_keeps_the_nodes_of_rows(spark):
+    """Rows are not walked down every tree anew for each level; the trees are the same."""
+    columns = [F.rand(1).alias("a"), F.rand(2).alias("b"), F.floor(F.rand(3) * 4).alias("c"), F.lit(1.0).alias("__weight")]
+    rows = spark.range(400).select(*columns).withColumn(R.TARGET, (F.col("a") + F.col("b") > 1).cast("int"))
+    ready = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows).coalesce(1)
+    forest = R.forest(trees=5, depth=6)
+    assert forest.getCacheNodeIds()
+    walked = forest.copy({forest.cacheNodeIds: False})
+    trees = [model.fit(ready).toDebugString.split("\n", 1)[1] for model in (forest, walked)]
+    assert trees[0] == trees[1] and trees[0].count("Predict") > 20

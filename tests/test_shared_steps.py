@@ -1,15 +1,19 @@
 """Steps that many queries share: what they join first, how often they parse, how they deal rows to tasks."""
 
+import datetime
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from inspectrum.checks.adapter import reshape
+from inspectrum.checks.adapter import numbered, reshape
 from inspectrum.operators import features as M
 from inspectrum.operators import kmeans
 from inspectrum.plans import risk_model as R
-from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO
+from inspectrum.sources.schema import RAW_COLUMNS, ROW_NO, YEAR
+from inspectrum.sources.workspace import materialize
 
 
 def _raw(spark, n=40):
@@ -90,3 +94,41 @@ def test_forest_keeps_the_nodes_of_rows(spark):
     walked = forest.copy({forest.cacheNodeIds: False})
     trees = [model.fit(ready).toDebugString.split("\n", 1)[1] for model in (forest, walked)]
     assert trees[0] == trees[1] and trees[0].count("Predict") > 20
+
+
+def test_shuffle_files_of_written_tables_are_deleted(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, counts = shuffled(), spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    table = materialize(counts, "counts")
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 100 and counts.count() == 100
+
+
+def test_landing_shuffles_joined_rows(spark, tmp_path):
+    """Text is made after the shuffle, and rows are numbered in order of all their columns."""
+    day = datetime.datetime(2001, 3, 4)
+    rows = {
+        "lineitem": [(i % 6, i % 4, i % 3, i % 7 + 1, float(15 + i), 0.01 * (i % 9), 0.01 * (i % 10), "ARN"[i % 3], day + datetime.timedelta(40 * (i % 20))) for i in range(60)] * 2,
+        "orders": [(i, i % 5, datetime.datetime(1999 + i % 2, 1, 1)) for i in range(6)],
+        "part": [(i, f"part {i}", f"Brand{i}", ["STANDARD", "PROMO", "ODD", None][i], 10 * i) for i in range(4)],
+        "supplier": [(i, f"Supplier{i}", i) for i in range(3)],
+        "nation": [(i, f"N{i}") for i in range(3)],
+        "customer": [(i, f"S{i % 2}") for i in range(5)],
+    }
+    for name, schema in TABLES.items():
+        spark.createDataFrame(rows[name], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = numbered(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("AS RIKKED") < plan.index("RepartitionByExpression") and plan.count("AS RIKKED") == 1
+    got = out.orderBy(ROW_NO).collect()
+    order = [YEAR, "YV_KUUPAEV", *[c for c in RAW_COLUMNS if c != "YV_KUUPAEV"]]
+    keys = [[(r[c] is not None, r[c]) for c in order] for r in got]
+    assert len(got) == 120 and keys == sorted(keys)
+    assert sorted(r.asDict()[c] or "" for r in reshape(spark, str(tmp_path)).collect() for c in RAW_COLUMNS) == sorted(r[c] or "" for r in got for c in RAW_COLUMNS)

@@ -84,6 +84,23 @@ def test_sums_of_centres_in_blocks(spark, monkeypatch, block):
             assert sums[j] == pytest.approx(want, abs=1e-9)
 
 
+def test_packed_blocks_hold_the_rows(spark, monkeypatch):
+    """Sums and silhouettes over packed blocks are those over the rows."""
+    monkeypatch.setattr(kmeans, "PACKED", 16)
+    x = np.random.default_rng(6).normal(size=(100, 3))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").repartition(3)
+    packed = kmeans.blocks(rows)
+    held = packed.toArrow()
+    assert set(held["n"].to_pylist()) > {16} and sum(held["n"].to_pylist()) == 100
+    back = np.concatenate(list(kmeans._matrices(held.to_batches())))
+    assert sorted(map(tuple, back)) == sorted(map(tuple, x))
+    models = [x[:2], x[5:9]]
+    for got, want in zip(kmeans.centre_sums(packed, models), kmeans.centre_sums(rows, models), strict=True):
+        assert got == pytest.approx(want)
+    assert kmeans.silhouettes(packed, models) == pytest.approx(kmeans.silhouettes(rows, models))
+    assert kmeans.blocks(rows.limit(0)).count() == 0
+
+
 def test_forest_keeps_the_nodes_of_rows(spark):
     """Rows are not walked down every tree anew for each level; the trees are the same."""
     columns = [F.rand(1).alias("a"), F.rand(2).alias("b"), F.floor(F.rand(3) * 4).alias("c"), F.lit(1.0).alias("__weight")]

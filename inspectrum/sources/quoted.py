@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that one task reads at least, in as many splits as it takes.
 TASK_BYTES = 32 << 20
-_SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+_SPLIT_BYTES, _CODEC = "spark.sql.files.maxPartitionBytes", "spark.sql.parquet.compression.codec"
 _CONTENT = re.compile(r'[^"]*+(?:""[^"]*+)*+')
 _LINE_SCHEMA = "file long, block long, value string, seq long, out_record long, in_record long, out_before boolean, out_after boolean, in_before boolean, in_after boolean"
 
@@ -96,15 +96,18 @@ def _with_states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines(spark: SparkSession, files: list[str], tasks: int, split_bytes: str | None) -> DataFrame:
     """All lines with their states, read in splits of up to `split_bytes` by at most so many tasks."""
-    before = spark.conf.get(_SPLIT_BYTES)
+    before, codec = spark.conf.get(_SPLIT_BYTES), spark.conf.get(_CODEC)
     try:
         spark.conf.set(_SPLIT_BYTES, split_bytes or before)
+        # All text of the files is written once more: as small as it gets.
+        spark.conf.set(_CODEC, "zstd")
         text = spark.read.text(files, lineSep="\n")
         keyed = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
         # Written, so that the splits that the states belong to are those that are read later.
-        return materialize(keyed.coalesce(tasks).mapInArrow(_with_states, _LINE_SCHEMA), "lines", compression="zstd")
+        return materialize(keyed.coalesce(tasks).mapInArrow(_with_states, _LINE_SCHEMA), "lines")
     finally:
         spark.conf.set(_SPLIT_BYTES, before)
+        spark.conf.set(_CODEC, codec)
 
 
 def _split_starts(lines: DataFrame, order: DataFrame) -> DataFrame:
